@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +87,28 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(state) == tuple(before):
             break
     return now.select(u.alias("node"), v.alias("root")).union(now.select(v.alias("node"), v.alias("root")).distinct())
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have at most ``limit`` bytes together (a longer one stands alone)."""
+    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n > limit:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
+def word_ids(text: bytes | None, ids: dict[bytes, int], piece: int = 4 << 20) -> np.ndarray:
+    """Number of each word in ``ids``, else -1; a very long text is cut at spaces, so its words are never all objects at once."""
+    text, out, start = (text or b"").translate(ALNUM), [], 0
+    while start < len(text):
+        end = len(text) if len(text) - start <= piece else text.rfind(b" ", start, start + piece) + 1 or (text.find(b" ", start + piece) + 1 or len(text))
+        end = end if end > start else len(text)
+        words = text[start:end].split()
+        out.append(np.fromiter((ids.get(w, -1) for w in words), np.int32, len(words)))
+        start = end
+    return np.concatenate(out) if len(out) > 1 else out[0] if out else np.zeros(0, np.int32)

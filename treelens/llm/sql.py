@@ -2,4 +2,85 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SPACED = r"[^\x20\x09-\x0D]+"
+
+
+def words(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{ALNUM}')"
+
+
+def decontamination(documents: str = "documents", keep: str = "") -> str:
+    """Result of op3; ``keep`` adds columns of the documents."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id{keep}, {words("text")} AS w FROM {documents}),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words("text")} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win
+       FROM (SELECT item, w, least(13, len(w)) AS n, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS i
+             FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+       FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, lens WHERE len(w) >= n)),
+hits AS (SELECT DISTINCT dw.r, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit
+        FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id{keep}, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)"""
+
+
+def mixing(block: int = 16, shard_tokens: int = 1_000_000, seed: str = "treelens-mix") -> str:
+    """Result of op7; quotients are dealt one by one, so it is for small tables."""
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS no_s,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '{SPACED}')) AS BIGINT) AS size,
+         md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS key
+  FROM documents),
+tot AS (SELECT CAST(sum(size) AS BIGINT) AS total, greatest(1, least(65536, (CAST(sum(size) AS BIGINT) + {shard_tokens} - 1) // {shard_tokens})) AS shards FROM d),
+src AS (
+  SELECT s, no_s, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY no_s, s) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
+  FROM d GROUP BY s, no_s),
+ranked AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * source_size AS DOUBLE) / w, no_s, s) AS k FROM src),
+cuts AS (
+  SELECT k, coalesce(sum(2 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+         sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_after, source_size, w FROM ranked),
+lev AS (
+  SELECT min_by((1.5::DOUBLE * total - full_before) / w_after, k) AS level, min(k) AS k FROM cuts, tot
+  WHERE (1.5::DOUBLE * total - full_before) / w_after * w <= 2 * source_size),
+aim AS (
+  SELECT s, no_s, source_size, CASE WHEN ranked.k < lev.k THEN CAST(2 * source_size AS DOUBLE) ELSE level * w END AS target
+  FROM ranked, lev),
+quot AS (
+  SELECT s, no_s, target / (2 * i - 1) AS q FROM (
+    SELECT s, no_s, target, unnest(generate_series(1, CAST((2 * source_size + {block} - 1) // {block} + 2 * shards AS BIGINT))) AS i FROM aim, tot WHERE target > 0)),
+won AS (SELECT s, no_s, count(*) AS quota FROM (
+    SELECT *, row_number() OVER (ORDER BY q DESC, no_s, s) AS n FROM quot), tot
+  WHERE n <= floor(1.5::DOUBLE * total / {block} + 0.5) GROUP BY s, no_s),
+e AS (SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % shards AS shard FROM d, tot),
+part AS (SELECT s, no_s, shard, CAST(sum(size) AS BIGINT) AS tokens,
+         CASE WHEN sum(size) > 0 THEN greatest(1, CAST(2 * sum(size) + {block} AS BIGINT) // {2 * block}) ELSE 0 END AS n
+         FROM e GROUP BY s, no_s, shard),
+pq AS (
+  SELECT s, no_s, shard, CAST(tokens AS DOUBLE) / (2 * i - 1) AS q
+  FROM (SELECT s, no_s, shard, tokens, unnest(generate_series(1, 2 * n)) AS i FROM part WHERE n > 0)),
+pwon AS (SELECT s, no_s, shard, count(*) AS q FROM (
+    SELECT *, row_number() OVER (PARTITION BY s, no_s ORDER BY q DESC, shard) AS k FROM pq) JOIN won USING (s, no_s)
+  WHERE k <= quota GROUP BY s, no_s, shard),
+runs AS (
+  SELECT s, no_s, shard, q // n AS times, f * tokens // n AS a1, least(n, f + m) * tokens // n AS b1, greatest(0, f + m - n) * tokens // n AS b2
+  FROM (SELECT s, no_s, shard, tokens, n, coalesce(q, 0) AS q, coalesce(q, 0) % n AS m,
+               CAST('0x' || substr(md5('{seed}|' || s || '|' || CAST(shard AS VARCHAR)), 1, 8) AS BIGINT) % n AS f
+        FROM part LEFT JOIN pwon USING (s, no_s, shard) WHERE n > 0)),
+a AS (SELECT *, CAST(sum(size) OVER (PARTITION BY s, no_s, shard ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS begun FROM e)
+SELECT doc_id, size, source_size, target,
+       CAST(coalesce(times * size + greatest(0, least(size, b1 - begun) - greatest(0, a1 - begun)) + greatest(0, least(size, b2 - begun)), 0) AS BIGINT) AS taken
+FROM a JOIN aim USING (s, no_s) LEFT JOIN runs USING (s, no_s, shard)"""
+
+
+ORACLES: dict[str, str] = {"op3_decontamination": decontamination(), "op7_mixing": mixing()}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Shared:
+    """A broadcast value that executors read without importing this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self._bytes.value)
+
+    def unpersist(self) -> None:
+        self._bytes.unpersist()

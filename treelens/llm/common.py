@@ -112,3 +112,37 @@ def word_ids(text: bytes | None, ids: dict[bytes, int], piece: int = 4 << 20) ->
         out.append(np.fromiter((ids.get(w, -1) for w in words), np.int32, len(words)))
         start = end
     return np.concatenate(out) if len(out) > 1 else out[0] if out else np.zeros(0, np.int32)
+
+
+def pieces(text: str | None, most: int = 4 << 20) -> Iterator[str]:
+    """A text in pieces of about ``most`` characters, cut at spaces where it has any."""
+    text, start = text or "", 0
+    while len(text) - start > most:
+        end = text.rfind(" ", start, start + most) + 1
+        end = end if end > start else text.find(" ", start + most) + 1 or len(text)
+        yield text[start:end]
+        start = end
+    yield text[start:] if start else text
+
+
+def labelled(labels: DataFrame, label: str, divisor: int, held_out: int) -> DataFrame:
+    """doc_id and label (0 or 1) of the rows that may be learnt from: not those whose remainder is ``held_out``.
+
+    Of rows that disagree on a document the larger label counts; null ids and labels are left out.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder("doc_id", divisor) != held_out))
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def remainder(column: str, divisor: int):
+    """crc32 of the id as text, modulo ``divisor``; of an empty text for a null id."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % divisor
+
+
+def examples(docs: DataFrame, labels: DataFrame, per_class: int, text_col: str = "text") -> DataFrame:
+    """doc_id, label and text of at most ``per_class`` labelled documents of each label, by a hash of the id."""
+    parts = [labels.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    chosen = parts[0].union(parts[1])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treelens.session import Shared
+
 from .common import alnum_words, as_bytes, by_bytes, text_key, word_ids, written
 
 SPANS = "array<struct<start: long, end: long>>"
@@ -155,13 +157,13 @@ def _count(docs: DataFrame, block, size_of: dict[int, int]) -> dict[int, np.ndar
 
 def prepare(docs: DataFrame, items: list[tuple[str | None, bytes | None]], window: int, shingle: int):
     """A broadcast block of ``items`` with the rarest shingle of each window to look for; None without windows."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     block = Block.build(items, window, shingle)
     if not block.windows:
         return None
     every = block.shingles()
     block.look_for(every)
-    shared = sc.broadcast(block)
+    shared = Shared(spark, block)
     rare = _count(docs, shared, {s: len(f[0]) for s, f in block.found.items()})
     chosen = {}
     for size, (h, length, row, offset) in every.items():
@@ -171,7 +173,7 @@ def prepare(docs: DataFrame, items: list[tuple[str | None, bytes | None]], windo
         chosen[size] = (h[first], length[first], row[first], offset[first])
     block.look_for(chosen)
     shared.unpersist()
-    return sc.broadcast(block)
+    return Shared(spark, block)
 
 
 def _spans(hit: np.ndarray) -> list[dict]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, sharding, simhash
+from . import chat, decontam, imi, mixing, quality, sharding, simhash, surrogates, toxicity
 from .sql import ORACLES  # noqa: F401
 
 
@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: For the queries; a corpus that is published takes a secret one.
+KEY = "treelens-surrogates"
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return rows.select(
@@ -25,6 +35,23 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents"), KEY).select("doc_id", "text", "n_replaced", "entities")
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat.digests(chat.windows(rows))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    return rows.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,4 +66,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_decontamination": op3_decontamination, "op7_mixing": op7_mixing, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding}
+def op10_imi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imi.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_toxicity, op3_decontamination, op4_surrogates, op5_chat, op6_quality, op7_mixing, op8_simhash, op9_sharding, op10_imi)
+}

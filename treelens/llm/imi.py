@@ -29,8 +29,8 @@ from .common import written
 SAMPLE, CHUNK, QUERIES = 32_768, 4096, 2048
 #: Vectors of a cell on average, and the most centroids of a half.
 PER_CELL, MOST = 64, 256
-#: Vectors that a query ranks at least.
-CANDIDATES = 8192
+#: Vectors that a query ranks at least; queries of the sample that set how many more, and the recall they are set for.
+CANDIDATES, TRIALS, RECALL = 2048, 256, 0.96
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -73,6 +73,27 @@ def traverse(a: np.ndarray, b: np.ndarray, held: np.ndarray, enough: int) -> lis
     return out
 
 
+def depth(x: np.ndarray, books: list[np.ndarray], k: int, recall: float) -> float:
+    """Share of all vectors that queries must rank to find this share of their k nearest, measured within a sample of unit vectors."""
+    (a, b), half = books, books[0].shape[1]
+    cell = nearest(x[:, :half], a) * len(b) + nearest(x[:, half:], b)
+    held = np.bincount(cell, minlength=len(a) * len(b))
+    trial = np.linspace(0, len(x) - 1, min(TRIALS, len(x))).astype(np.int64)
+    need = []
+    for t in trial:
+        score = x @ x[t]
+        score[t] = -np.inf
+        most = min(k, len(x) - 1)
+        near = np.argpartition(-score, most - 1)[:most] if most else []
+        far = (distances(x[t : t + 1, :half], a)[0][:, None] + distances(x[t : t + 1, half:], b)[0][None, :]).ravel()
+        order = np.argsort(far, kind="stable")
+        before = np.empty(len(far))
+        # a cell is taken if those before it do not hold enough yet
+        before[order] = np.cumsum(held[order]) - held[order]
+        need += (before[cell[near]] + 1).tolist()
+    return float(np.quantile(need, recall)) / len(x) if need else 1.0
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     flat = column.flatten() if isinstance(column, pa.ListArray) else column.combine_chunks().flatten()
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
@@ -93,7 +114,7 @@ def usable(vector: Column) -> Column:
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int = CANDIDATES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = RECALL, candidates: int = CANDIDATES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest of every row with ``is_query``.
 
     Score is the cosine in double precision; ties go to the smaller vec_id.
@@ -101,6 +122,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int = C
     infinite components, or have another length than most, take no part. Rows
     that repeat an id are one: it has its best score, and is never its own
     neighbour. With fewer candidates all are returned; an empty table gives none.
+    A query ranks ``candidates`` vectors at least, and as large a share of all
+    as the recall asks for in a brute-force trial on the sample.
     """
     spark = vectors.sparkSession
     vec = F.col(f"`{vec_col}`").cast("array<double>")
@@ -124,6 +147,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int = C
     x = unit(_matrix(sample.column(0), width))
     size = [min(n_cells, len(np.unique(x[:, s], axis=0))) if s.start != s.stop else 1 for s in (slice(0, half), slice(half, width))]
     books = [codebook(x[:, s], n) if s.start != s.stop else np.zeros((1, 0)) for s, n in zip((slice(0, half), slice(half, width)), size)]
+    enough = max(candidates, k + 1, int(np.ceil(depth(x, books, k, recall) * total)))
     shared = Shared(spark, books)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +170,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int = C
                 part = y.slice(i, 256)
                 x = unit(_matrix(part.column(1), width))
                 p, q = distances(x[:, :half], a), distances(x[:, half:], b)
-                cells = [traverse(p[j], q[j], held, candidates) for j in range(len(x))]
+                cells = [traverse(p[j], q[j], held, enough) for j in range(len(x))]
                 yield pa.record_batch([*part.columns, pa.array(cells, pa.list_(pa.int64()))], ["query_id", "query", "cells"])
 
     queries = rows.where("is_query").select("vec_id", "vector").distinct()

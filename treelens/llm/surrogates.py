@@ -29,6 +29,7 @@ TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Señorita", "Signora", "г-жа", "госпожа", "κυρία", "κα"],
     "u": ["Dr", "Prof"],
 }
+TITLES = {g: [*ts, *(t[0].upper() + t[1:] for t in ts if t[0].islower())] for g, ts in TITLES.items()}
 TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 #: In the order in which they are tried at a place of the text.
 PATTERNS = {
@@ -67,17 +68,27 @@ ALPHABET = {
 DRAWS = 64
 
 
-def script(text: Column) -> Column:
-    """The script of the first letter that is not ASCII, else latin."""
-    out = F.lit("latin")
-    for name in ("greek", "hebrew", "arabic", "devanagari", "hiragana", "katakana", "hangul", "han", "cyrillic"):
-        out = F.when(text.rlike(rf"\p{{Is{name.capitalize()}}}"), name).otherwise(out)
+def bind(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def chars(text: Column) -> Column:
+    return F.split(text, "(?!^)(?!$)")
+
+
+def by_script(text: Column, values: dict[str, Column], other: Column) -> Column:
+    """The value for the script of a text (that of any letter beyond ASCII, else latin)."""
+    out = values["latin"]
+    for name in ALPHABET:
+        if name != "latin":
+            out = F.when(text.rlike(rf"\p{{Is{name.capitalize()}}}"), values.get(name, other)).otherwise(out)
     return out
 
 
 def luhn(digits: Column) -> Column:
     """Sum of the card checksum; the last digit is the check digit."""
-    d = F.transform(F.split(F.reverse(digits), ""), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+    d = F.transform(chars(F.reverse(digits)), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
     twice = F.transform(d, lambda x, i: F.when(i % 2 == 1, F.when(x > 4, 2 * x - 9).otherwise(2 * x)).otherwise(x))
     return F.aggregate(twice, F.lit(0), lambda a, x: a + x)
 
@@ -103,7 +114,10 @@ def kind(mention: Column) -> Column:
 
 def units(mention: Column) -> Column:
     """Parts of a mention: kind (null: kept as it is) and raw text, which joined give the mention."""
-    k = kind(mention)
+    return bind(kind(mention), lambda k: _units(mention, k))
+
+
+def _units(mention: Column, k: Column) -> Column:
     part = lambda kind, raw: F.struct(kind.cast("string").alias("kind"), raw.alias("raw"))
     kept = lambda raw: part(F.lit(None), raw)
     local, domain = F.substring_index(mention, "@", 1), F.substring_index(mention, "@", -1)
@@ -141,51 +155,52 @@ def _pick(stream: Column, i: Column, alphabet: str) -> Column:
 
 def _letters(stream: Column, norm: Column) -> Column:
     """Digit for digit and letter for letter, in the script of the unit; other characters stay."""
-    s = script(norm)
-    letter = F.lit(None).cast("string")
 
-    def one(c: Column, i: Column) -> Column:
-        out = letter
-        for name, alphabet in ALPHABET.items():
-            out = F.when(s == name, _pick(stream, i, alphabet)).otherwise(out)
-        return F.when(c.rlike("^[0-9]$"), (_number(stream, i) % 10).cast("string")).when(c.rlike(rf"^[{LETTER}]$"), F.when(c.rlike("^[a-z]$"), _pick(stream, i, ALPHABET["latin"])).otherwise(out)).otherwise(c)
+    def each(alphabet: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            other = F.substring(alphabet, _number(stream, i) % F.length(alphabet) + 1, F.lit(1))
+            return F.when(c.rlike("^[0-9]$"), (_number(stream, i) % 10).cast("string")).when(c.rlike("^[a-z]$"), _pick(stream, i, ALPHABET["latin"])).when(c.rlike(rf"^[{LETTER}]$"), other).otherwise(c)
 
-    return F.array_join(F.transform(F.split(norm, "(?!^)"), one), "")
+        return F.array_join(F.transform(chars(norm), one), "")
+
+    return bind(by_script(norm, {k: F.lit(a) for k, a in ALPHABET.items()}, F.lit(ALPHABET["latin"])), each)
 
 
 def _digits(stream: Column, norm: Column, keep: Column) -> Column:
     """New digits beyond the first ``keep``; no leading zero in what follows."""
-    return F.array_join(F.transform(F.split(norm, "(?!^)"), lambda c, i: F.when(i < keep, c).when(i == keep, (2 + _number(stream, i) % 8).cast("string")).otherwise((_number(stream, i) % 10).cast("string"))), "")
+    return F.array_join(F.transform(chars(norm), lambda c, i: F.when(i < keep, c).when(i == keep, (2 + _number(stream, i) % 8).cast("string")).otherwise((_number(stream, i) % 10).cast("string"))), "")
+
+
+#: Vowels and consonants for syllables (fixed values).
+SYLLABLES = {"latin": ("aeiou", "bdklmnrstv"), "cyrillic": ("аеиоу", "бвдклмнрст"), "greek": ("αειου", "βδκλμνρστ")}
 
 
 def _name(stream: Column, norm: Column, draw: Column, lists: dict[str, str]) -> Column:
-    """A name of the list in the script; drawn again, with a syllable or more added."""
-    s, out = script(norm), _letters(stream, norm)
-    for name, words in lists.items():
-        have = words.lower().split()
-        i = F.floor(F.conv(F.substring(stream, 1, 8), 16, 10).cast("long") % len(have)).cast("int")
-        soft, hard = {"latin": ("aeiou", "bdklmnrstv"), "cyrillic": ("аеиоу", "бвдклмнрст"), "greek": ("αειου", "βδκλμνρστ")}[name]
-        more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), draw)), lambda k: F.concat(_pick(stream, 2 + 2 * (k % 6), hard), _pick(stream, 3 + 2 * (k % 6), soft))), "")
-        word = F.element_at(F.array(*[F.lit(w) for w in have]), i + 1)
-        out = F.when(s == name, F.concat(word, F.when(draw > 0, more).otherwise(""))).otherwise(out)
-    return out
+    """A name of the list in the script; drawn again, with a syllable or more added. Other scripts: letters."""
+    chosen = by_script(norm, {k: F.array(*[F.lit(w) for w in (*SYLLABLES[k], *words.lower().split())]) for k, words in lists.items()}, F.array().cast("array<string>"))
+
+    def one(words: Column) -> Column:
+        pick = lambda part, i: F.substring(words[part], _number(stream, i) % F.length(words[part]) + 1, F.lit(1))
+        more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), draw)), lambda k: F.concat(pick(1, 2 + 2 * (k % 6)), pick(0, 3 + 2 * (k % 6)))), "")
+        i = (F.conv(F.substring(stream, 1, 8), 16, 10).cast("long") % (F.size(words) - 2)).cast("int")
+        return F.when(F.size(words) > 2, F.concat(words[i + 2], F.when(draw > 0, more).otherwise(""))).otherwise(_letters(stream, norm))
+
+    return bind(chosen, one)
 
 
 def surrogate(key: str, kind: Column, norm: Column, draw: Column) -> Column:
     """The normal form that stands for a unit, at its ``draw``-th draw."""
     # the stream is computed once for a unit, as it is bound to a variable
-    return F.transform(F.array(_stream(key, kind, norm, draw)), lambda st: _drawn(st, kind, norm, draw))[0]
+    return bind(_stream(key, kind, norm, draw), lambda st: _drawn(st, kind, norm, draw))
 
 
 def _drawn(st: Column, kind: Column, norm: Column, draw: Column) -> Column:
-    card = _digits(st, norm, F.lit(1))
-    body = F.substring(card, F.lit(1), F.length(card) - 1)
-    card = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
+    card = bind(F.substring(_digits(st, norm, F.lit(1)), F.lit(1), F.length(norm) - 1), lambda body: F.concat(body, ((10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")))
     octet = lambda o, i: F.when((F.length(o) == 3) | (draw > 8), 100 + _number(st, i) % 156).when(F.length(o) == 2, 10 + _number(st, i) % 90).otherwise(1 + _number(st, i) % 9).cast("string")
     ip = F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
     phone = _digits(st, norm, F.greatest(F.lit(0), F.length(norm) - 10))
-    hexed = F.array_join(F.transform(F.split(norm, "(?!^)"), lambda c, i: _pick(st, i, "0123456789abcdef")), "")
-    upper = F.array_join(F.transform(F.split(norm, "(?!^)"), lambda c, i: F.when((i < 4) & norm.startswith("AKIA"), c).when(c.rlike("^[A-Z0-9]$"), _pick(st, i, string.ascii_uppercase + "234567")).when(c.rlike("^[a-z]$"), _pick(st, i, ALPHABET["latin"])).otherwise(c)), "")
+    hexed = F.array_join(F.transform(chars(norm), lambda c, i: _pick(st, i, "0123456789abcdef")), "")
+    upper = F.array_join(F.transform(chars(norm), lambda c, i: F.when((i < 4) & norm.startswith("AKIA"), c).when(c.rlike("^[A-Z0-9]$"), _pick(st, i, string.ascii_uppercase + "234567")).when(c.rlike("^[a-z]$"), _pick(st, i, ALPHABET["latin"])).otherwise(c)), "")
     secret = F.when(norm.rlike("^[0-9a-f]+$"), hexed).otherwise(upper)
     iban = F.concat(F.substring(norm, 1, 2), _digits(st, F.substring(norm, 3, 40), F.lit(0)))
     out = F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", _digits(st, norm, F.lit(0))).when(kind == "secret", secret).when(kind == "iban", iban)
@@ -199,13 +214,17 @@ def _drawn(st: Column, kind: Column, norm: Column, draw: Column) -> Column:
 
 def dressed(kind: Column, raw: Column, new: Column) -> Column:
     """A surrogate in the form of the mention: its separators, or its letter case."""
+    return bind(new, lambda n: _dressed(kind, raw, n))
+
+
+def _dressed(kind: Column, raw: Column, new: Column) -> Column:
 
     def put(acc: Column, c: Column) -> Column:
         mark = ~c.rlike("^[A-Za-z0-9]$")
         return F.struct((acc["i"] + F.when(mark, 0).otherwise(1)).alias("i"), F.concat(acc["s"], F.when(mark, c).otherwise(F.substring(new, acc["i"], F.lit(1)))).alias("s"))
 
-    apart = F.aggregate(F.split(raw, "(?!^)"), F.struct(F.lit(1).alias("i"), F.lit("").alias("s")), put, lambda a: a["s"])
-    each = F.array_join(F.zip_with(F.split(raw, "(?!^)"), F.split(new, "(?!^)"), lambda r, n: F.when(r.rlike(r"^\p{Lu}$"), F.upper(n)).otherwise(n)), "")
+    apart = F.aggregate(chars(raw), F.struct(F.lit(1).alias("i"), F.lit("").alias("s")), put, lambda a: a["s"])
+    each = F.array_join(F.zip_with(chars(raw), chars(new), lambda r, n: F.when(r.rlike(r"^\p{Lu}$"), F.upper(n)).otherwise(n)), "")
     case = F.when(F.length(raw) == F.length(new), each).when((F.upper(raw) == raw) & (F.lower(raw) != raw) & (F.length(raw) > 1), F.upper(new)).when(raw.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))).otherwise(new)
     return F.when(kind.isin("phone", "card", "ssn", "iban"), apart).when(kind.isin("ip", "secret"), new).otherwise(case)
 
@@ -255,9 +274,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     text = F.col(f"`{text_col}`").cast("string")
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_replaced", "entities")]
     rows = docs.select(*keep, mentions(text).alias("__m"))
-    if again is None:
-        rows = rows.withColumn("__again", F.lit(None).cast("map<string,int>"))
-    else:
+    if again is not None:
         # by text: what of it was drawn again
         met = docs.select(*text_key(text), F.explode(mentions(text)).alias("m")).distinct().select("_k1", "_k2", F.explode(units(F.col("m"))).alias("u")).where("u.kind is not null")
         met = met.select("_k1", "_k2", "u.kind", normal(F.col("u.kind"), F.col("u.raw")).alias("norm")).distinct().join(again, ["kind", "norm"])
@@ -266,9 +283,11 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         rows = rows.withColumns(dict(zip(["__k1", "__k2"], text_key(text)))).join(met.withColumnsRenamed({"_k1": "__k1", "_k2": "__k2"}), ["__k1", "__k2"], "left").drop("__k1", "__k2")
 
     def new(u: Column) -> Column:
-        norm = normal(u["kind"], u["raw"])
-        draw = F.coalesce(F.try_element_at(F.col("__again"), F.concat_ws("\x1f", u["kind"], norm)), F.lit(0))
-        return F.when(u["kind"].isNull(), u["raw"]).otherwise(dressed(u["kind"], u["raw"], surrogate(key, u["kind"], norm, draw)))
+        def drawn(norm: Column) -> Column:
+            draw = F.lit(0) if again is None else F.coalesce(F.try_element_at(F.col("__again"), F.concat_ws("\x1f", u["kind"], norm)), F.lit(0))
+            return dressed(u["kind"], u["raw"], bind(draw, lambda d: surrogate(key, u["kind"], norm, d)))
+
+        return F.when(u["kind"].isNull(), u["raw"]).otherwise(bind(normal(u["kind"], u["raw"]), drawn))
 
     def one(m: Column) -> Column:
         changed = F.array_join(F.transform(units(m), new), "")

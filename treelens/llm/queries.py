@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, imi, mixing, quality, sharding, simhash, surrogates, toxicity
+from . import chat, decontam, imi, mixing, quality, sharding, simhash, surrogates, toxicity, warc
 from .sql import ORACLES  # noqa: F401
 
 
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 KEY = "treelens-surrogates"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    said = {"record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "source_block_digest": "WARC-Source-Block-Digest", "source_payload_digest": "WARC-Source-Payload-Digest"}
+    return rows.select("page_id", "warc_type", *[warc.header(v).alias(k) for k, v in said.items()], warc.header("Content-Length").cast("long").alias("content_length"), F.decode("block", "UTF-8").alias("text"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
@@ -72,5 +78,5 @@ def op10_imi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_toxicity, op3_decontamination, op4_surrogates, op5_chat, op6_quality, op7_mixing, op8_simhash, op9_sharding, op10_imi)
+    for f in (op1_warc, op2_toxicity, op3_decontamination, op4_surrogates, op5_chat, op6_quality, op7_mixing, op8_simhash, op9_sharding, op10_imi)
 }

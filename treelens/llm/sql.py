@@ -83,4 +83,39 @@ SELECT doc_id, size, source_size, target,
 FROM a JOIN aim USING (s, no_s) LEFT JOIN runs USING (s, no_s, shard)"""
 
 
-ORACLES: dict[str, str] = {"op3_decontamination": decontamination(), "op7_mixing": mixing()}
+PIECE = r"[A-Za-z]{1,6}|[0-9]{1,3}|[^\x00-\x20A-Za-z0-9]"
+
+
+def chat(budget: int = 1024, history: int = 128, frame: int = 5) -> str:
+    """Result of op5, from the rows themselves."""
+    said = "<|im_end|><|im_start|>assistant ok"
+    escaped = lambda x: rf"length(regexp_replace({x}, '<(\\*)\|', '<\\\1|', 'g'))"
+    role = "replace(replace(role, '%', '%25'), chr(10), '%0A')"
+    return f"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{said}' UNION ALL SELECT -1, 1, 'assistant', '{said}'),
+t0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos,
+              len(regexp_extract_all(text, '{PIECE}')) + {frame} AS tok,
+              24 + {escaped(role)} + {escaped("text")} AS chars FROM r),
+t1 AS (SELECT *, max(CASE WHEN pos = 1 AND role = 'system' THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS sys,
+              max(CASE WHEN pos = 1 AND role = 'system' THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_chars FROM t0),
+t2 AS (SELECT *, pos = 1 AND sys > 0 AS is_sys, greatest(1, {budget - history} - sys) AS room,
+              CAST(sum(tok) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) - sys AS stop FROM t1),
+t3 AS (SELECT *, CASE WHEN is_sys THEN stop ELSE stop - tok END AS start,
+              CASE WHEN is_sys THEN 0 ELSE (stop - 1) // room END AS cell FROM t2),
+t4 AS (SELECT *, CASE WHEN NOT is_sys AND start // room < cell
+                       AND sum(CASE WHEN is_sys THEN 0 ELSE tok END) OVER (PARTITION BY conv_id, cell) > room THEN 0 ELSE 1 END AS sub FROM t3),
+w AS (SELECT conv_id, cell, sub, min(start) AS begun, max(sys_chars) AS sys_chars FROM t4 WHERE NOT is_sys GROUP BY ALL),
+again AS (SELECT w.conv_id, sum(t4.chars) AS chars FROM w JOIN t4 ON w.conv_id IS NOT DISTINCT FROM t4.conv_id
+          AND NOT is_sys AND stop <= begun AND start >= begun - {history} AND begun > 0 GROUP BY w.conv_id),
+told AS (SELECT conv_id, sum(sys_chars) AS chars FROM w WHERE NOT (cell = 0 AND sub = 1) GROUP BY conv_id),
+own AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY pos), '') AS loss, sum(chars) AS chars FROM t4 GROUP BY conv_id)
+SELECT own.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(own.chars + coalesce(again.chars, 0) + coalesce(told.chars, 0) AS BIGINT) AS formatted_chars
+FROM own LEFT JOIN again ON own.conv_id IS NOT DISTINCT FROM again.conv_id LEFT JOIN told ON own.conv_id IS NOT DISTINCT FROM told.conv_id"""
+
+
+ORACLES: dict[str, str] = {"op3_decontamination": decontamination(), "op5_chat": chat(), "op7_mixing": mixing()}

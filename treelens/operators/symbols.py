@@ -19,7 +19,7 @@ def references(imports: DataFrame, attributes: DataFrame) -> DataFrame:
     named = live.where("name is not null").select("module", "name", "importer")
     # a module is written by its alias, or by its whole name
     whole = live.where("name is null").select("path", "module", "importer", F.explode(F.array_distinct(F.array("module", F.coalesce("alias", "module")))).alias("receiver"))
-    by_attribute = attributes.join(whole, ["path", "receiver"]).select("module", "name", "importer")
+    by_attribute = attributes.select("path", "receiver", "name").join(whole, ["path", "receiver"]).select("module", "name", "importer")
     return named.union(by_attribute).distinct()
 
 

@@ -7,8 +7,10 @@ hold enough vectors; these are ranked by their exact cosine.
 
 Codebooks are fitted on at most SAMPLE vectors; every vector is indexed.
 Equal vectors are one entry with their smallest ids, as many as a result can
-show. Cells are cut in chunks, and the queries of a cell too, so a task holds
-at most CHUNK vectors and QUERIES queries of it.
+show. Neighbouring cells are put together in blocks of about CHUNK vectors, a
+larger cell is cut in chunks, and so are the queries of a block: a task ranks
+about CHUNK vectors and QUERIES queries at once, each query those of its
+cells, and only the best go on.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from treelens.session import Shared
 
 from .common import written
 
-SAMPLE, CHUNK, QUERIES = 32_768, 4096, 2048
+SAMPLE, CHUNK, QUERIES = 32_768, 4096, 512
 #: Vectors of a cell on average, and the most centroids of a half.
 PER_CELL, MOST = 64, 256
 #: Vectors that a query ranks at least; queries of the sample that set how many more, and the recall they are set for.
@@ -136,7 +138,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = REC
     rows = rows.where(F.size("vector") == width)
 
     # equal vectors: the k + 1 smallest ids, one of which may be the query's own
-    by_vector = rows.select("vec_id", "vector", F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit("treelens"), "vector").alias("k2"))
+    keys = F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit("treelens"), "vector").alias("k2")
+    by_vector = rows.groupBy(*keys, "vec_id").agg(F.first("vector").alias("vector"))
     few = by_vector.withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     entries = few.groupBy("k1", "k2").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
     entries = written(entries.select(F.col("k1").alias("key"), "vector", "ids"), "imi-entries")
@@ -161,46 +164,60 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = REC
     held = np.zeros(size[0] * size[1], np.int64)
     for r in placed.groupBy("cell").count().collect():  # at most MOST * MOST rows
         held[r["cell"]] = r["count"]
-    counts = Shared(spark, held)
+    block_of = (np.cumsum(held) - held) // CHUNK
+    in_block = np.bincount(block_of, held).astype(np.int64)
+    counts = Shared(spark, (held, block_of))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (a, b), held = shared.value, counts.value
+        (a, b), (held, block_of) = shared.value, counts.value
         for y in batches:
             for i in range(0, y.num_rows, 256):
                 part = y.slice(i, 256)
                 x = unit(_matrix(part.column(1), width))
                 p, q = distances(x[:, :half], a), distances(x[:, half:], b)
-                cells = [traverse(p[j], q[j], held, enough) for j in range(len(x))]
-                yield pa.record_batch([*part.columns, pa.array(cells, pa.list_(pa.int64()))], ["query_id", "query", "cells"])
+                row, block, cells = [], [], []
+                for j in range(len(x)):
+                    own = np.sort(np.array(traverse(p[j], q[j], held, enough), np.int64))
+                    cut = np.flatnonzero(np.r_[True, np.diff(block_of[own]) > 0])
+                    block += block_of[own[cut]].tolist()
+                    cells += np.split(own, cut[1:])
+                    row += [j] * len(cut)
+                at = pa.array(row, pa.int64())
+                yield pa.record_batch([*[c.take(at) for c in part.columns], pa.array(block, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], ["query_id", "query", "block", "cells"])
 
     queries = rows.where("is_query").select("vec_id", "vector").distinct()
-    visits = queries.mapInArrow(visit, "query_id long, query array<double>, cells array<long>").select("query_id", "query", F.explode("cells").alias("cell"))
-    visits = written(visits, "imi-visits")
-    asked = np.zeros(len(held), np.int64)
-    for r in visits.groupBy("cell").count().collect():  # as many
-        asked[r["cell"]] = r["count"]
-    parts = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(held)), "chunks": np.maximum(1, -(-held // CHUNK)), "groups": np.maximum(1, -(-asked // QUERIES))})[asked > 0], "cell long, chunks long, groups long")
-    parts = F.broadcast(parts)
-    left = visits.join(parts, "cell").select("cell", F.pmod(F.xxhash64("query_id", "query"), "groups").alias("group"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "query_id", "query")
-    right = placed.join(parts, "cell").select("cell", F.explode(F.expr("sequence(0, groups - 1)")).alias("group"), F.pmod(F.xxhash64("key"), "chunks").alias("chunk"), "vector", "ids")
+    visits = written(queries.mapInArrow(visit, "query_id long, query array<double>, block long, cells array<long>"), "imi-visits")
+    asked = np.zeros(len(in_block), np.int64)
+    for r in visits.groupBy("block").count().collect():  # no more blocks than cells
+        asked[r["block"]] = r["count"]
+    parts = pd.DataFrame({"block": np.arange(len(in_block)), "chunks": np.maximum(1, -(-in_block // CHUNK)), "groups": np.maximum(1, -(-asked // QUERIES))})
+    # a block of several cells may be a little above CHUNK; only a block that is one large cell is cut
+    parts.loc[in_block < 2 * CHUNK, "chunks"] = 1
+    parts = F.broadcast(spark.createDataFrame(parts[asked > 0], "block long, chunks long, groups long"))
+    blocks = F.broadcast(spark.createDataFrame(pd.DataFrame({"cell": np.flatnonzero(held), "block": block_of[held > 0]}), "cell long, block long"))
+    left = visits.join(parts, "block").select("block", F.pmod(F.xxhash64("query_id", "query"), "groups").alias("group"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "query_id", "query", "cells")
+    right = placed.join(blocks, "cell").join(parts, "block").select("block", F.explode(F.expr("sequence(0, groups - 1)")).alias("group"), F.pmod(F.xxhash64("key"), "chunks").alias("chunk"), "vector", "ids", "cell")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
         q, v = unit(_matrix(left["query"], width)), unit(_matrix(right["vector"], width))
-        who, ids = left["query_id"].to_numpy(), right["ids"].to_pylist()
-        score = q @ v.T
-        most = min(k + 1, len(v))
-        rows = []
-        for i in range(len(q)):
+        who, ids, cell = left["query_id"].to_numpy(), right["ids"].to_pylist(), right["cell"].to_numpy()
+        known, cell = np.unique(cell, return_inverse=True)
+        score, rows = q @ v.T, []
+        for i, own in enumerate(left["cells"].to_pylist()):
+            at = np.flatnonzero(np.isin(known, own)[cell])
+            if not len(at):
+                continue
+            most = min(k + 1, len(at))
             # all that reach the last place, so that ties are settled by id
-            last = np.partition(score[i], len(v) - most)[len(v) - most]
-            own = sorted((-score[i, j], x) for j in np.flatnonzero(score[i] >= last).tolist() for x in ids[j] if x != who[i])[:k]
-            rows += [(int(who[i]), x, float(-s)) for s, x in own]
+            last = np.partition(score[i, at], len(at) - most)[len(at) - most]
+            best = sorted((-score[i, j], x) for j in at[score[i, at] >= last].tolist() for x in ids[j] if x != who[i])[:k]
+            rows += [(int(who[i]), x, float(-s)) for s, x in best]
         return pa.table([pa.array(c) for c in zip(*rows)], schema=out) if rows else out.empty_table()
 
-    keys = ["cell", "group", "chunk"]
+    keys = ["block", "group", "chunk"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place_ = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

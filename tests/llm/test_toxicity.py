@@ -31,8 +31,8 @@ def frames(spark, docs, labels):
 def test_held_out_accuracy_and_exact_neighbours(spark):
     docs, labels = corpus()
     d, lab = frames(spark, docs, labels)
-    model = toxicity.fit(d, lab)
-    out = toxicity.score(d, model, carry=["doc_id"]).collect()
+    model, rows = toxicity.fit(d, lab, ["doc_id"])
+    out = toxicity.score(rows, model).collect()
     truth = dict(labels)
     rest = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
     assert not rest & set(model.index.ids.tolist())
@@ -57,7 +57,7 @@ def test_held_out_accuracy_and_exact_neighbours(spark):
 def test_document_frequencies_are_of_all_documents(spark):
     docs, labels = corpus(200)
     docs += [(10_000 + i, f"idiot number {i}") for i in range(50)]
-    model = toxicity.fit(*frames(spark, docs, labels))
+    model, _ = toxicity.fit(*frames(spark, docs, labels), ["doc_id"])
     j = model.vocabulary.ids["idiot"]
     df = sum("idiot" in t.split() for _, t in docs)
     assert abs(model.idf[j] - (np.log((1 + len(docs)) / (1 + df)) + 1)) < 1e-12
@@ -68,7 +68,7 @@ def test_odd_rows(spark):
     odd = [(None, "idiot scum trash loser"), (9000, None), (9001, ""), (9002, "x " * 300_000 + "idiot scum trash loser " * 20), (1, "idiot scum trash"), (1, "idiot scum trash")]
     labels += [(None, 1), (9001, None), (3, 5), (1, 0), (1, 1)]
     d, lab = frames(spark, docs + odd, labels)
-    out = toxicity.score(d, toxicity.fit(d, lab)).collect()
+    out = toxicity.classify(d, lab).collect()
     assert len(out) == len(docs) + len(odd) and all(0 <= r.score <= 1 for r in out)
     by = {(r.doc_id, (r.text or "")[:5]): r for r in out}
     assert by[(None, "idiot")].predicted == 1 and by[(9000, "")].predicted == 0 and by[(9002, "x x x")].predicted == 1
@@ -79,9 +79,9 @@ def test_odd_rows(spark):
 
 def test_without_labels_and_empty(spark):
     d, lab = frames(spark, [(1, "a"), (2, None)], [])
-    assert [r.predicted for r in toxicity.score(d, toxicity.fit(d, lab)).collect()] == [0, 0]
+    assert [r.predicted for r in toxicity.classify(d, lab).collect()] == [0, 0]
     d, lab = frames(spark, [], [(1, 1)])
-    assert toxicity.score(d, toxicity.fit(d, lab)).count() == 0
+    assert toxicity.classify(d, lab).count() == 0
 
 
 def test_text_in_pieces():

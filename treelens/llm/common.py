@@ -122,7 +122,8 @@ def pieces(text: str | None, most: int = 4 << 20) -> Iterator[str]:
         end = end if end > start else text.find(" ", start + most) + 1 or len(text)
         yield text[start:end]
         start = end
-    yield text[start:] if start else text
+    if start < len(text) or not text:
+        yield text[start:]
 
 
 def labelled(labels: DataFrame, label: str, divisor: int, held_out: int) -> DataFrame:

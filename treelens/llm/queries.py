@@ -25,7 +25,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    rows = toxicity.classify(docs, table(spark, sf_dir, "labels"), carry=["doc_id"])
     return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "evidence")
 
 

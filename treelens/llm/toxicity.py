@@ -31,9 +31,10 @@ from .common import by_bytes, examples, labelled, pieces, remainder, written
 WORD = re.compile(r"\w+")
 #: Beginnings of longer words that are terms too.
 PREFIXES = (4, 5)
-#: Least chi-square of a term (one in about two million by chance).
-LEAST_CHI2 = 25.0
+#: Least chi-square of a term (one in about two million by chance), and how much likelier it must be with one label than with the other.
+LEAST_CHI2, LEAST_LIFT = 25.0, 3.0
 BLOCK = 64
+TOGETHER = 4096
 MEMO = 1 << 20
 
 
@@ -89,7 +90,7 @@ class BlockMaxIndex:
         # examples that share their strongest term and label lie together
         strong = [int(t[np.argmax(w)]) if len(w) else -1 for t, w in vectors]
         order = np.lexsort((ids, strong, labels)) if len(ids) else np.zeros(0, np.int64)
-        self.ids, self.labels = ids[order], labels[order]
+        self.order, self.ids, self.labels = order, ids[order], labels[order]
         vectors = [vectors[i] for i in order]
         n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
         row = np.repeat(np.arange(n), [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
@@ -99,6 +100,7 @@ class BlockMaxIndex:
         self.row, self.weight = row[sort], weight[sort]
         cell = term[sort] * self.blocks + self.row // BLOCK
         self.begin = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).astype(np.int64)
+        self.held = np.diff(self.begin).reshape(n_terms, self.blocks)
         self.most = np.zeros(n_terms * self.blocks)
         np.maximum.at(self.most, cell, self.weight)
         self.most = self.most.reshape(n_terms, self.blocks)
@@ -110,18 +112,25 @@ class BlockMaxIndex:
         bound = weight @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        score, who = np.zeros(0), np.zeros(0, np.int64)
-        for i in range(0, len(order), 4):
+        # blocks are taken together until they hold about TOGETHER postings of the query
+        held = np.cumsum(self.held[terms][:, order].sum(0))
+        score, who, i = np.zeros(0), np.zeros(0, np.int64), 0
+        while i < len(order):
             if len(score) >= k and bound[order[i]] < score[k - 1] - 1e-9:
                 break
-            chosen = order[i : i + 4]
+            end = max(i + 1, int(np.searchsorted(held, (held[i - 1] if i else 0) + TOGETHER, side="right")))
+            chosen, i = order[i:end], end
             cell = (terms[:, None] * self.blocks + chosen[None, :]).ravel()
             size = self.begin[cell + 1] - self.begin[cell]
             at = np.repeat(self.begin[cell] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            rows, back = np.unique(self.row[at], return_inverse=True)
-            got = np.bincount(back, np.repeat(np.repeat(weight, len(chosen)), size) * self.weight[at], len(rows))
-            keep = (rows != without) & (got > 0) if without is not None else got > 0
-            score, who = np.r_[score, np.minimum(got[keep], 1.0)], np.r_[who, rows[keep]]
+            got = np.bincount(self.row[at], np.repeat(np.repeat(weight, len(chosen)), size) * self.weight[at], len(self.ids))
+            if without is not None:
+                got[without] = 0
+            rows = np.flatnonzero(got)
+            if len(rows) > k:
+                last = np.partition(got[rows], len(rows) - k)[len(rows) - k]
+                rows = rows[got[rows] >= last]
+            score, who = np.r_[score, np.minimum(got[rows], 1.0)], np.r_[who, rows]
             best = np.lexsort((self.ids[who], -score))[:k]
             score, who = score[best], who[best]
         return list(zip(score.tolist(), who.tolist()))
@@ -181,37 +190,33 @@ class Model:
             self.slope, self.shift = float(a), float(b)
 
 
-def _frequencies(docs: DataFrame, vocabulary, n_terms: int) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those that hold each term, over all of ``docs`` (their texts)."""
+def vectors(docs: DataFrame, vocabulary: Vocabulary, carry: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``carry`` of every row, and __ids and __counts: which terms its text has, and how often."""
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in carry])
+    shared = Shared(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = vocabulary.value
-        total = np.zeros(n_terms + 1, np.int64)
+        v: Vocabulary = shared.value
         for whole in batches:
             for x in by_bytes(whole, 0):
-                for t in x.column(0):
-                    total[v.count(t.as_py())[0]] += 1
-                    total[n_terms] += 1
-        k = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(k), pa.array(total[k])], ["term", "n"])
-
-    out = np.zeros(n_terms + 1, np.int64)
-    for r in docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r.term] = r.n
-    return int(out[n_terms]), out[:n_terms]
+                both = [v.count(t.as_py()) for t in x.column(0)]
+                lists = [pa.array([p[i] for p in both], pa.list_(pa.int64())) for i in (0, 1)]
+                yield pa.record_batch([*x.columns[1:], *lists], [*x.schema.names[1:], "__ids", "__counts"])
 
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{schema}__ids array<long>, __counts array<long>")
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label: str = "toxic", divisor: int = 5, held_out: int = 0, per_class: int = 4096, n_terms: int = 4096, k: int = 15) -> Model:
-    """A model from ``labels`` (doc_id, label), leaving out ids whose remainder is ``held_out``.
 
-    Without examples of both labels every score is the share of label 1, or
-    0 if there are no labels.
-    """
-    spark = docs.sparkSession
-    rows = written(labelled(labels, label, divisor, held_out), "labels")
-    n = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    own = written(examples(docs, rows, per_class, text_col), "examples")
-    held = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def _frequencies(rows: DataFrame, n_terms: int) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that hold each term, over all rows of ``vectors``."""
+    out = np.zeros(n_terms, np.int64)
+    for r in rows.select(F.explode("__ids").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():
+        out[r.term] = r.n
+    return rows.count(), out
+
+
+def choose_terms(own: DataFrame, pos: int, neg: int, n_terms: int) -> Vocabulary:
+    """Terms of the examples (label, text) that depend most on the label."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -219,66 +224,73 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label: str =
                 found = [list(terms(t.as_py())) for t in x.column(1)]
                 yield pa.record_batch([x.column(0), pa.array(found, pa.list_(pa.string()))], ["label", "terms"])
 
-    pos, neg = held.get(1, 0), held.get(0, 0)
     by_term = own.select("label", "text").mapInArrow(seen, "label int, terms array<string>").select("label", F.explode("terms").alias("term"))
     by_term = by_term.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where("a + b >= 3")
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     c, d = pos - a, neg - b
     chi2 = (pos + neg) * F.pow(a * d - b * c, 2) / ((a + b) * (c + d + 1e-9) * (pos + 1e-9) * (neg + 1e-9))
-    found = by_term.select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(n_terms).collect()
-    vocabulary = Vocabulary({r.term: i for i, r in enumerate(found)})
-    shared = Shared(spark, vocabulary)
+    lift = ((a + 0.5) / (pos + 1)) / ((b + 0.5) / (neg + 1))
+    strong = (chi2 >= LEAST_CHI2) & (F.greatest(lift, 1 / lift) >= LEAST_LIFT)
+    found = by_term.where(strong).select("term", chi2.alias("chi2")).orderBy(F.desc("chi2"), "term").limit(n_terms).collect()
+    return Vocabulary({r.term: i for i, r in enumerate(found)})
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = shared.value
-        for whole in batches:
-            for x in by_bytes(whole, 2):
-                both = [v.count(t.as_py()) for t in x.column(2)]
-                yield pa.record_batch([x.column(0), x.column(1), *[pa.array([list(p[i]) for p in both], pa.list_(pa.int64())) for i in (0, 1)]], ["doc_id", "label", "ids", "counts"])
 
-    rows = own.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, ids array<long>, counts array<long>").collect()
-    total, df = _frequencies(docs.select(F.col(f"`{text_col}`").cast("string")), shared, len(found))
+def fit(docs: DataFrame, labels: DataFrame, carry: list[str], text_col: str = "text", label: str = "toxic", divisor: int = 5, held_out: int = 0, per_class: int = 4096, n_terms: int = 4096, k: int = 15) -> tuple[Model, DataFrame]:
+    """A model from ``labels`` (doc_id, label), leaving out ids whose remainder is ``held_out``; and the vectors of all rows.
+
+    Each text is read once for its terms. Without examples of both labels
+    every score is the share of label 1, or 0 if there are no labels.
+    """
+    rows = written(labelled(labels, label, divisor, held_out), "labels")
+    n = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    own = written(examples(docs, rows, per_class, text_col), "examples")
+    held = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    pos, neg = held.get(1, 0), held.get(0, 0)
+    vocabulary = choose_terms(own, pos, neg, n_terms)
+    every = written(vectors(docs, vocabulary, carry, text_col), "vectors")
+    total, df = _frequencies(every, len(vocabulary.ids))
     idf = np.log((1 + total) / (1 + df)) + 1
+    found = vectors(own, vocabulary, ["doc_id", "label"]).collect()
     vecs = []
-    for r in rows:
-        ids = np.array(r.ids, np.int64)
-        vecs.append((ids, weights(ids, np.array(r.counts, np.int64), idf)))
-    ids, ys = np.array([r.doc_id for r in rows], np.int64), np.array([r.label for r in rows], np.int64)
-    index = BlockMaxIndex(ids, ys, vecs, len(found))
-    order = {}
-    for i, v in zip(ids, vecs):
-        order.setdefault(int(i), v)
-    every = sum(n.values())
-    model = Model(vocabulary, idf, index, (n.get(0, 0) / max(neg, 1) / max(every, 1) * max(pos + neg, 1), n.get(1, 0) / max(pos, 1) / max(every, 1) * max(pos + neg, 1)), n.get(1, 0) / every if every else 0.0, k)
-    model.calibrate([order[int(i)] for i in index.ids])
-    return model
+    for r in found:
+        ids = np.array(r["__ids"], np.int64)
+        vecs.append((ids, weights(ids, np.array(r["__counts"], np.int64), idf)))
+    ids, ys = np.array([r.doc_id for r in found], np.int64), np.array([r.label for r in found], np.int64)
+    index = BlockMaxIndex(ids, ys, vecs, len(vocabulary.ids))
+    labels_ = sum(n.values())
+    stands = [n.get(y, 0) / max(h, 1) / max(labels_, 1) * max(pos + neg, 1) for y, h in ((0, neg), (1, pos))]
+    model = Model(vocabulary, idf, index, (stands[0], stands[1]), n.get(1, 0) / labels_ if labels_ else 0.0, k)
+    model.calibrate([vecs[i] for i in index.order])
+    return model, every
 
 
 EVIDENCE = "array<struct<doc_id: long, label: int, similarity: double>>"
 
 
-def score(docs: DataFrame, model: Model, carry: list[str] | None = None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The columns ``carry`` (all, if None) of every row, and score, predicted and evidence (the nearest examples).
+def score(rows: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """Rows of ``vectors`` with score, predicted and evidence (the nearest examples) in the place of their terms.
 
     A null or empty text has no terms, hence no neighbours; its score is the
     calibrated prior. Columns of those names give way.
     """
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "predicted", "evidence")]
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in carry])
-    shared = Shared(docs.sparkSession, model)
+    new = ("score", "predicted", "evidence")
+    rows = rows.select("__ids", "__counts", *[F.col(f"`{c}`") for c in rows.columns if c not in ("__ids", "__counts", *new)])
+    shared = Shared(rows.sparkSession, model)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for whole in batches:
-            for x in by_bytes(whole, 0):
-                near = [m.neighbours(t.as_py()) for t in x.column(0)]
-                p = np.array([m.score(n) for n in near])
-                shown = [[{"doc_id": int(m.index.ids[i]), "label": int(m.index.labels[i]), "similarity": s} for s, i in n] for n in near]
-                cols = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(shown, kind)]
-                yield pa.record_batch([*x.columns[1:], *cols], [*x.schema.names[1:], "score", "predicted", "evidence"])
-
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+        for x in batches:
+            near = []
+            for i, c in zip(x.column(0), x.column(1)):
+                ids = i.values.to_numpy(zero_copy_only=False)
+                near.append(m.index.search(ids, weights(ids, c.values.to_numpy(zero_copy_only=False), m.idf), m.k))
+            p = np.array([m.score(n) for n in near])
+            shown = [[{"doc_id": int(m.index.ids[i]), "label": int(m.index.labels[i]), "similarity": s} for s, i in n] for n in near]
+            cols = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(shown, kind)]
+            yield pa.record_batch([*x.columns[2:], *cols], [*x.schema.names[2:], *new])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[2:])
     return rows.mapInArrow(run, f"{schema}score double, predicted int, evidence {EVIDENCE}")
 
 
@@ -286,6 +298,14 @@ def held_out(column: str = "doc_id", divisor: int = 5, rest: int = 0):
     return remainder(column, divisor) == rest
 
 
+def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, threshold: float = 0.5, **how) -> DataFrame:
+    """The columns ``carry`` (all, if None) of every row, and what ``score`` says of it, by a model fitted on ``docs`` and ``labels``."""
+    model, rows = fit(docs, labels, docs.columns if carry is None else carry, **how)
+    return score(rows, model, threshold)
+
+
 def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """``docs`` without those predicted toxic, by a model fitted on themselves and ``labels``."""
-    return score(docs, fit(docs, labels, **how)).where("predicted = 0").select(*docs.columns)
+    """``docs`` without those predicted toxic. Columns named like a score stay as they are."""
+    clash = {c: f"__own_{c}" for c in docs.columns if c in ("score", "predicted", "evidence")}
+    kept = classify(docs.withColumnsRenamed(clash), labels, **how).where("predicted = 0").drop("score", "predicted", "evidence")
+    return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)

@@ -59,7 +59,7 @@ def test_mix_is_near_its_targets_and_reruns_agree(spark):
         for s in size:
             assert abs(target[s] - expected[s]) < 1e-6
             # half a block for the source, and what rounding to blocks costs in each of its shards
-            assert abs(taken[s] - target[s]) <= mixing.BLOCK * (1 + 0.5 * -(-sum(size.values()) // shard_tokens)), s
+            assert abs(taken[s] - target[s]) <= mixing.BLOCK * (1 + 0.5 * -(-size[s] // shard_tokens)), s
         again = mixing.mix(df.repartition(7), shard_tokens=shard_tokens)
         key = lambda r: (str(r.doc_id), r["size"], r.taken)
         assert sorted(map(key, out)) == sorted(map(key, again.collect()))

@@ -27,8 +27,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEED = "treelens-mix"
 #: Tokens of a block; a source's mix is within about half a block of its target.
 BLOCK = 16
-#: A shard holds about so many tokens, but there are at most MAX_SHARDS of them.
-SHARD_TOKENS, MAX_SHARDS = 1_000_000, 65_536
+#: A shard of a source holds about so many tokens, but there are at most MAX_SHARDS of them.
+SHARD_TOKENS, MAX_SHARDS = 100_000, 65_536
+#: Tables of up to so many sources are broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2) -> dict[str | None, float]:
@@ -99,10 +101,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = {None if r.no_s else r.s: r.n for r in rows.groupBy("s", "no_s").agg(F.sum("size").alias("n")).collect()}
     aims = targets(sizes, weights, share, most)
     total = sum(sizes.values())
-    shards = min(MAX_SHARDS, max(1, -(-total // shard_tokens)))
-    quota = sainte_lague(list(aims.values()), math.floor(share * total / block + 0.5), [-(-most * sizes[x] // block) + most * shards for x in aims])
-    per = spark.createDataFrame([(x or "", x is None, sizes[x], aims[x], q) for x, q in zip(aims, quota)], "s string, no_s boolean, source_size long, target double, quota long")
-    rows = rows.withColumn("shard", F.pmod(_hex(F.col("key")), F.lit(shards)))
+    shards = {x: min(MAX_SHARDS, max(1, -(-n // shard_tokens))) for x, n in sizes.items()}
+    quota = sainte_lague(list(aims.values()), math.floor(share * total / block + 0.5), [-(-most * sizes[x] // block) + most * shards[x] for x in aims])
+    per = spark.createDataFrame([(x or "", x is None, sizes[x], aims[x], q, shards[x]) for x, q in zip(aims, quota)], "s string, no_s boolean, source_size long, target double, quota long, shards long")
+    per = F.broadcast(per) if len(aims) <= BROADCAST_SOURCES else per
+    rows = rows.join(per.select("s", "no_s", "shards"), ["s", "no_s"]).withColumn("shard", F.pmod(_hex(F.col("key")), F.col("shards"))).drop("shards")
 
     def deal(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("shard", ignore_index=True)
@@ -110,7 +113,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return x.drop(columns="quota")
 
     parts = rows.groupBy(*by).agg(F.sum("size").alias("tokens")).withColumn("n", blocks_of(F.col("tokens"), block))
-    parts = parts.join(F.broadcast(per), ["s", "no_s"]).groupBy("s", "no_s").applyInPandas(deal, "s string, no_s boolean, shard long, tokens long, n long, source_size long, target double, q long")
+    parts = parts.join(per.drop("shards"), ["s", "no_s"]).groupBy("s", "no_s").applyInPandas(deal, "s string, no_s boolean, shard long, tokens long, n long, source_size long, target double, q long")
     place = _hex(F.md5(F.concat_ws("|", F.lit(seed), "s", F.col("shard").cast("string"))))
     some = F.col("n") > 0
     parts = parts.withColumns({"f": F.when(some, F.pmod(place, F.col("n"))).otherwise(0), "m": F.when(some, F.col("q") % F.col("n")).otherwise(0), "times": F.when(some, F.expr("q div n")).otherwise(0)})

@@ -33,7 +33,7 @@ SELECT doc_id{keep}, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)"""
 
 
-def mixing(block: int = 16, shard_tokens: int = 1_000_000, seed: str = "treelens-mix") -> str:
+def mixing(block: int = 16, shard_tokens: int = 100_000, seed: str = "treelens-mix") -> str:
     """Result of op7; quotients are dealt one by one, so it is for small tables."""
     return f"""
 WITH RECURSIVE d AS (
@@ -41,9 +41,9 @@ WITH RECURSIVE d AS (
          CAST(len(regexp_extract_all(coalesce(text, ''), '{SPACED}')) AS BIGINT) AS size,
          md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS key
   FROM documents),
-tot AS (SELECT CAST(sum(size) AS BIGINT) AS total, greatest(1, least(65536, (CAST(sum(size) AS BIGINT) + {shard_tokens} - 1) // {shard_tokens})) AS shards FROM d),
+tot AS (SELECT CAST(sum(size) AS BIGINT) AS total FROM d),
 src AS (
-  SELECT s, no_s, CAST(sum(size) AS BIGINT) AS source_size,
+  SELECT s, no_s, CAST(sum(size) AS BIGINT) AS source_size, greatest(1, least(65536, (CAST(sum(size) AS BIGINT) + {shard_tokens} - 1) // {shard_tokens})) AS shards,
          CASE (row_number() OVER (ORDER BY no_s, s) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
   FROM d GROUP BY s, no_s),
 ranked AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * source_size AS DOUBLE) / w, no_s, s) AS k FROM src),
@@ -54,15 +54,15 @@ lev AS (
   SELECT min_by((1.5::DOUBLE * total - full_before) / w_after, k) AS level, min(k) AS k FROM cuts, tot
   WHERE (1.5::DOUBLE * total - full_before) / w_after * w <= 2 * source_size),
 aim AS (
-  SELECT s, no_s, source_size, CASE WHEN ranked.k < lev.k THEN CAST(2 * source_size AS DOUBLE) ELSE level * w END AS target
+  SELECT s, no_s, source_size, shards, CASE WHEN ranked.k < lev.k THEN CAST(2 * source_size AS DOUBLE) ELSE level * w END AS target
   FROM ranked, lev),
 quot AS (
   SELECT s, no_s, target / (2 * i - 1) AS q FROM (
-    SELECT s, no_s, target, unnest(generate_series(1, CAST((2 * source_size + {block} - 1) // {block} + 2 * shards AS BIGINT))) AS i FROM aim, tot WHERE target > 0)),
+    SELECT s, no_s, target, unnest(generate_series(1, CAST((2 * source_size + {block} - 1) // {block} + 2 * shards AS BIGINT))) AS i FROM aim WHERE target > 0)),
 won AS (SELECT s, no_s, count(*) AS quota FROM (
     SELECT *, row_number() OVER (ORDER BY q DESC, no_s, s) AS n FROM quot), tot
   WHERE n <= floor(1.5::DOUBLE * total / {block} + 0.5) GROUP BY s, no_s),
-e AS (SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % shards AS shard FROM d, tot),
+e AS (SELECT d.*, CAST('0x' || substr(key, 1, 8) AS BIGINT) % shards AS shard FROM d JOIN src USING (s, no_s)),
 part AS (SELECT s, no_s, shard, CAST(sum(size) AS BIGINT) AS tokens,
          CASE WHEN sum(size) > 0 THEN greatest(1, CAST(2 * sum(size) + {block} AS BIGINT) // {2 * block}) ELSE 0 END AS n
          FROM e GROUP BY s, no_s, shard),

@@ -248,7 +248,8 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     by_fp = distinct.join(found.join(ids, "root").select("fp", "root", "component_id"), "fp", "left")
     alone = F.col("root").isNull()
     by_fp = by_fp.select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "root", "component_id", "_k1", "_k2")
+    # both sides are read from files, so that a fingerprint with very many rows is a skewed join that Spark can split
+    return rows.join(written(by_fp, "simhash-component"), "fp").select("doc_id", "fp", "root", "component_id", "_k1", "_k2")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

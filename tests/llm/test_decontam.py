@@ -53,7 +53,7 @@ def cases():
 
 def test_matches_brute_force(spark):
     docs, items = cases()
-    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n_words", "2 as `_text`")
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n_words", "2 as `_text`", "3 as row", "4 as `c.d`", "5 as _k1")
     b = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as spans")
     truth = brute(docs, items)
     assert got(decontam.overlaps(d, b, carry=["doc_id"])) == truth

@@ -44,7 +44,7 @@ def table(spark):
 
 def test_mix_is_near_its_targets_and_reruns_agree(spark):
     rows, df = table(spark)
-    df = df.selectExpr("*", "1 as size", "2 as taken", "3 as shard")
+    df = df.selectExpr("*", "1 as size", "2 as taken", "3 as shard", "4 as row", "5 as key", "6 as s")
     for shard_tokens in (1_000_000, 2_000):
         out = mixing.mix(df, shard_tokens=shard_tokens).collect()
         assert len(out) == len(rows)

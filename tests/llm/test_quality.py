@@ -22,7 +22,7 @@ def corpus(n=500, seed=4):
 
 
 def frames(spark, docs, labels):
-    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "0.5D as score", "1 as x")
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "0.5D as score", "1 as x", "2 as row")
     return d, spark.createDataFrame(labels, "doc_id long, quality int")
 
 

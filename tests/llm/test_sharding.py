@@ -25,7 +25,7 @@ def test_groups_stay_together_and_bytes_are_even(spark):
     rng = random.Random(4)
     rows = [(i, "é" * rng.randint(0, 400)) for i in range(900)]
     rows += [(1000 + i, "the same text again") for i in range(300)] + [(2000, None), (2001, ""), (2002, "z" * 20000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as shard", "2 as slot", "'a' as item")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as shard", "2 as slot", "'a' as item", "4 as row", "5 as key")
     check(rows, sharding.shards(df).collect(), spread=40)
 
 

@@ -30,9 +30,9 @@ def test_kinds_formats_and_coreference(spark):
         (6, None, "b"),
         (7, "", "b"),
     ]
-    df = table(spark, rows).selectExpr("*", "1 as n_replaced", "'x' as __m2")
+    df = table(spark, rows).selectExpr("*", "1 as n_replaced", "'x' as m", "2 as row", "3 as again", "4 as _k1")
     out = s.replace(df, "k")
-    assert out.columns == ["doc_id", "text", "source", "__m2", "n_replaced", "entities"]
+    assert out.columns == ["doc_id", "text", "source", "m", "row", "again", "_k1", "n_replaced", "entities"]
     got = {r.doc_id: r for r in out.collect()}
     assert got[5].text == rows[4][1] and got[5].n_replaced == 0 and got[6].text is None and got[7].text == ""
     for i in (1, 2, 3, 4):

@@ -24,7 +24,7 @@ def corpus(n=600, seed=3):
 
 
 def frames(spark, docs, labels):
-    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "0.5D as score", "1 as term")
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "0.5D as score", "1 as ids", "2 as row", "3 as `c.d`")
     return d, spark.createDataFrame(labels, "doc_id long, toxic int").selectExpr("*", "1 as quality")
 
 

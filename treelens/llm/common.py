@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from treelens.session import cut, shared_dir
 
@@ -22,6 +23,25 @@ def alnum_words(text: bytes | None) -> list[bytes]:
     return text.translate(ALNUM).split() if text else []
 
 
+def col(name: str):
+    """A column by its exact name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_of(names: list[str]):
+    """Columns as one struct, so that no name of theirs meets one of ours."""
+    return (F.struct(*[col(c) for c in names]) if names else F.struct(F.lit(0).alias("__none"))).alias("row")
+
+
+def unpacked(names: list[str]) -> list:
+    return [F.col("row")[c].alias(c) for c in names]
+
+
+def with_fields(fields: list, ddl: str) -> StructType:
+    """A schema of given fields and further ones."""
+    return StructType([*fields, *StructType.fromDDL(ddl).fields])
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 of a string column without decoding it."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from treelens.session import Shared
 
-from .common import alnum_words, as_bytes, by_bytes, text_key, word_ids, written
+from .common import alnum_words, as_bytes, by_bytes, col, row_of, text_key, unpacked, with_fields, word_ids, written
 
 SPANS = "array<struct<start: long, end: long>>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -182,8 +182,7 @@ def _spans(hit: np.ndarray) -> list[dict]:
 
 
 def _scan(rows: DataFrame, block, only_hits: bool) -> DataFrame:
-    """n_words, spans and items beside the columns of ``rows``, whose first is the text ``__text``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    """n_words, spans and items beside the columns of ``rows``, whose first is the text."""
     out = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +206,7 @@ def _scan(rows: DataFrame, block, only_hits: bool) -> DataFrame:
                 y = pa.record_batch([*x.columns[1:], pa.array(n), pa.array(spans, out), pa.array(items, pa.list_(pa.string()))], [*x.schema.names[1:], "n_words", "spans", "items"])
                 yield y.filter(pa.array(touched)) if only_hits else y
 
-    return rows.mapInArrow(run, f"{schema + ', ' if schema else ''}n_words long, spans {SPANS}, items array<string>")
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[1:], f"n_words long, spans {SPANS}, items array<string>"))
 
 
 def _merged(spans: list) -> list:
@@ -240,35 +239,34 @@ def overlaps(docs: DataFrame, items: DataFrame, carry: list[str] | None = None,
     once. Columns of ``docs`` named n_words, spans or items give way to the
     new ones. The order of rows is kept; repeated documents stay.
     """
-    new = {"n_words", "spans", "items"}
+    new = ["n_words", "spans", "items"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in new]
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(text.alias("__text"), *[F.col(f"`{c}`") for c in carry])
+    rows = docs.select(col(text_col).cast("string").alias("text"), row_of(carry))
+    texts = rows.select("text")
     own = items.select(F.col("item_id").cast("string").alias("item_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
     total = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // block_bytes))
     if parts == 1:
-        block = prepare(rows.select("__text"), [(r.item_id, bytes(r.text or b"")) for r in own.collect()], window, shingle)
-        return _scan(rows, block, False)
+        block = prepare(texts, [(r.item_id, bytes(r.text or b"")) for r in own.collect()], window, shingle)
+        return _scan(rows, block, False).select(*unpacked(carry), *new)
     passes = []
-    keyed = rows.select("__text", *text_key(F.col("__text")))
+    keyed = rows.select("text", *text_key(F.col("text")))
     for k in range(parts):
         part = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        block = prepare(rows.select("__text"), [(r.item_id, bytes(r.text or b"")) for r in part], window, shingle)
+        block = prepare(texts, [(r.item_id, bytes(r.text or b"")) for r in part], window, shingle)
         if block is not None:
             passes.append(written(_scan(keyed, block, True).dropDuplicates(["_k1", "_k2"]), "decontam"))
             block.unpersist()
     if not passes:
-        return _scan(rows, None, False)
+        return _scan(rows, None, False).select(*unpacked(carry), *new)
     found = passes[0]
     for p in passes[1:]:
         found = found.union(p)
     found = found.groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    rows = rows.withColumns(dict(zip(["_q1", "_q2"], text_key(F.col("__text")))))
-    joined = rows.join(found, (rows["_q1"] == found["_k1"]) & (rows["_q2"] == found["_k2"]), "left")
-    n = F.coalesce(F.regexp_count("__text", F.lit(WORD)), F.lit(0)).cast("long")
-    nothing = F.array().cast("array<string>")
-    return _merge(joined.select(*[F.col(f"`{c}`") for c in carry], n.alias("n_words"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", nothing).alias("items")))
+    joined = rows.select("text", "row", *text_key(F.col("text"))).join(found, ["_k1", "_k2"], "left")
+    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    merged = _merge(joined.select("row", n.alias("n_words"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+    return merged.select(*unpacked(carry), *new)
 
 
 def n_hit(spans="spans"):
@@ -283,4 +281,5 @@ def contaminated(share: int = 20):
 
 def remove(docs: DataFrame, items: DataFrame, share: int = 20, **how) -> DataFrame:
     """``docs`` without those that are contaminated."""
-    return overlaps(docs, items, **how).where(~contaminated(share)).select(*docs.columns)
+    kept = overlaps(docs.select(row_of(docs.columns), col(how.pop("text_col", "text")).alias("text")), items, carry=["row"], **how).where(~contaminated(share))
+    return kept.select(*unpacked(docs.columns))

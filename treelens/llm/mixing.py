@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import row_of
+
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "treelens-mix"
 #: Tokens of a block; a source's mix is within about half a block of its target.
@@ -95,7 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         source.isNull().alias("no_s"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), text)).alias("key"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
+        *([row_of(docs.columns)] if carry else []),
     )
     spark, by = docs.sparkSession, ["s", "no_s", "shard"]
     sizes = {None if r.no_s else r.s: r.n for r in rows.groupBy("s", "no_s").agg(F.sum("size").alias("n")).collect()}

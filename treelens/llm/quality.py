@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from treelens.session import Shared
 
-from .common import as_bytes, by_bytes, examples, labelled, remainder
+from .common import as_bytes, by_bytes, col, examples, labelled, remainder, row_of, unpacked, with_fields
 
 #: Byte classes: 0 space, 1 small letter, 2 capital letter, 3 digit, 4 sentence mark, 5 other ASCII, 6 beyond ASCII (continuing: 7).
 CLASS = np.array([0 if c in b" \t\n\r\x0b\x0c" else 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in b".,;:!?'\"()-" else 5 if c < 128 else 7 if c < 192 else 6 for c in range(256)], np.uint8)
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None, text_co
     Null texts count as empty ones and are scored too.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "predicted")]
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in carry])
+    rows = docs.select(col(text_col).cast("string").alias("text"), row_of(carry))
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,10 +256,9 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None, text_co
         for whole in batches:
             for x in by_bytes(whole, 0):
                 p = m.score(np.array([features(t) for t in as_bytes(x.column(0))]).reshape(-1, len(NAMES)))
-                yield pa.record_batch([*x.columns[1:], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*x.schema.names[1:], "score", "predicted"])
+                yield pa.record_batch([x.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["row", "score", "predicted"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}score double, predicted int")
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[1:], "score double, predicted int")).select(*unpacked(carry), "score", "predicted")
 
 
 def held_out(column: str = "doc_id", divisor: int = 4, rest: int = 2):

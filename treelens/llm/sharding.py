@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_of, written
 
 ITEMS, BUCKETS, BUCKET_ITEMS = 1 << 24, 1024, 4096
 #: Rows of one numbering task, about.
@@ -95,7 +95,7 @@ def shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     where = dealt.join(F.broadcast(goes), ["bucket", "part"]).select("item", "shard")
     where = F.broadcast(where) if n_items <= BROADCAST_ROWS else where
     subs = max(1, min(MAX_SUBS, n_rows // (n_shards * SLOTS)))
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    row = [row_of(docs.columns)] if carry else []
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), size.alias("size"), F.crc32(text).cast("long").alias("text_crc32"), item.alias("item"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), *row)
     rows = rows.join(where, "item").withColumn("sub", F.pmod("key", F.lit(subs)))
     earlier = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, map_arrow, popcount, text_key, written
+from .common import as_bytes, col, components, map_arrow, popcount, row_of, text_key, unpacked, written
 
 #: Shingles hashed at once; bounds memory on very long texts.
 CHUNK = 1 << 16
@@ -63,8 +63,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fp = np.array([fingerprint(t, shingle) for t in as_bytes(batch.column(1))], np.uint64).view(np.int64)
         return pa.record_batch([batch.column(0), pa.array(fp), *batch.columns[2:]], ["doc_id", "fp", "_k1", "_k2"])
 
-    text = F.col(text_col).cast("string")
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *text_key(text)), run, "doc_id long, fp long, _k1 long, _k2 long")
+    text = col(text_col).cast("string")
+    return map_arrow(docs.select(col(id_col).cast("long").alias("doc_id"), text.alias("text"), *text_key(text)), run, "doc_id long, fp long, _k1 long, _k2 long")
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -258,8 +258,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
     keep = rows.groupBy("root").agg(F.min(first).alias("k"))
     keep = keep.select(F.col("k.doc_id").alias("_id"), F.col("k._k1").alias("_q1"), F.col("k._k2").alias("_q2"))
-    text = F.col(text_col).cast("string")
-    own = docs.withColumns(dict(zip(["_k1", "_k2"], text_key(text)))).withColumn("_own", F.col(id_col).cast("long"))
+    own = docs.select(row_of(docs.columns), *text_key(col(text_col).cast("string")), col(id_col).cast("long").alias("_own"))
     same = (own["_k1"] == keep["_q1"]) & (own["_k2"] == keep["_q2"]) & own["_own"].eqNullSafe(keep["_id"])
-    kept = own.join(keep, same, "left_semi").dropDuplicates(["_k1", "_k2", "_own"])
-    return kept.drop("_k1", "_k2", "_own")
+    return own.join(keep, same, "left_semi").dropDuplicates(["_k1", "_k2", "_own"]).select(*unpacked(docs.columns))

@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_key, written
+from .common import col, row_of, text_key, written
 
 LETTER, ALNUM = r"\p{L}\p{M}", r"\p{L}\p{M}\p{N}"
 #: Titles by gender (fixed values).
@@ -271,32 +271,29 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     for the same corpus. Columns of the new names give way; repeated rows stay.
     """
     again = drawn_again(docs, key, text_col)
-    text = F.col(f"`{text_col}`").cast("string")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_replaced", "entities")]
-    rows = docs.select(*keep, mentions(text).alias("__m"))
+    names = [c for c in docs.columns if c not in ("n_replaced", "entities")]
+    rows = docs.select(row_of([c for c in names if c != text_col]), col(text_col).cast("string").alias("text")).withColumn("m", mentions(F.col("text")))
     if again is not None:
         # by text: what of it was drawn again
-        met = docs.select(*text_key(text), F.explode(mentions(text)).alias("m")).distinct().select("_k1", "_k2", F.explode(units(F.col("m"))).alias("u")).where("u.kind is not null")
+        met = rows.select(*text_key(F.col("text")), F.explode("m").alias("m")).distinct().select("_k1", "_k2", F.explode(units(F.col("m"))).alias("u")).where("u.kind is not null")
         met = met.select("_k1", "_k2", "u.kind", normal(F.col("u.kind"), F.col("u.raw")).alias("norm")).distinct().join(again, ["kind", "norm"])
-        met = met.groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "norm"), "draw"))).alias("__again"))
-        met = written(met, "redrawn-texts")
-        rows = rows.withColumns(dict(zip(["__k1", "__k2"], text_key(text)))).join(met.withColumnsRenamed({"_k1": "__k1", "_k2": "__k2"}), ["__k1", "__k2"], "left").drop("__k1", "__k2")
+        met = met.groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "norm"), "draw"))).alias("again"))
+        rows = rows.select("*", *text_key(F.col("text"))).join(written(met, "redrawn-texts"), ["_k1", "_k2"], "left")
 
     def new(u: Column) -> Column:
         def drawn(norm: Column) -> Column:
-            draw = F.lit(0) if again is None else F.coalesce(F.try_element_at(F.col("__again"), F.concat_ws("\x1f", u["kind"], norm)), F.lit(0))
+            draw = F.lit(0) if again is None else F.coalesce(F.try_element_at(F.col("again"), F.concat_ws("\x1f", u["kind"], norm)), F.lit(0))
             return dressed(u["kind"], u["raw"], bind(draw, lambda d: surrogate(key, u["kind"], norm, d)))
 
         return F.when(u["kind"].isNull(), u["raw"]).otherwise(bind(normal(u["kind"], u["raw"]), drawn))
 
     def one(m: Column) -> Column:
-        changed = F.array_join(F.transform(units(m), new), "")
-        k = kind(m)
-        return F.struct(k.alias("kind"), changed.alias("surrogate"))
-
-    rows = rows.withColumn("entities", F.transform("__m", one))
-    between = F.split(text, ENTITY, -1)
-    put = F.array_join(F.zip_with(between, F.col("entities"), lambda b, e: F.concat(b, F.coalesce(e["surrogate"], F.lit("")))), "")
-    changed = F.when(F.size("__m") > 0, put).otherwise(text)
-    order = [changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_replaced", "entities")]
-    return rows.select(*order, F.coalesce(F.size(F.filter("entities", lambda e: e["kind"].isNotNull())), F.lit(0)).cast("long").alias("n_replaced"), F.coalesce(F.filter("entities", lambda e: e["kind"].isNotNull()), F.array().cast("array<struct<kind: string, surrogate: string>>")).alias("entities"))
+        return F.struct(kind(m).alias("kind"), F.array_join(F.transform(units(m), new), "").alias("surrogate"))
+
+    rows = rows.withColumn("all", F.transform("m", one))
+    put = F.array_join(F.zip_with(F.split("text", ENTITY, -1), F.col("all"), lambda b, e: F.concat(b, F.coalesce(e["surrogate"], F.lit("")))), "")
+    changed = F.when(F.size("m") > 0, put).otherwise(F.col("text"))
+    found = F.coalesce(F.filter("all", lambda e: e["kind"].isNotNull()), F.array().cast("array<struct<kind: string, surrogate: string>>"))
+    rows = rows.select("row", changed.alias("text"), found.alias("entities"))
+    own = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names]
+    return rows.select(*own, F.size("entities").cast("long").alias("n_replaced"), "entities")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from treelens.session import Shared
 
-from .common import by_bytes, examples, labelled, pieces, remainder, written
+from .common import by_bytes, col, examples, labelled, pieces, remainder, row_of, unpacked, with_fields, written
 
 WORD = re.compile(r"\w+")
 #: Beginnings of longer words that are terms too.
@@ -191,8 +191,8 @@ class Model:
 
 
 def vectors(docs: DataFrame, vocabulary: Vocabulary, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``carry`` of every row, and __ids and __counts: which terms its text has, and how often."""
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in carry])
+    """The columns ``carry`` of every row as ``row``, with ids and counts: which terms its text has, and how often."""
+    rows = docs.select(col(text_col).cast("string").alias("text"), row_of(carry))
     shared = Shared(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,16 +201,15 @@ def vectors(docs: DataFrame, vocabulary: Vocabulary, carry: list[str], text_col:
             for x in by_bytes(whole, 0):
                 both = [v.count(t.as_py()) for t in x.column(0)]
                 lists = [pa.array([p[i] for p in both], pa.list_(pa.int64())) for i in (0, 1)]
-                yield pa.record_batch([*x.columns[1:], *lists], [*x.schema.names[1:], "__ids", "__counts"])
+                yield pa.record_batch([x.column(1), *lists], ["row", "ids", "counts"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}__ids array<long>, __counts array<long>")
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[1:], "ids array<long>, counts array<long>"))
 
 
 def _frequencies(rows: DataFrame, n_terms: int) -> tuple[int, np.ndarray]:
     """Number of documents, and of those that hold each term, over all rows of ``vectors``."""
     out = np.zeros(n_terms, np.int64)
-    for r in rows.select(F.explode("__ids").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():
+    for r in rows.select(F.explode("ids").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():
         out[r.term] = r.n
     return rows.count(), out
 
@@ -250,11 +249,11 @@ def fit(docs: DataFrame, labels: DataFrame, carry: list[str], text_col: str = "t
     every = written(vectors(docs, vocabulary, carry, text_col), "vectors")
     total, df = _frequencies(every, len(vocabulary.ids))
     idf = np.log((1 + total) / (1 + df)) + 1
-    found = vectors(own, vocabulary, ["doc_id", "label"]).collect()
+    found = vectors(own, vocabulary, ["doc_id", "label"]).select("row.*", "ids", "counts").collect()
     vecs = []
     for r in found:
-        ids = np.array(r["__ids"], np.int64)
-        vecs.append((ids, weights(ids, np.array(r["__counts"], np.int64), idf)))
+        ids = np.array(r["ids"], np.int64)
+        vecs.append((ids, weights(ids, np.array(r["counts"], np.int64), idf)))
     ids, ys = np.array([r.doc_id for r in found], np.int64), np.array([r.label for r in found], np.int64)
     index = BlockMaxIndex(ids, ys, vecs, len(vocabulary.ids))
     labels_ = sum(n.values())
@@ -273,8 +272,8 @@ def score(rows: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     A null or empty text has no terms, hence no neighbours; its score is the
     calibrated prior. Columns of those names give way.
     """
-    new = ("score", "predicted", "evidence")
-    rows = rows.select("__ids", "__counts", *[F.col(f"`{c}`") for c in rows.columns if c not in ("__ids", "__counts", *new)])
+    carry = [c for c in rows.schema["row"].dataType.names if c not in ("score", "predicted", "evidence", "__none")]
+    rows = rows.select("ids", "counts", "row")
     shared = Shared(rows.sparkSession, model)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
@@ -288,10 +287,10 @@ def score(rows: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             p = np.array([m.score(n) for n in near])
             shown = [[{"doc_id": int(m.index.ids[i]), "label": int(m.index.labels[i]), "similarity": s} for s, i in n] for n in near]
             cols = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(shown, kind)]
-            yield pa.record_batch([*x.columns[2:], *cols], [*x.schema.names[2:], *new])
+            yield pa.record_batch([x.column(2), *cols], ["row", "score", "predicted", "evidence"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[2:])
-    return rows.mapInArrow(run, f"{schema}score double, predicted int, evidence {EVIDENCE}")
+    out = rows.mapInArrow(run, with_fields(rows.schema.fields[2:], f"score double, predicted int, evidence {EVIDENCE}"))
+    return out.select(*unpacked(carry), "score", "predicted", "evidence")
 
 
 def held_out(column: str = "doc_id", divisor: int = 5, rest: int = 0):
@@ -305,7 +304,6 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """``docs`` without those predicted toxic. Columns named like a score stay as they are."""
-    clash = {c: f"__own_{c}" for c in docs.columns if c in ("score", "predicted", "evidence")}
-    kept = classify(docs.withColumnsRenamed(clash), labels, **how).where("predicted = 0").drop("score", "predicted", "evidence")
-    return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    """``docs`` without those predicted toxic."""
+    rows = classify(docs.select(row_of(docs.columns), col(how.pop("text_col", "text")).alias("text"), col("doc_id").alias("doc_id")), labels, ["row"], **how)
+    return rows.where("predicted = 0").select(*unpacked(docs.columns))

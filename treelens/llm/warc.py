@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import col, row_of, unpacked, with_fields
+
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # for URLs, by RFC 9562
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^'\"<>]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?/][^<>]*>")
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:\-]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'<>]+)")
@@ -239,7 +241,7 @@ def responses(pages: DataFrame, url_col: str = "url", html_col: str = "html", id
     said, url = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))
     block = F.encode(F.concat(F.lit(head), said), "UTF-8")
     names = [F.lit("WARC-Type"), F.lit("response"), F.lit("WARC-Target-URI"), url, F.lit("WARC-Date"), F.lit(date)]
-    return pages.select(F.col(f"`{id_col}`"), F.create_map(*names).alias("headers"), block.alias("block"))
+    return pages.select(col(id_col), F.create_map(*names).alias("headers"), block.alias("block"))
 
 
 RECORD = "warc_type string, headers array<struct<name: string, value: string>>, block binary"
@@ -254,7 +256,7 @@ def derive(source: DataFrame) -> DataFrame:
     repeated records. Columns named warc_type give way.
     """
     carry = [c for c in source.columns if c not in ("headers", "block", "warc_type")]
-    rows = source.select("headers", "block", *[F.col(f"`{c}`") for c in carry])
+    rows = source.select("headers", "block", row_of(carry))
     header = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +269,9 @@ def derive(source: DataFrame) -> DataFrame:
                     out += found
                     row += [j] * len(found)
                 cols = [pa.array([r[0] for r in out]), pa.array([[{"name": k, "value": v} for k, v in r[1]] for r in out], header), pa.array([r[2] for r in out], pa.binary())]
-                yield pa.record_batch([*[c.take(pa.array(row, pa.int64())) for c in x.columns[2:]], *cols], [*x.schema.names[2:], "warc_type", "headers", "block"])
+                yield pa.record_batch([x.column(2).take(pa.array(row, pa.int64())), *cols], ["row", "warc_type", "headers", "block"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[2:])
-    return rows.mapInArrow(run, schema + RECORD)
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[2:], RECORD)).select(*unpacked(carry), "warc_type", "headers", "block")
 
 
 def header(name: str):
@@ -288,5 +289,4 @@ def serialised(records: DataFrame) -> DataFrame:
             out = [gzip.compress(to_bytes([(e["name"], e["value"]) for e in p], q or b""), mtime=0) for p, q in zip(h, b)]
             yield pa.record_batch([*x.columns, pa.array(out, pa.binary())], [*names, "record"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
-    return records.mapInArrow(run, f"{schema}, record binary")
+    return records.drop("record").mapInArrow(run, with_fields([f for f in records.schema.fields if f.name != "record"], "record binary"))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from treelens.functions import scalars as s
 from treelens.operators import closure, dependencies, emit, resolve, symbols
-from treelens.session import cut
 from treelens.sources import config as conf
 from treelens.sources import dims, plugins, pyast, requirements, tree
 
@@ -25,6 +24,11 @@ APP_NAMES = ("manage.py", "asgi.py", "wsgi.py", "app.py")
 ISSUE = ["code", "severity", "confidence", "kind", "path", "module", "name", "line", "message", "member", "target", "fingerprint", "sort_key", "summary", "manifest_file", "manifest_label", "disposition"]
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Used several times; short lineage, so what an executor held is made again if it is lost."""
+    return df.persist()
+
+
 @dataclass
 class Inputs:
     root: Path
@@ -111,14 +115,14 @@ def analyze(spark: SparkSession, start: str | Path, production: bool | None = No
     library = how == "library"
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     files = tree.load(spark, x.root, x.config, list(x.config.project) or None)
-    parsed = cut(pyast.parsed(files, kind))
+    parsed = keep(pyast.parsed(files, kind))
     names = files.select("path", "kind", "context").join(parsed.select("path", F.col("has_opaque_dynamic_import").alias("opaque")), "path", "left").withColumn("opaque", F.coalesce("opaque", F.lit(False)))
-    names = cut(names)
+    names = keep(names)
 
     # what imports what
     index = resolve.module_index(names, kind, x.layout.packages)
     edges = pyast.edges(parsed).join(index.withColumnRenamed("path", "dst"), "module").select(F.col("path").alias("src"), "dst", "module", "line")
-    edges = cut(edges)
+    edges = keep(edges)
 
     # entries
     seen = [(p, sym, c, o, i) for i, (p, sym, c, o) in enumerate(candidates(x))]
@@ -129,10 +133,10 @@ def analyze(spark: SparkSession, start: str | Path, production: bool | None = No
     roots = frame(seen, "path string, symbol string, context string, origin string, seq int").unionByName(found.select("path", "symbol", F.lit("runtime").alias("context"), "origin", "seq"))
     if x.config.production:
         roots = roots.where("context = 'runtime'")
-    entries = cut(emit.merge_entries(roots))
+    entries = keep(emit.merge_entries(roots))
     hinted = frame([(m,) for _, m, _ in x.hints.modules], "module string")
     seeds = entries.select(F.col("path").alias("node")).union(hinted.join(index, "module").select("path"))
-    reached = cut(closure.reach(edges, seeds, [F.col("line")]))
+    reached = keep(closure.reach(edges, seeds, [F.col("line")]))
     framework = names.where(s.matches(F.col("path"), x.hints.globs)).select("path")
     live = reached.select("node").union(framework).distinct()
 
@@ -155,7 +159,7 @@ def analyze(spark: SparkSession, start: str | Path, production: bool | None = No
         frame(dims.bundled(), pairs),
     ).join(names.select("path", F.col("context").alias("file_context")), "path")
     owned = resolve.owners(names.select("path"), frame([(m.path, m.id) for m in x.members], "path string, id string"))
-    resolved = cut(resolved.drop("member").join(owned, "path"))
+    resolved = keep(resolved.drop("member").join(owned, "path"))
 
     # rules
     rows = [_unused_files(names, live, framework, library, x), *_dependency_rules(spark, x, resolved, live, commands, strict)]
@@ -164,10 +168,10 @@ def analyze(spark: SparkSession, start: str | Path, production: bool | None = No
     for r in rows[1:]:
         everything = everything.unionByName(r)
     everything = everything.drop("seq").withColumn("seq", F.monotonically_increasing_id())
-    everything = cut(everything)
+    everything = keep(everything)
     directives = pyast.relation(parsed, "ignores")
     issues = emit.emit(everything, directives, x.config.severity, x.config.ignore, x.config.confidence, strict, include, exclude)
-    issues = cut(issues.select(*ISSUE))
+    issues = keep(issues.select(*ISSUE))
     declared = declared_table(spark, x)
     fixes = emit.fix_plan(issues.where("disposition is null"), declared.withColumnRenamed("where", "at"))
     return Report(x, how, issues, reached, entries, edges, names, parsed, fixes, declared)
@@ -206,7 +210,7 @@ def _dependency_rules(spark, x, resolved, live, commands, strict) -> list[DataFr
     declared = declared_table(spark, x)
     here = resolved.join(live.withColumnRenamed("node", "path"), "path", "left_semi").where("origin = 'third_party'")
     context = F.when(F.col("context") == "type", "type").when(F.col("file_context") != "runtime", F.col("file_context")).otherwise(F.col("context"))
-    used = cut(here.select("distribution", context.alias("context"), "optional", "platform_guarded", F.col("path").alias("file"), "line", "module", "import_root", "member"))
+    used = keep(here.select("distribution", context.alias("context"), "optional", "platform_guarded", F.col("path").alias("file"), "line", "module", "import_root", "member"))
     binaries = spark.createDataFrame([(b, f, n) for _, b, f, n in x.hints.binaries], "binary string, file string, line int")
     layers = [(b, d, 0, i) for i, (b, d) in enumerate(sorted(dims.BINARIES.items()))] + [(b, requirements.normalize(d), 1, i) for i, (b, d) in enumerate(sorted(x.config.binary_map.items()))] + [(b, d, 2, i) for i, (b, d) in enumerate(commands)]
     providers = resolve.overlay(spark.createDataFrame(layers, "binary string, distribution string, layer int, seq int"))
@@ -256,11 +260,11 @@ def _symbol_rules(spark, x, parsed, imports, live, entries, resolved, library) -
     module = s.index_module(F.col("path"), kind, x.layout.packages)
     flag = live.select(F.col("node").alias("path"), F.lit(True).alias("reachable"))
     mods = parsed.select("path", module.alias("module"), "exports").join(flag, "path", "left").withColumn("reachable", F.coalesce("reachable", F.lit(False)))
-    mods = cut(mods.where("module is not null"))
+    mods = keep(mods.where("module is not null"))
     syms = pyast.relation(parsed, "symbols").drop("importer").join(mods, "path")
     syms = syms.withColumns({"decorated": F.size("decorators") > 0, "exported": F.coalesce(F.array_contains("exports", F.col("name")), F.lit(False))})
     made = imports.drop("importer").join(mods.select("path", F.col("module").alias("importer"), "reachable"), "path")
-    refs = cut(symbols.references(made, pyast.relation(parsed, "attribute_accesses")))
+    refs = keep(symbols.references(made, pyast.relation(parsed, "attribute_accesses")))
     outside = entries.where("symbol is not null").join(mods.select("path", "module"), "path").select("module", F.col("symbol").alias("name"))
     outside = outside.union(spark.createDataFrame([(m, n) for _, m, n, _ in x.hints.symbols], "module string, name string"))
     rows = symbols.unused_exports(syms, refs, outside, library)

@@ -16,7 +16,8 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urljoin
+from itertools import accumulate
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +54,9 @@ def html_text(page: str) -> tuple[str, str, list[str]]:
         if start < 0:
             start = end
         if start > at:
-            said = html.unescape(page[at:start])
-            (out if title is None else title).append(SPACE.sub(" ", said))
+            said = page[at:start]
+            said = html.unescape(said) if "&" in said else said
+            (out if title is None else title).append(said.replace("\n", " "))
         if start == end:
             break
         if page.startswith("<!--", start):
@@ -76,7 +78,7 @@ def html_text(page: str) -> tuple[str, str, list[str]]:
             at = shut.end() if shut else end
         elif name == "title":
             if close and title is not None:
-                found, title = found or "".join(title).strip(), None
+                found, title = found or " ".join("".join(title).split()), None
             elif not close:
                 title = []
         elif name in LINES:
@@ -86,8 +88,8 @@ def html_text(page: str) -> tuple[str, str, list[str]]:
                 if attribute.lower() == "href":
                     links.append(html.unescape(value.strip("\"'")).strip())
     if title is not None:
-        found = found or "".join(title).strip()
-    lines = (SPACE.sub(" ", x).strip() for x in "".join(out).split("\n"))
+        found = found or " ".join("".join(title).split())
+    lines = (" ".join(x.split()) for x in "".join(out).split("\n"))
     return "\n".join(x for x in lines if x), found, links
 
 
@@ -171,7 +173,7 @@ def derive_one(source: dict[str, str], block: bytes | None) -> list[tuple[str, l
         fields.append((f"source-{name.lower()}", said or value))
         if said and said.lower().startswith("sha1:") and said.upper() != value.upper():
             fields.append((f"computed-{name.lower()}", value))
-    fields += [("title", title)] * bool(title) + [("outlink", urljoin(uri, x) if _joins(uri, x) else x) for x in links]
+    fields += [("title", title)] * bool(title) + [("outlink", x) for x in absolute(uri, links)]
     data = "".join(f"{k}: {_line(v)}\r\n" for k, v in fields).encode()
     linked = [("WARC-Date", date)] * bool(date) + [("WARC-Target-URI", uri)] * bool(uri) + [("WARC-Refers-To", rid)]
     kept = [(f"WARC-Source-{k[5:]}", source.get(k) or v) for k, v in own.items()]
@@ -185,12 +187,23 @@ def derive_one(source: dict[str, str], block: bytes | None) -> list[tuple[str, l
     return out
 
 
-def _joins(base: str, link: str) -> bool:
+def absolute(base: str, links: list[str]) -> list[str]:
+    """Links as seen from a page; those that cannot be joined stay."""
     try:
-        urljoin(base, link)
+        at = urlsplit(base)
     except ValueError:
-        return False
-    return True
+        return links
+    origin, out = f"{at.scheme}://{at.netloc}", []
+    for link in links:
+        plain = "/." not in link and at.netloc and at.scheme in ("http", "https")
+        if link.startswith("/") and not link.startswith("//") and plain:
+            out.append(origin + link)
+            continue
+        try:
+            out.append(urljoin(base, link))
+        except ValueError:
+            out.append(link)
+    return out
 
 
 def to_bytes(headers: list[tuple[str, str]], block: bytes, version: str = "WARC/1.1") -> bytes:
@@ -257,7 +270,6 @@ def derive(source: DataFrame) -> DataFrame:
     """
     carry = [c for c in source.columns if c not in ("headers", "block", "warc_type")]
     rows = source.select("headers", "block", row_of(carry))
-    header = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -268,7 +280,10 @@ def derive(source: DataFrame) -> DataFrame:
                     found = derive_one({k: v or "" for k, v in x.column(0)[j].as_py() or ()}, x.column(1)[j].as_py())
                     out += found
                     row += [j] * len(found)
-                cols = [pa.array([r[0] for r in out]), pa.array([[{"name": k, "value": v} for k, v in r[1]] for r in out], header), pa.array([r[2] for r in out], pa.binary())]
+                pairs = [h for r in out for h in r[1]]
+                each = pa.StructArray.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], ["name", "value"])
+                edge = pa.array([0, *accumulate(len(r[1]) for r in out)], pa.int32())
+                cols = [pa.array([r[0] for r in out], pa.string()), pa.ListArray.from_arrays(edge, each), pa.array([r[2] for r in out], pa.binary())]
                 yield pa.record_batch([x.column(2).take(pa.array(row, pa.int64())), *cols], ["row", "warc_type", "headers", "block"])
 
     return rows.mapInArrow(run, with_fields(rows.schema.fields[2:], RECORD)).select(*unpacked(carry), "warc_type", "headers", "block")

@@ -244,7 +244,8 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(distinct, radius, segments)).withColumnRenamed("node", "fp")
     linked = found.join(distinct, "fp")
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join of a very large component with its id can be split
+    ids = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
     by_fp = distinct.join(found.join(ids, "root").select("fp", "root", "component_id"), "fp", "left")
     alone = F.col("root").isNull()
     by_fp = by_fp.select("fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))

@@ -85,7 +85,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     size: words of the text (null: 0). times: how often the whole document is
     taken; runs: word ranges [start, end) taken once more; taken: words
-    of both. A source without words has target 0. Null sources are one
+    of both. A source without words has target 0, and a table with fewer
+    words than a third of a block gives an empty mix. Null sources are one
     source, the last; repeated rows are rows like any other. There is one
     row for each source on the driver, and no more than MAX_SHARDS for each
     source in a task; documents are ordered within a shard of a source only.

@@ -63,6 +63,19 @@ def test_document_frequencies_are_of_all_documents(spark):
     assert abs(model.idf[j] - (np.log((1 + len(docs)) / (1 + df)) + 1)) < 1e-12
 
 
+def test_every_term_of_the_examples_counts(spark):
+    docs, labels = corpus(200)
+    docs += [(i, f"only{i} here{i}") for i in range(1000, 1020)]  # words of one text
+    labels += [(i, 0) for i in range(1000, 1020)]
+    d, lab = frames(spark, docs, labels)
+    model, rows = toxicity.fit(d, lab, ["doc_id"])
+    own = [t for i, t in docs if i in set(model.index.ids.tolist())]
+    assert set(model.vocabulary.ids) == {w for t in own for w in toxicity.terms(t)}
+    near = {r.doc_id: r.evidence for r in toxicity.score(rows, model).collect()}
+    for i in set(model.index.ids.tolist()) & set(range(1000, 1020)):
+        assert near[i][0].doc_id == i and near[i][0].similarity > 1 - 1e-9
+
+
 def test_odd_rows(spark):
     docs, labels = corpus(150)
     odd = [(None, "idiot scum trash loser"), (9000, None), (9001, ""), (9002, "x " * 300_000 + "idiot scum trash loser " * 20), (1, "idiot scum trash"), (1, "idiot scum trash")]

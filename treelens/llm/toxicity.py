@@ -1,9 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, distance-weighted votes.
 
 At most ``per_class`` examples of each label are indexed (a documented bound of
-the fit). Terms are words and word beginnings that the examples' labels depend
-on (chi-square). Document frequencies of these terms are counted over all
-documents. Examples lie in blocks; for each term and block the index keeps the
+the fit). Terms are all words and word beginnings of the examples. Document
+frequencies of these terms are counted over all documents. Examples lie in blocks; for each term and block the index keeps the
 largest weight. The sum of these over a query's terms bounds every cosine
 in the block, so blocks are scored in the order of their bounds until none can
 reach the neighbours found: they are exactly the nearest.
@@ -21,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelens.session import Shared
@@ -31,8 +30,6 @@ from .common import by_bytes, col, examples, labelled, pieces, remainder, row_of
 WORD = re.compile(r"\w+")
 #: Beginnings of longer words that are terms too.
 PREFIXES = (4, 5)
-#: Least chi-square of a term (one in about two million by chance), and how much likelier it must be with one label than with the other.
-LEAST_CHI2, LEAST_LIFT = 25.0, 3.0
 BLOCK = 64
 TOGETHER = 4096
 MEMO = 1 << 20
@@ -83,6 +80,11 @@ def weights(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / np.sqrt(w @ w) if len(w) else w
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges, and each range's value at them."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum()), np.repeat(value, size)
+
+
 class BlockMaxIndex:
     """Examples in blocks of BLOCK, by term: postings, where each block begins in them, and its largest weight."""
 
@@ -98,32 +100,37 @@ class BlockMaxIndex:
         weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
         sort = np.lexsort((row, term))
         self.row, self.weight = row[sort], weight[sort]
+        # cells are the pairs of term and block that hold anything
         cell = term[sort] * self.blocks + self.row // BLOCK
-        self.begin = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).astype(np.int64)
-        self.held = np.diff(self.begin).reshape(n_terms, self.blocks)
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, self.blocks)
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        self.begin, self.size = first, np.diff(np.r_[first, len(cell)])
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.block = cell[first] % self.blocks
+        self.of = np.searchsorted(cell[first] // self.blocks, np.arange(n_terms + 1))
 
     def search(self, terms: np.ndarray, weight: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int]]:
         """The k nearest with a cosine above 0: (cosine, example), nearest first, ties by id; ``without`` leaves one example out."""
         if not len(terms):
             return []
-        bound = weight @ self.most[terms]
+        cells, own = _ranges(self.of[terms], self.of[terms + 1] - self.of[terms], weight)
+        bound = np.bincount(self.block[cells], own * self.most[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        # blocks are taken together until they hold about TOGETHER postings of the query
-        held = np.cumsum(self.held[terms][:, order].sum(0))
-        score, who, i = np.zeros(0), np.zeros(0, np.int64), 0
+        place = np.full(self.blocks, len(order))
+        place[order] = np.arange(len(order))
+        by = np.argsort(place[self.block[cells]], kind="stable")
+        cells, own = cells[by], own[by]
+        ends = np.searchsorted(place[self.block[cells]], np.arange(len(order) + 1))
+        # blocks are taken together until they hold about TOGETHER postings of the query, then twice as many each time
+        held = np.r_[0, np.cumsum(self.size[cells])][ends]
+        score, who, i, most = np.zeros(0), np.zeros(0, np.int64), 0, TOGETHER
         while i < len(order):
             if len(score) >= k and bound[order[i]] < score[k - 1] - 1e-9:
                 break
-            end = max(i + 1, int(np.searchsorted(held, (held[i - 1] if i else 0) + TOGETHER, side="right")))
-            chosen, i = order[i:end], end
-            cell = (terms[:, None] * self.blocks + chosen[None, :]).ravel()
-            size = self.begin[cell + 1] - self.begin[cell]
-            at = np.repeat(self.begin[cell] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            got = np.bincount(self.row[at], np.repeat(np.repeat(weight, len(chosen)), size) * self.weight[at], len(self.ids))
+            end = max(i + 1, int(np.searchsorted(held, held[i] + most, side="right")) - 1)
+            part, i, most = slice(ends[i], ends[end]), end, 2 * most
+            at, times = _ranges(self.begin[cells[part]], self.size[cells[part]], own[part])
+            got = np.bincount(self.row[at], times * self.weight[at], len(self.ids))
             if without is not None:
                 got[without] = 0
             rows = np.flatnonzero(got)
@@ -164,12 +171,23 @@ class Model:
         ids, counts = self.vocabulary.count(text)
         return self.index.search(ids, weights(ids, counts, self.idf), self.k)
 
-    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def calibrate(self, spark: SparkSession, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Slope and shift of the log odds, by Newton steps over examples left out in turn, with smoothed labels."""
         n = len(vectors)
         if not n or self.index.labels.min() == self.index.labels.max():
             return
-        x = np.array([self.raw(self.index.search(*vectors[i], self.k, without=i)) for i in range(n)])
+        shared = Shared(spark, (self, vectors))
+
+        def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, v = shared.value
+            for b in batches:
+                raw = [m.raw(m.index.search(*v[i], m.k, without=i)) for i in b.column(0).to_pylist()]
+                yield pa.record_batch([b.column(0), pa.array(raw, pa.float64())], ["id", "raw"])
+
+        x = np.zeros(n)
+        for r in spark.range(0, n, 1, 24).mapInArrow(left_out, "id long, raw double").collect():
+            x[r.id] = r.raw
+        shared.unpersist()
         x, y = np.log(x / (1 - x)), self.index.labels.astype(float)
         w = np.array(self.stands_for)[self.index.labels]
         w = w / w.sum() * n
@@ -200,41 +218,41 @@ def vectors(docs: DataFrame, vocabulary: Vocabulary, carry: list[str], text_col:
         for whole in batches:
             for x in by_bytes(whole, 0):
                 both = [v.count(t.as_py()) for t in x.column(0)]
-                lists = [pa.array([p[i] for p in both], pa.list_(pa.int64())) for i in (0, 1)]
+                lists = [pa.array([p[i] for p in both], pa.list_(pa.int32())) for i in (0, 1)]
                 yield pa.record_batch([x.column(1), *lists], ["row", "ids", "counts"])
 
-    return rows.mapInArrow(run, with_fields(rows.schema.fields[1:], "ids array<long>, counts array<long>"))
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[1:], "ids array<int>, counts array<int>"))
 
 
 def _frequencies(rows: DataFrame, n_terms: int) -> tuple[int, np.ndarray]:
     """Number of documents, and of those that hold each term, over all rows of ``vectors``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(n_terms, np.int64)
+        for x in batches:
+            own += np.bincount(x.column(0).flatten().to_numpy(), minlength=n_terms)
+        at = np.flatnonzero(own)
+        yield pa.record_batch([pa.array(at), pa.array(own[at])], ["term", "n"])
+
     out = np.zeros(n_terms, np.int64)
-    for r in rows.select(F.explode("ids").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():
-        out[r.term] = r.n
+    found = rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return rows.count(), out
 
 
-def choose_terms(own: DataFrame, pos: int, neg: int, n_terms: int) -> Vocabulary:
-    """Terms of the examples (label, text) that depend most on the label."""
+def all_terms(own: DataFrame) -> Vocabulary:
+    """Every term of the examples (text)."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for x in by_bytes(whole, 1, 1 << 20):
-                found = [list(terms(t.as_py())) for t in x.column(1)]
-                yield pa.record_batch([x.column(0), pa.array(found, pa.list_(pa.string()))], ["label", "terms"])
-
-    by_term = own.select("label", "text").mapInArrow(seen, "label int, terms array<string>").select("label", F.explode("terms").alias("term"))
-    by_term = by_term.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where("a + b >= 3")
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = pos - a, neg - b
-    chi2 = (pos + neg) * F.pow(a * d - b * c, 2) / ((a + b) * (c + d + 1e-9) * (pos + 1e-9) * (neg + 1e-9))
-    lift = ((a + 0.5) / (pos + 1)) / ((b + 0.5) / (neg + 1))
-    strong = (chi2 >= LEAST_CHI2) & (F.greatest(lift, 1 / lift) >= LEAST_LIFT)
-    found = by_term.where(strong).select("term", chi2.alias("chi2")).orderBy(F.desc("chi2"), "term").limit(n_terms).collect()
-    return Vocabulary({r.term: i for i, r in enumerate(found)})
-
-
-def fit(docs: DataFrame, labels: DataFrame, carry: list[str], text_col: str = "text", label: str = "toxic", divisor: int = 5, held_out: int = 0, per_class: int = 4096, n_terms: int = 4096, k: int = 15) -> tuple[Model, DataFrame]:
+            for x in by_bytes(whole, 0, 1 << 20):
+                yield pa.record_batch([pa.array(list({w for t in x.column(0) for w in terms(t.as_py())}), pa.string())], ["term"])
+
+    found = own.select("text").mapInArrow(seen, "term string").distinct().toArrow()
+    return Vocabulary({t: i for i, t in enumerate(sorted(found.column("term").to_pylist()))})
+
+
+def fit(docs: DataFrame, labels: DataFrame, carry: list[str], text_col: str = "text", label: str = "toxic", divisor: int = 5, held_out: int = 0, per_class: int = 4096, k: int = 15) -> tuple[Model, DataFrame]:
     """A model from ``labels`` (doc_id, label), leaving out ids whose remainder is ``held_out``; and the vectors of all rows.
 
     Each text is read once for its terms. Without examples of both labels
@@ -245,21 +263,22 @@ def fit(docs: DataFrame, labels: DataFrame, carry: list[str], text_col: str = "t
     own = written(examples(docs, rows, per_class, text_col), "examples")
     held = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = held.get(1, 0), held.get(0, 0)
-    vocabulary = choose_terms(own, pos, neg, n_terms)
+    vocabulary = all_terms(own)
     every = written(vectors(docs, vocabulary, carry, text_col), "vectors")
     total, df = _frequencies(every, len(vocabulary.ids))
     idf = np.log((1 + total) / (1 + df)) + 1
-    found = vectors(own, vocabulary, ["doc_id", "label"]).select("row.*", "ids", "counts").collect()
+    found = vectors(own, vocabulary, ["doc_id", "label"]).select("row.*", "ids", "counts").toArrow()
     vecs = []
-    for r in found:
-        ids = np.array(r["ids"], np.int64)
-        vecs.append((ids, weights(ids, np.array(r["counts"], np.int64), idf)))
-    ids, ys = np.array([r.doc_id for r in found], np.int64), np.array([r.label for r in found], np.int64)
+    for i, c in zip(found.column("ids"), found.column("counts")):
+        own_ids = i.values.to_numpy().astype(np.int64)
+        vecs.append((own_ids, weights(own_ids, c.values.to_numpy().astype(np.int64), idf)))
+    ids, ys = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
+    del found
     index = BlockMaxIndex(ids, ys, vecs, len(vocabulary.ids))
     labels_ = sum(n.values())
     stands = [n.get(y, 0) / max(h, 1) / max(labels_, 1) * max(pos + neg, 1) for y, h in ((0, neg), (1, pos))]
     model = Model(vocabulary, idf, index, (stands[0], stands[1]), n.get(1, 0) / labels_ if labels_ else 0.0, k)
-    model.calibrate([vecs[i] for i in index.order])
+    model.calibrate(docs.sparkSession, [vecs[i] for i in index.order])
     return model, every
 
 
@@ -282,7 +301,7 @@ def score(rows: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         for x in batches:
             near = []
             for i, c in zip(x.column(0), x.column(1)):
-                ids = i.values.to_numpy(zero_copy_only=False)
+                ids = i.values.to_numpy(zero_copy_only=False).astype(np.int64)
                 near.append(m.index.search(ids, weights(ids, c.values.to_numpy(zero_copy_only=False), m.idf), m.k))
             p = np.array([m.score(n) for n in near])
             shown = [[{"doc_id": int(m.index.ids[i]), "label": int(m.index.labels[i]), "similarity": s} for s, i in n] for n in near]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import uuid
 
+import pyspark
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +32,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Shared:
-    """A broadcast value that executors read without importing this package."""
+    """A broadcast value that executors read without importing this package.
+
+    A worker process unpacks it once and keeps the last two such values, so
+    tasks that follow each other share it.
+    """
 
     def __init__(self, spark: SparkSession, value):
-        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._bytes, self._name = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
 
     @property
     def value(self):
-        return pickle.loads(self._bytes.value)
+        held = pyspark.__dict__.setdefault("_treelens_shared", {})
+        if self._name not in held:
+            while len(held) > 1:
+                held.pop(next(iter(held)))
+            held[self._name] = pickle.loads(self._bytes.value)
+        return held[self._name]
 
     def unpersist(self) -> None:
         self._bytes.unpersist()

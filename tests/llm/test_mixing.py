@@ -80,3 +80,12 @@ def test_apply_gives_the_words_taken(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0 and mixing.apply(df).count() == 0
+
+
+def test_apply_keeps_white_space_of_what_it_cuts(spark):
+    lines = "".join(f"line {i}\n    indented\ttext {i}\n\n" for i in range(400))
+    df = spark.createDataFrame([(i, f"  {lines}", "abc"[i % 3]) for i in range(7)], "doc_id long, text string, source string")
+    got = mixing.apply(df).collect()
+    part = [r.text for r in got if r.text != f"  {lines}"]
+    assert part and all(t.rstrip() in f"  {lines}" or "\n    indented\ttext" in t for t in part)
+    assert sum(len(r.text.split()) for r in got) == sum(r.taken for r in mixing.mix(df).collect())

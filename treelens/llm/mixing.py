@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import row_of
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space before it.
+SPACED = r"[\x20\x09-\x0D]*" + WORD
 SEED = "treelens-mix"
 #: Tokens of a block; a source's mix is within about half a block of its target.
 BLOCK = 16
@@ -140,13 +142,13 @@ def tokens_of(runs):
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: ``docs`` with each row as often as it is taken, a partly taken one with those words only."""
+    """The mix itself: ``docs`` with each row as often as it is taken, a partly taken one with those words only and the white space before each."""
     plan = mix(docs, id_col, text_col, source_col, carry=True, **how)
     rows = plan.withColumn("copy", F.explode(F.expr("sequence(1, times + 1)"))).withColumn("part", tokens_of("runs"))
     last, some = F.col("copy") > F.col("times"), F.col("part") > 0
     rows = rows.where(~last | some)
     text = F.col("row")[text_col]
-    words = F.regexp_extract_all(text.cast("string"), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")))), " ")
+    words = F.regexp_extract_all(text.cast("string"), F.lit(SPACED), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")))), "")
     new = F.when(last & (F.col("part") < F.col("size")), cut).otherwise(text.cast("string"))
     return rows.select(*[new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

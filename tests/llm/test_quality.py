@@ -73,4 +73,19 @@ def test_features():
     assert abs(f["same_as_before"] - 0.1) < 1e-12 and abs(f["top_word"] - 0.3) < 1e-12 and abs(f["without_letters"] - 0.2) < 1e-12
     assert not quality.features(b"").any() and not quality.features(None).any()
     long = b"one two three " * 700_000
-    assert np.allclose(quality.features(long)[1:5], quality._features(long)[1:5], atol=1e-3)
+    f = dict(zip(quality.NAMES, quality.features(long)))
+    expected = {"log_words": np.log1p(2_100_000), "mean_length": 11 / 3, "sd_length": np.std([3, 3, 5]), "log_longest": np.log1p(5), "spaces": 3 / 14, "top_word": 1 / 3, "repeated_pairs": 1 - 3 / 2_099_999}
+    assert all(abs(f[k] - v) < 1e-12 for k, v in expected.items())
+
+
+def test_features_of_a_long_text_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "Bc", "é", "!!", "7", " ", "  ", "\n", "\t", "the ", "x\r\n"]) for _ in range(rng.randint(0, 300))).encode() for _ in range(60)]
+    texts += [b"", b" \n ", b"x" * 500, b"word " * 90 + b"y" * 200 + b"\n" + b"word " * 9]
+    whole = [quality.features(t) for t in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(quality, "PIECE", size)
+        for t, w in zip(texts, whole):
+            assert b"".join(quality._pieces(t)) == t
+            assert np.array_equal(quality.features(t), w)
+    assert not quality.features(None).any()

@@ -28,54 +28,65 @@ NAMES = (
     "log_words mean_length sd_length log_longest spaces capitals digits marks symbols beyond_ascii distinct top_word repeated_pairs same_as_before "
     "log_lines log_line_length repeated_lines ends_in_mark ends_in_symbol without_letters capitalised short_words mark_runs entropy"
 ).split()
-#: Words looked at together; longer texts are taken in pieces of so many bytes and averaged by words.
+#: Bytes looked at together; what is counted in the pieces of a longer text is added up, so its features are those of the whole.
 PIECE = 4 << 20
+SPACES = [bytes([c]) for c in b" \t\n\r\x0b\x0c"]
 
 
-def features(text: bytes | None) -> np.ndarray:
-    """The features of a whole text; an empty one has zeros."""
-    text = text or b""
-    if len(text) <= PIECE:
-        return _features(text)
-    cuts = [0]
-    while len(text) - cuts[-1] > PIECE:
-        end = text.rfind(b" ", cuts[-1], cuts[-1] + PIECE) + 1
-        cuts.append(end if end > cuts[-1] else cuts[-1] + PIECE)
-    parts = np.array([_features(text[a:b]) for a, b in zip(cuts, [*cuts[1:], len(text)])])
-    weight = np.expm1(parts[:, 0]) + 1e-9
-    out = weight @ parts / weight.sum()
-    out[0] = np.log1p(np.expm1(parts[:, 0]).sum())
-    return out
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about PIECE bytes, each but the last up to a white space."""
+    start = 0
+    while len(text) - start > PIECE:
+        end = max(text.rfind(c, start, start + PIECE) for c in SPACES) + 1
+        if end <= start:
+            end = min((x for c in SPACES if (x := text.find(c, start + PIECE)) >= 0), default=len(text) - 1) + 1
+        yield text[start:end]
+        start = end
+    yield text[start:]
 
 
-def _features(text: bytes) -> np.ndarray:
-    out = np.zeros(len(NAMES))
-    kind = CLASS[np.frombuffer(text, np.uint8)]
-    space = kind == 0
-    edge = np.diff(np.r_[True, space, True].astype(np.int8))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    n = len(first)
+def features(text: bytes | None) -> np.ndarray:
+    """The features of a whole text; one without words has zeros."""
+    text = text or b""
+    count, bytes_ = np.zeros(8), np.zeros(256, np.int64)
+    n = total = squares = longest = same = in_mark = in_symbol = no_letters = capitalised = short = runs = n_lines = 0
+    seen: Counter = Counter()
+    pairs, lines, before, open_line = set(), set(), None, b""
+    for piece in _pieces(text):
+        raw = np.frombuffer(piece, np.uint8)
+        kind = CLASS[raw]
+        edge = np.diff(np.r_[True, kind == 0, True].astype(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        count += np.bincount(kind, minlength=8)
+        bytes_ += np.bincount(raw, minlength=256)
+        *whole, open_line = (open_line + piece).split(b"\n")
+        full = [x for x in whole if x.strip()]
+        n_lines += len(full)
+        lines.update(full)
+        if not len(first):
+            continue
+        words = piece.split()
+        length, z = last - first, kind[last - 1]
+        lower, marks = np.cumsum(np.r_[0, (kind == 1) | (kind == 2) | (kind >= 6)]), kind == 4
+        n, total, squares, longest = n + len(first), total + int(length.sum()), squares + int((length * length).sum()), max(longest, int(length.max()))
+        same += sum(map(bytes.__eq__, words, words[1:])) + (before == words[0])
+        seen.update(words)
+        pairs.update(zip(words, words[1:]), [(before, words[0])] if before is not None else [])
+        before = words[-1]
+        in_mark, in_symbol, no_letters = in_mark + (z == 4).sum(), in_symbol + (z == 5).sum(), no_letters + (lower[last] == lower[first]).sum()
+        capitalised, short, runs = capitalised + (kind[first] == 2).sum(), short + (length <= 3).sum(), runs + (marks[1:] & marks[:-1]).sum()
+    if open_line.strip():
+        n_lines += 1
+        lines.add(open_line)
     if not n:
-        return out
-    count = np.bincount(kind, minlength=8).astype(float)
-    chars = count.sum() - count[7]
-    letters = count[1] + count[2] + count[6]
-    length = (last - first).astype(float)
-    words = text.split()
-    seen = Counter(words)
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    a, z = kind[first], kind[last - 1]
-    lower = np.cumsum(np.r_[0, (kind == 1) | (kind == 2) | (kind >= 6)])
-    marks = kind == 4
-    bytes_ = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    share = bytes_[bytes_ > 0] / len(text)
-    out[:] = (
-        np.log1p(n), length.mean(), length.std(), np.log1p(length.max()), count[0] / chars, count[2] / max(letters, 1), count[3] / chars, count[4] / chars, count[5] / chars, count[6] / chars,
-        np.log1p(len(seen)) / np.log1p(n), max(seen.values()) / n, 1 - len(set(zip(words, words[1:]))) / max(n - 1, 1), sum(map(bytes.__eq__, words, words[1:])) / n,
-        np.log1p(len(lines)), np.log1p(len(text) / len(lines)), 1 - len(set(lines)) / len(lines),
-        (z == 4).mean(), (z == 5).mean(), (lower[last] == lower[first]).mean(), (a == 2).mean(), (length <= 3).mean(), (marks[1:] & marks[:-1]).sum() / n, -(share * np.log(share)).sum(),
-    )
-    return out
+        return np.zeros(len(NAMES))
+    chars, letters, share = count.sum() - count[7], count[1] + count[2] + count[6], bytes_[bytes_ > 0] / len(text)
+    return np.array((
+        np.log1p(n), total / n, np.sqrt(max(n * squares - total * total, 0)) / n, np.log1p(longest), count[0] / chars, count[2] / max(letters, 1), count[3] / chars, count[4] / chars, count[5] / chars, count[6] / chars,
+        np.log1p(len(seen)) / np.log1p(n), max(seen.values()) / n, 1 - len(pairs) / max(n - 1, 1), same / n,
+        np.log1p(n_lines), np.log1p(len(text) / n_lines), 1 - len(lines) / n_lines,
+        in_mark / n, in_symbol / n, no_letters / n, capitalised / n, short / n, runs / n, -(share * np.log(share)).sum(),
+    ), float)
 
 
 def _leaves(g: np.ndarray, h: np.ndarray, leaves: int, least: float) -> np.ndarray:

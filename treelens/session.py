@@ -34,8 +34,8 @@ def cut(df: DataFrame) -> DataFrame:
 class Shared:
     """A broadcast value that executors read without importing this package.
 
-    A worker process unpacks it once and keeps the last two such values, so
-    tasks that follow each other share it.
+    A worker process unpacks it once and keeps the last such value, so tasks
+    that follow each other share it; the packed bytes are not kept.
     """
 
     def __init__(self, spark: SparkSession, value):
@@ -45,9 +45,10 @@ class Shared:
     def value(self):
         held = pyspark.__dict__.setdefault("_treelens_shared", {})
         if self._name not in held:
-            while len(held) > 1:
-                held.pop(next(iter(held)))
+            held.clear()
             held[self._name] = pickle.loads(self._bytes.value)
+            if self._bytes._path is not None:
+                self._bytes.__dict__.pop("_value", None)  # it is read again from its file if need be
         return held[self._name]
 
     def unpersist(self) -> None:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
-import uuid
 
-import pyspark
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) is a temporary folder
-    made and set.
+    Only where that is unset and all runs on one machine (tests) is a
+    temporary folder made and set.
     """
     where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         where = tempfile.mkdtemp(prefix="treelens-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -34,22 +35,19 @@ def cut(df: DataFrame) -> DataFrame:
 class Shared:
     """A broadcast value that executors read without importing this package.
 
-    A worker process unpacks it once and keeps the last such value, so tasks
-    that follow each other share it; the packed bytes are not kept.
+    Each reading unpacks it anew and keeps nothing, so that a worker that is
+    done with it, and waits for other tasks, holds no memory for it.
     """
 
     def __init__(self, spark: SparkSession, value):
-        self._bytes, self._name = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
     @property
     def value(self):
-        held = pyspark.__dict__.setdefault("_treelens_shared", {})
-        if self._name not in held:
-            held.clear()
-            held[self._name] = pickle.loads(self._bytes.value)
-            if self._bytes._path is not None:
-                self._bytes.__dict__.pop("_value", None)  # it is read again from its file if need be
-        return held[self._name]
+        out = pickle.loads(self._bytes.value)
+        if self._bytes._path is not None:
+            self._bytes.__dict__.pop("_value", None)  # it is read again from its file if need be
+        return out
 
     def unpersist(self) -> None:
         self._bytes.unpersist()

@@ -31,8 +31,8 @@ def frames(spark, docs, labels):
 def test_held_out_accuracy_and_exact_neighbours(spark):
     docs, labels = corpus()
     d, lab = frames(spark, docs, labels)
-    model, rows = toxicity.fit(d, lab, ["doc_id"])
-    out = toxicity.score(rows, model).collect()
+    model = toxicity.fit(d, lab)
+    out = toxicity.score(d, model, ["doc_id"]).collect()
     truth = dict(labels)
     rest = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
     assert not rest & set(model.index.ids.tolist())
@@ -50,14 +50,14 @@ def test_held_out_accuracy_and_exact_neighbours(spark):
         order = np.lexsort((model.index.ids, -np.round(cos, 10)))[: model.k]
         best = [(int(model.index.ids[j]), cos[j]) for j in order if cos[j] > 0]
         got = [(e.doc_id, e.similarity) for e in r.evidence]
-        assert np.allclose([c for _, c in got], [c for _, c in best], atol=1e-9)
-        assert {i for i, c in got if c > got[-1][1] + 1e-9} == {i for i, c in best if c > best[-1][1] + 1e-9}
+        assert np.allclose([c for _, c in got], [c for _, c in best], atol=1e-7)
+        assert {i for i, c in got if c > got[-1][1] + 1e-7} == {i for i, c in best if c > best[-1][1] + 1e-7}
 
 
 def test_document_frequencies_are_of_all_documents(spark):
     docs, labels = corpus(200)
     docs += [(10_000 + i, f"idiot number {i}") for i in range(50)]
-    model, _ = toxicity.fit(*frames(spark, docs, labels), ["doc_id"])
+    model = toxicity.fit(*frames(spark, docs, labels))
     j = model.vocabulary.ids["idiot"]
     df = sum("idiot" in t.split() for _, t in docs)
     assert abs(model.idf[j] - (np.log((1 + len(docs)) / (1 + df)) + 1)) < 1e-12
@@ -68,12 +68,12 @@ def test_every_term_of_the_examples_counts(spark):
     docs += [(i, f"only{i} here{i}") for i in range(1000, 1020)]  # words of one text
     labels += [(i, 0) for i in range(1000, 1020)]
     d, lab = frames(spark, docs, labels)
-    model, rows = toxicity.fit(d, lab, ["doc_id"])
+    model = toxicity.fit(d, lab)
     own = [t for i, t in docs if i in set(model.index.ids.tolist())]
     assert set(model.vocabulary.ids) == {w for t in own for w in toxicity.terms(t)}
-    near = {r.doc_id: r.evidence for r in toxicity.score(rows, model).collect()}
+    near = {r.doc_id: r.evidence for r in toxicity.score(d, model, ["doc_id"]).collect()}
     for i in set(model.index.ids.tolist()) & set(range(1000, 1020)):
-        assert near[i][0].doc_id == i and near[i][0].similarity > 1 - 1e-9
+        assert near[i][0].doc_id == i and near[i][0].similarity > 1 - 1e-6
 
 
 def test_odd_rows(spark):
@@ -105,3 +105,50 @@ def test_text_in_pieces():
         parts = list(pieces(text, n))
         assert "".join(parts) == text and all(p.endswith(" ") for p in parts[:-1])
     assert list(pieces(None)) == [""] == list(pieces(""))
+
+
+def test_terms_of_a_text_the_plain_way():
+    import re
+
+    texts = ["Idiot's under_score x1 9", "Grüße, “stinkender” Straßen Ärger", "", None, "abcd abcde abcdef ABCDEFG abcdxyz", "word " * 50 + "wörter"]
+    names = sorted(set().union(*map(toxicity.terms, texts[:5])))
+    v = toxicity.Vocabulary(names)
+    for text in [*texts, "abcdzzzz unknown abcdefzz"]:
+        plain = {}
+        for w in re.findall(r"\w+", (text or "").lower()):
+            for t in (w, *("^" + w[:k] for k in toxicity.PREFIXES if len(w) > k)):
+                if t in names:
+                    plain[t] = plain.get(t, 0) + 1
+        ids, counts = v.count(text)
+        assert {names[i]: n for i, n in zip(ids, counts)} == plain
+
+
+def test_index_in_blocks_with_repeats_and_one_left_out(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    monkeypatch.setattr(toxicity, "TOGETHER", 7)
+    rng = np.random.default_rng(5)
+    vectors = []
+    for i in range(90):
+        if i % 3 == 2:
+            vectors.append(vectors[-1 - i % 2])  # repeats
+            continue
+        ids = np.sort(rng.choice(60, rng.integers(0, 12), replace=False, p=(p := 1 / np.arange(1, 61)) / p.sum()))
+        w = rng.random(len(ids)) + 0.1
+        vectors.append((ids, w / np.sqrt(w @ w) if len(w) else w))
+    doc = rng.permutation(90) * 10
+    edge = np.r_[0, np.cumsum([len(t) for t, _ in vectors])]
+    index = toxicity.BlockMaxIndex(doc, np.arange(90) % 2, edge, *(np.concatenate([v[i] for v in vectors]) for i in (0, 1)), 60, frequent=9)
+    dense = np.zeros((90, 60))
+    for i, j in enumerate(index.order):
+        dense[i, vectors[j][0]] = vectors[j][1]
+    for without in (None, doc.tolist()):
+        for i, (s, who) in enumerate(index.search(vectors, 6, without)):
+            q = np.zeros(60)
+            q[vectors[i][0]] = vectors[i][1]
+            cos = np.round(dense @ q, 6)
+            if without:
+                cos[index.ids == doc[i]] = 0
+            by = np.lexsort((index.ids, -cos))[:6]
+            by = by[cos[by] > 0]
+            assert np.allclose(s, cos[by], atol=2e-6) and len(who) == len(by)
+            assert len(set(who.tolist())) == len(who) and np.allclose(cos[who], s, atol=2e-6)

@@ -1,11 +1,13 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, distance-weighted votes.
 
 At most ``per_class`` examples of each label are indexed (a documented bound of
-the fit). Terms are all words and word beginnings of the examples. Document
-frequencies of these terms are counted over all documents. Examples lie in blocks; for each term and block the index keeps the
-largest weight. The sum of these over a query's terms bounds every cosine
-in the block, so blocks are scored in the order of their bounds until none can
-reach the neighbours found: they are exactly the nearest.
+the fit). Terms are all words and word beginnings of the examples; their
+document frequencies are counted over all documents. Examples lie in blocks of
+like ones. A query first sums the postings of its rarer terms; for the frequent
+ones each block keeps the largest weight, so what a block can still add has a
+bound. Only blocks that can reach the neighbours found so far are completed,
+for all queries of a batch together, hence the neighbours are exactly the
+nearest.
 
 Votes of neighbours weigh by closeness and by how many documents of its label an
 example stands for. Scores are calibrated on the examples, each left out in turn.
@@ -16,11 +18,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.session import Shared
@@ -28,50 +32,79 @@ from treelens.session import Shared
 from .common import by_bytes, col, examples, labelled, pieces, remainder, row_of, unpacked, with_fields, written
 
 WORD = re.compile(r"\w+")
+#: The same words of ASCII text: letters become small, what is in no word becomes a space.
+ASCII = bytes(c + 32 if 65 <= c <= 90 else c if c == 95 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(128)) + bytes(128)
 #: Beginnings of longer words that are terms too.
 PREFIXES = (4, 5)
-BLOCK = 64
-TOGETHER = 4096
-MEMO = 1 << 20
+BLOCK = 32
+#: Blocks of a query with the largest bounds, which are completed before the others.
+FIRST = 4
+#: Terms whose weights stand in full rows beside the postings, and queries that are searched together.
+FREQUENT, TOGETHER = 1536, 256
+#: Above the error of sums in single precision, which only choose what is summed in double.
+MARGIN = 1e-5
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def words(text: str | None) -> Iterator[list[str]]:
+    """Lower-cased words, by pieces of the text."""
+    for piece in pieces(text):
+        yield piece.encode().translate(ASCII).decode().split() if piece.isascii() else WORD.findall(piece.lower())
 
 
-def terms(text: str | None) -> Counter:
-    """How often each term is in a text; a beginning is written with ^."""
-    words: Counter = Counter()
-    for piece in pieces(text):
-        words.update(WORD.findall(piece.lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        for k in PREFIXES:
-            if len(w) > k:
-                out["^" + w[:k]] += n
-    return out
+def terms(text: str | None) -> set[str]:
+    """All terms of a text; a beginning is written with ^."""
+    own = {w for part in words(text) for w in part}
+    return own | {"^" + w[:k] for w in own for k in PREFIXES if len(w) > k}
 
 
-@dataclass
-class Vocabulary:
-    ids: dict[str, int]
-    memo: dict[str, tuple] = field(default_factory=dict, repr=False)
+class Terms(dict):
+    """Ids of terms. A word that is none has the id of its longest beginning that is one, else -1."""
+
+    def __missing__(self, word: str) -> int:
+        for k in reversed(PREFIXES):
+            if len(word) > k and (n := self.get("^" + word[:k])) is not None:
+                return n
+        return -1
+
 
-    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+class Vocabulary:
+    """All terms by id; ``table`` has for each the ids that a word with it counts for: its own and those of its beginnings, or -1."""
+
+    def __init__(self, names: list[str], table: np.ndarray | None = None):
+        self.names, self.table = names, table
+        self.ids = Terms((t, i) for i, t in enumerate(names))
+        if table is None:
+            get, n = self.ids.get, len(names)
+            self.table = np.full((n + 1, 1 + len(PREFIXES)), -1, np.int32)
+            self.table[:-1, 0] = np.fromiter((-1 if t[0] == "^" else i for i, t in enumerate(names)), np.int32, n)
+            for column, k in enumerate(PREFIXES, 1):
+                self.table[:-1, column] = np.fromiter((-1 if len(t) <= k else get(t[: k + 1] if t[0] == "^" else "^" + t[:k], -1) for t in names), np.int32, n)
+
+    def __reduce__(self):
+        return _vocabulary, ("\n".join(self.names), self.table)
+
+    def count(self, text: str | None) -> Vector:
         """Terms of a text that are in the vocabulary, in order, and how often."""
-        words: Counter = Counter()
-        for piece in pieces(text):
-            words.update(WORD.findall(piece.lower()))
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        found: dict[int, int] = {}
-        memo = self.memo
-        for w, n in words.items():
-            own = memo.get(w)
-            if own is None:
-                ids = self.ids
-                own = memo[w] = tuple(i for t in (w, *("^" + w[:k] for k in PREFIXES if len(w) > k)) if (i := ids.get(t)) is not None)
-            for i in own:
-                found[i] = found.get(i, 0) + n
-        ids = np.fromiter(found, np.int64, len(found))
-        order = np.argsort(ids)
-        return ids[order], np.fromiter(found.values(), np.int64, len(found))[order]
+        found = []
+        for part in words(text):
+            own = Counter(part)
+            ids = self.table[np.fromiter(map(self.ids.__getitem__, own), np.int64, len(own))].ravel()
+            n = np.repeat(np.fromiter(own.values(), np.int64, len(own)), self.table.shape[1])
+            found.append((ids[ids >= 0], n[ids >= 0]))
+        ids, n = found[0] if len(found) == 1 else (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        by = np.argsort(ids)
+        first = np.flatnonzero(np.r_[True, np.diff(ids[by]) > 0]) if len(ids) else by
+        return ids[by[first]], np.add.reduceat(n[by], first) if len(ids) else n
+
+    def count_all(self, texts: list[str | None]) -> list[Vector]:
+        """``count`` of each; texts that are equal are read once."""
+        held: dict[str | None, Vector] = {}
+        return [held[t] if t in held else held.setdefault(t, self.count(t)) for t in texts]
+
+
+def _vocabulary(names: str, table: np.ndarray) -> Vocabulary:
+    return Vocabulary(names.split("\n") if names else [], table)
 
 
 def weights(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -85,62 +118,118 @@ def _ranges(begin: np.ndarray, size: np.ndarray, value: np.ndarray) -> tuple[np.
     return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum()), np.repeat(value, size)
 
 
+def _kth(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, 0 at least."""
+    return np.maximum(np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k], 0) if k <= x.shape[1] else np.zeros(len(x))
+
+
 class BlockMaxIndex:
-    """Examples in blocks of BLOCK, by term: postings, where each block begins in them, and its largest weight."""
-
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        # examples that share their strongest term and label lie together
-        strong = [int(t[np.argmax(w)]) if len(w) else -1 for t, w in vectors]
-        order = np.lexsort((ids, strong, labels)) if len(ids) else np.zeros(0, np.int64)
-        self.order, self.ids, self.labels = order, ids[order], labels[order]
-        vectors = [vectors[i] for i in order]
-        n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
-        row = np.repeat(np.arange(n), [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
-        term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
-        sort = np.lexsort((row, term))
+    """Examples by term, in blocks of BLOCK entries. Examples with one vector are one entry.
+
+    Example weights are kept in single precision; sums are in double.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, edge: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, frequent: int = FREQUENT):
+        """``term`` and ``weight`` of example i are those from edge[i] to edge[i + 1]."""
+        weight = weight.astype(np.float32)
+        same: dict[bytes, list[int]] = {}
+        for i in np.argsort(ids, kind="stable").tolist():
+            at = slice(edge[i], edge[i + 1])
+            same.setdefault(xxhash.xxh3_128_digest(term[at].tobytes() + weight[at].tobytes()), []).append(i)
+        one = np.array([of[0] for of in same.values()], np.int64)
+        length = edge[one + 1] - edge[one]
+        at, row = _ranges(edge[one], length, np.arange(len(one), dtype=np.int32))
+        term, weight = term[at].astype(np.int32), weight[at]
+        posted = np.bincount(term, minlength=n_terms)
+        often = np.argsort(-posted, kind="stable")[:frequent]
+        often = often[posted[often] > 1]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        # entries with the same strongest of the most frequent terms lie together, by length: their weights are alike
+        group = np.full(len(one), -1)
+        for i, (a, b) in enumerate(zip(np.cumsum(length) - length, np.cumsum(length))):
+            c = self.column[term[a:b]]
+            if len(top := np.flatnonzero((c >= 0) & (c < 64))):
+                group[i] = c[top[np.argmax(weight[a:b][top])]]
+        place = np.empty(len(one), np.int32)
+        place[by := np.lexsort((length, group))] = np.arange(len(one))
+        members = list(same.values())
+        members = [members[i] for i in by]
+        self.first = np.r_[0, np.cumsum([len(of) for of in members])].astype(np.int64)
+        self.order = np.array([i for of in members for i in of], np.int64)
+        self.ids, self.labels = ids[self.order], labels[self.order]
+        self.blocks = max(1, -(-len(one) // BLOCK))
+        row = place[row]
+        sort = np.argsort(term, kind="stable")
         self.row, self.weight = row[sort], weight[sort]
-        # cells are the pairs of term and block that hold anything
-        cell = term[sort] * self.blocks + self.row // BLOCK
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        self.begin, self.size = first, np.diff(np.r_[first, len(cell)])
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.block = cell[first] % self.blocks
-        self.of = np.searchsorted(cell[first] // self.blocks, np.arange(n_terms + 1))
-
-    def search(self, terms: np.ndarray, weight: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int]]:
-        """The k nearest with a cosine above 0: (cosine, example), nearest first, ties by id; ``without`` leaves one example out."""
-        if not len(terms):
-            return []
-        cells, own = _ranges(self.of[terms], self.of[terms + 1] - self.of[terms], weight)
-        bound = np.bincount(self.block[cells], own * self.most[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        place = np.full(self.blocks, len(order))
-        place[order] = np.arange(len(order))
-        by = np.argsort(place[self.block[cells]], kind="stable")
-        cells, own = cells[by], own[by]
-        ends = np.searchsorted(place[self.block[cells]], np.arange(len(order) + 1))
-        # blocks are taken together until they hold about TOGETHER postings of the query, then twice as many each time
-        held = np.r_[0, np.cumsum(self.size[cells])][ends]
-        score, who, i, most = np.zeros(0), np.zeros(0, np.int64), 0, TOGETHER
-        while i < len(order):
-            if len(score) >= k and bound[order[i]] < score[k - 1] - 1e-9:
-                break
-            end = max(i + 1, int(np.searchsorted(held, held[i] + most, side="right")) - 1)
-            part, i, most = slice(ends[i], ends[end]), end, 2 * most
-            at, times = _ranges(self.begin[cells[part]], self.size[cells[part]], own[part])
-            got = np.bincount(self.row[at], times * self.weight[at], len(self.ids))
-            if without is not None:
-                got[without] = 0
-            rows = np.flatnonzero(got)
-            if len(rows) > k:
-                last = np.partition(got[rows], len(rows) - k)[len(rows) - k]
-                rows = rows[got[rows] >= last]
-            score, who = np.r_[score, np.minimum(got[rows], 1.0)], np.r_[who, rows]
-            best = np.lexsort((self.ids[who], -score))[:k]
-            score, who = score[best], who[best]
-        return list(zip(score.tolist(), who.tolist()))
+        self.of = np.r_[0, np.cumsum(posted)]
+        self.dense = None
+
+    def _fill(self) -> None:
+        """Full rows of the frequent terms and, for each block, the largest weight of each; only where queries are searched."""
+        often = np.flatnonzero(self.column >= 0)
+        self.dense = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
+        for t in often:
+            at = slice(self.of[t], self.of[t + 1])
+            self.dense[self.row[at], self.column[t]] = self.weight[at]
+        self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(1)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None, "most": None}
+
+    def search(self, queries: list[Vector], k: int, without: list[int] | None = None) -> list[Vector]:
+        """For each query the k examples of largest cosine above 0: (cosines, examples), nearest first, ties by id.
+
+        ``without`` leaves the examples of one id out of each query's.
+        """
+        if self.dense is None:
+            self._fill()
+        out = []
+        for i in range(0, len(queries), TOGETHER):
+            out += self._search(queries[i : i + TOGETHER], k, without[i : i + TOGETHER] if without else None)
+        return out
+
+    def _search(self, queries: list[Vector], k: int, without: list[int] | None) -> list[Vector]:
+        q, width = len(queries), self.blocks * BLOCK
+        part, often, columns = np.zeros((q, width)), np.zeros((q, self.dense.shape[1])), []
+        for i, (t, w) in enumerate(queries):
+            c = self.column[t]
+            frequent = c >= 0
+            columns.append(c[frequent])
+            often[i, columns[i]] = w[frequent]
+            t = t[~frequent]
+            at, times = _ranges(self.of[t], self.of[t + 1] - self.of[t], w[~frequent])
+            part[i] = np.bincount(self.row[at], times * self.weight[at], width)
+            if without:
+                own, n = np.unique(np.searchsorted(self.first, np.flatnonzero(self.ids == without[i]), side="right") - 1, return_counts=True)
+                part[i, own[n == self.first[own + 1] - self.first[own]]] = -np.inf
+        # low: no more than the k-th largest cosine of a query; first the largest of its blocks, then all of its best blocks
+        single, largest = often.astype(np.float32), part.reshape(q, self.blocks, BLOCK).max(2)
+        bound, low, full = largest + single @ self.most.T, _kth(largest, k), np.full((q, width), -np.inf, np.float32)
+        first = np.argpartition(bound, max(0, self.blocks - FIRST), axis=1)[:, -FIRST:]
+        best = np.zeros(bound.shape, bool)
+        np.put_along_axis(best, first, True, 1)
+        for now in (best, ~best):
+            now &= (bound > 0) & (bound >= low[:, None] - MARGIN)
+            for b in np.flatnonzero(now.any(0)):
+                rows, at = np.flatnonzero(now[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                full[rows, at] = part[rows, at] + single[rows] @ self.dense[at].T
+            if now is best:
+                low = np.maximum(low, _kth(np.take_along_axis(full.reshape(q, self.blocks, BLOCK), first[:, :, None], 1).reshape(q, -1), k))
+        out = []
+        for i in range(q):
+            near = np.flatnonzero(full[i] >= max(low[i] - MARGIN, 1e-30))
+            if len(near) > 2 * k:
+                near = near[full[i, near] >= np.partition(full[i, near], len(near) - k)[len(near) - k] - MARGIN]
+            score = part[i, near] + (self.dense[np.ix_(near, columns[i])] * often[i, columns[i]]).sum(1)
+            score = np.minimum(np.round(score, 12), 1.0)
+            size = np.minimum(self.first[near + 1] - self.first[near], k + (len(self.ids) if without else 0))
+            at, score = _ranges(self.first[near], size, score)
+            if without:
+                at, score = at[self.ids[at] != without[i]], score[self.ids[at] != without[i]]
+            by = np.lexsort((self.ids[at], -score))[:k]
+            out.append((score[by], at[by]))
+        return out
 
 
 @dataclass
@@ -154,44 +243,43 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def raw(self, near: list[tuple[float, int]]) -> float:
+    def raw(self, near: Vector) -> float:
         """Share of the weighted votes for label 1; the prior counts as a faint vote."""
-        top, total = 0.02 * self.prior, 0.02
-        for s, i in near:
-            y = int(self.index.labels[i])
-            w = s * s / (1.05 - s) * self.stands_for[y]
-            top, total = top + w * y, total + w
-        return min(max(top / total, 1e-6), 1 - 1e-6)
-
-    def score(self, near: list[tuple[float, int]]) -> float:
+        s, y = near[0], self.index.labels[near[1]]
+        w = s * s / (1.05 - s) * np.where(y > 0, self.stands_for[1], self.stands_for[0])
+        return float(np.clip((0.02 * self.prior + w @ y) / (0.02 + w.sum()), 1e-6, 1 - 1e-6))
+
+    def score(self, near: Vector) -> float:
         p = self.raw(near)
         return float(1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift))))
 
-    def neighbours(self, text: str | None) -> list[tuple[float, int]]:
-        ids, counts = self.vocabulary.count(text)
-        return self.index.search(ids, weights(ids, counts, self.idf), self.k)
+    def neighbours(self, texts: list[str | None], without: list[int] | None = None) -> list[Vector]:
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            vectors = [(ids, weights(ids, n, self.idf)) for ids, n in map(self.vocabulary.count, texts[i : i + TOGETHER])]
+            out += self.index.search(vectors, self.k, without[i : i + TOGETHER] if without else None)
+        return out
 
-    def calibrate(self, spark: SparkSession, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Slope and shift of the log odds, by Newton steps over examples left out in turn, with smoothed labels."""
-        n = len(vectors)
-        if not n or self.index.labels.min() == self.index.labels.max():
+    def calibrate(self, own: DataFrame) -> None:
+        """Slope and shift of the log odds, by Newton steps over the examples (doc_id, label, text), each left out in turn, with smoothed labels."""
+        if not len(self.index.ids) or self.index.labels.min() == self.index.labels.max():
             return
-        shared = Shared(spark, (self, vectors))
+        shared = Shared(own.sparkSession, self)
 
         def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, v = shared.value
-            for b in batches:
-                raw = [m.raw(m.index.search(*v[i], m.k, without=i)) for i in b.column(0).to_pylist()]
-                yield pa.record_batch([b.column(0), pa.array(raw, pa.float64())], ["id", "raw"])
-
-        x = np.zeros(n)
-        for r in spark.range(0, n, 1, 24).mapInArrow(left_out, "id long, raw double").collect():
-            x[r.id] = r.raw
+            m: Model = shared.value
+            for whole in batches:
+                for x in by_bytes(whole, 2):
+                    near = m.neighbours(x.column(2).to_pylist(), x.column(0).to_pylist())
+                    yield pa.record_batch([*x.columns[:2], pa.array([m.raw(v) for v in near], pa.float64())], ["id", "label", "raw"])
+
+        found = own.select("doc_id", "label", "text").mapInArrow(left_out, "id long, label int, raw double").toArrow().sort_by([("id", "ascending"), ("raw", "ascending")])
         shared.unpersist()
-        x, y = np.log(x / (1 - x)), self.index.labels.astype(float)
-        w = np.array(self.stands_for)[self.index.labels]
-        w = w / w.sum() * n
-        up, down = y.sum(), n - y.sum()
+        x, y = found.column("raw").to_numpy(), found.column("label").to_numpy().astype(int)
+        x = np.log(x / (1 - x))
+        w = np.array(self.stands_for)[y]
+        w = w / w.sum() * len(x)
+        up, down = y.sum(), len(y) - y.sum()
         t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
         a, b = 1.0, 0.0
         for _ in range(50):
@@ -208,36 +296,26 @@ class Model:
             self.slope, self.shift = float(a), float(b)
 
 
-def vectors(docs: DataFrame, vocabulary: Vocabulary, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``carry`` of every row as ``row``, with ids and counts: which terms its text has, and how often."""
-    rows = docs.select(col(text_col).cast("string").alias("text"), row_of(carry))
+def _frequencies(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> tuple[int, np.ndarray]:
+    """Number of rows, and of those whose text holds each term: sums of one partial count from each task."""
     shared = Shared(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
+        own, rows = np.zeros(len(v.names) + 1, np.int64), 0
         for whole in batches:
             for x in by_bytes(whole, 0):
-                both = [v.count(t.as_py()) for t in x.column(0)]
-                lists = [pa.array([p[i] for p in both], pa.list_(pa.int32())) for i in (0, 1)]
-                yield pa.record_batch([x.column(1), *lists], ["row", "ids", "counts"])
-
-    return rows.mapInArrow(run, with_fields(rows.schema.fields[1:], "ids array<int>, counts array<int>"))
-
-
-def _frequencies(rows: DataFrame, n_terms: int) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those that hold each term, over all rows of ``vectors``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(n_terms, np.int64)
-        for x in batches:
-            own += np.bincount(x.column(0).flatten().to_numpy(), minlength=n_terms)
+                own[-1] += x.num_rows
+                for ids, _ in v.count_all(x.column(0).to_pylist()):
+                    own[ids] += 1
         at = np.flatnonzero(own)
         yield pa.record_batch([pa.array(at), pa.array(own[at])], ["term", "n"])
 
-    out = np.zeros(n_terms, np.int64)
-    found = rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    out = np.zeros(len(vocabulary.names) + 1, np.int64)
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
-    return rows.count(), out
+    return int(out[-1]), out[:-1]
 
 
 def all_terms(own: DataFrame) -> Vocabulary:
@@ -246,83 +324,106 @@ def all_terms(own: DataFrame) -> Vocabulary:
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for x in by_bytes(whole, 0, 1 << 20):
-                yield pa.record_batch([pa.array(list({w for t in x.column(0) for w in terms(t.as_py())}), pa.string())], ["term"])
+                yield pa.record_batch([pa.array(list(set().union(*map(terms, x.column(0).to_pylist()))), pa.string())], ["term"])
 
     found = own.select("text").mapInArrow(seen, "term string").distinct().toArrow()
-    return Vocabulary({t: i for i, t in enumerate(sorted(found.column("term").to_pylist()))})
+    return Vocabulary(sorted(found.column("term").to_pylist()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, carry: list[str], text_col: str = "text", label: str = "toxic", divisor: int = 5, held_out: int = 0, per_class: int = 4096, k: int = 15) -> tuple[Model, DataFrame]:
-    """A model from ``labels`` (doc_id, label), leaving out ids whose remainder is ``held_out``; and the vectors of all rows.
+def _counted(own: DataFrame, vocabulary: Vocabulary) -> pa.Table:
+    """doc_id, label, ids and counts of the examples."""
+    shared = Shared(own.sparkSession, vocabulary)
 
-    Each text is read once for its terms. Without examples of both labels
-    every score is the share of label 1, or 0 if there are no labels.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Vocabulary = shared.value
+        for whole in batches:
+            for x in by_bytes(whole, 2):
+                both = v.count_all(x.column(2).to_pylist())
+                lists = [pa.array([p[i] for p in both], pa.list_(pa.int32())) for i in (0, 1)]
+                yield pa.record_batch([*x.columns[:2], *lists], ["doc_id", "label", "ids", "counts"])
+
+    return own.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ids array<int>, counts array<int>").toArrow()
+
+
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label: str = "toxic", divisor: int = 5, held_out: int = 0, per_class: int = 4096, k: int = 15) -> Model:
+    """A model from ``labels`` (doc_id, label), leaving out ids whose remainder is ``held_out``.
+
+    Without examples of both labels every score is the share of label 1, or 0
+    if there are no labels.
     """
     rows = written(labelled(labels, label, divisor, held_out), "labels")
     n = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     own = written(examples(docs, rows, per_class, text_col), "examples")
-    held = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    pos, neg = held.get(1, 0), held.get(0, 0)
     vocabulary = all_terms(own)
-    every = written(vectors(docs, vocabulary, carry, text_col), "vectors")
-    total, df = _frequencies(every, len(vocabulary.ids))
+    total, df = _frequencies(docs, vocabulary, text_col)
     idf = np.log((1 + total) / (1 + df)) + 1
-    found = vectors(own, vocabulary, ["doc_id", "label"]).select("row.*", "ids", "counts").toArrow()
-    vecs = []
-    for i, c in zip(found.column("ids"), found.column("counts")):
-        own_ids = i.values.to_numpy().astype(np.int64)
-        vecs.append((own_ids, weights(own_ids, c.values.to_numpy().astype(np.int64), idf)))
+    found = _counted(own, vocabulary).combine_chunks()
     ids, ys = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
-    del found
-    index = BlockMaxIndex(ids, ys, vecs, len(vocabulary.ids))
-    labels_ = sum(n.values())
-    stands = [n.get(y, 0) / max(h, 1) / max(labels_, 1) * max(pos + neg, 1) for y, h in ((0, neg), (1, pos))]
-    model = Model(vocabulary, idf, index, (stands[0], stands[1]), n.get(1, 0) / labels_ if labels_ else 0.0, k)
-    model.calibrate(docs.sparkSession, [vecs[i] for i in index.order])
-    return model, every
+    edge = np.r_[0, np.cumsum(pa.compute.list_value_length(found.column("ids")).to_numpy())].astype(np.int64)
+    term, counts = (pa.compute.list_flatten(found.column(c)).to_numpy() for c in ("ids", "counts"))
+    weight = (1 + np.log(counts)) * idf[term]
+    length = np.sqrt(np.bincount(np.repeat(np.arange(len(ids)), np.diff(edge)), weight * weight, len(ids)))
+    weight /= np.repeat(length, np.diff(edge))
+    del found, counts
+    index = BlockMaxIndex(ids, ys, edge, term, weight, len(vocabulary.names))
+    del term, weight
+    pos, neg, all_labels = int(ys.sum()), int((1 - ys).sum()), sum(n.values())
+    stands = [n.get(y, 0) / max(h, 1) / max(all_labels, 1) * max(pos + neg, 1) for y, h in ((0, neg), (1, pos))]
+    model = Model(vocabulary, idf, index, (stands[0], stands[1]), n.get(1, 0) / all_labels if all_labels else 0.0, k)
+    model.calibrate(own)
+    return model
 
 
 EVIDENCE = "array<struct<doc_id: long, label: int, similarity: double>>"
 
 
-def score(rows: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``vectors`` with score, predicted and evidence (the nearest examples) in the place of their terms.
-
-    A null or empty text has no terms, hence no neighbours; its score is the
-    calibrated prior. Columns of those names give way.
-    """
-    carry = [c for c in rows.schema["row"].dataType.names if c not in ("score", "predicted", "evidence", "__none")]
-    rows = rows.select("ids", "counts", "row")
+def _scored(rows: DataFrame, model: Model, field: str | None, threshold: float) -> DataFrame:
+    """``row`` of each row with score, predicted and evidence; the text is the column ``text``, or a field of ``row``."""
     shared = Shared(rows.sparkSession, model)
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for x in batches:
-            near = []
-            for i, c in zip(x.column(0), x.column(1)):
-                ids = i.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                near.append(m.index.search(ids, weights(ids, c.values.to_numpy(zero_copy_only=False), m.idf), m.k))
-            p = np.array([m.score(n) for n in near])
-            shown = [[{"doc_id": int(m.index.ids[i]), "label": int(m.index.labels[i]), "similarity": s} for s, i in n] for n in near]
-            cols = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(shown, kind)]
-            yield pa.record_batch([x.column(2), *cols], ["row", "score", "predicted", "evidence"])
+        for whole in batches:
+            column = whole.column(0).field(field) if field else whole.column(1)
+            for x in by_bytes(pa.record_batch([whole.column(0), column], ["row", "text"]), 1):
+                texts = x.column(1).to_pylist()
+                place = {t: i for i, t in enumerate(dict.fromkeys(texts))}  # equal texts have the same neighbours
+                found = m.neighbours(list(place))
+                p = np.array([m.score(v) for v in found])
+                at = np.array([place[t] for t in texts])
+                s, i = (np.concatenate([found[j][n] for j in at]) for n in (0, 1))
+                shown = pa.StructArray.from_arrays([pa.array(m.index.ids[i]), pa.array(m.index.labels[i].astype(np.int32)), pa.array(s)], ["doc_id", "label", "similarity"])
+                shown = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(found[j][0]) for j in at])].astype(np.int32), shown)
+                yield pa.record_batch([x.column(0), pa.array(p[at]), pa.array((p[at] >= threshold).astype(np.int32)), shown], ["row", "score", "predicted", "evidence"])
+
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[:1], f"score double, predicted int, evidence {EVIDENCE}"))
 
-    out = rows.mapInArrow(run, with_fields(rows.schema.fields[2:], f"score double, predicted int, evidence {EVIDENCE}"))
-    return out.select(*unpacked(carry), "score", "predicted", "evidence")
+
+def score(docs: DataFrame, model: Model, carry: list[str] | None = None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The columns ``carry`` (all, if None) of every row with score, predicted and evidence, the nearest examples of its whole text.
+
+    A null or empty text has no terms, hence no neighbours; its score is the
+    calibrated prior. Columns of those names give way.
+    """
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "predicted", "evidence")]
+    rows = docs.select(row_of(carry), col(text_col).cast("string").alias("text"))
+    return _scored(rows, model, None, threshold).select(*unpacked(carry), "score", "predicted", "evidence")
 
 
 def held_out(column: str = "doc_id", divisor: int = 5, rest: int = 0):
     return remainder(column, divisor) == rest
 
 
-def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, threshold: float = 0.5, **how) -> DataFrame:
-    """The columns ``carry`` (all, if None) of every row, and what ``score`` says of it, by a model fitted on ``docs`` and ``labels``."""
-    model, rows = fit(docs, labels, docs.columns if carry is None else carry, **how)
-    return score(rows, model, threshold)
+def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, threshold: float = 0.5, text_col: str = "text", **how) -> DataFrame:
+    """``score`` of every row by a model fitted on ``docs`` and ``labels``."""
+    return score(docs, fit(docs, labels, text_col, **how), carry, text_col, threshold)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
     """``docs`` without those predicted toxic."""
-    rows = classify(docs.select(row_of(docs.columns), col(how.pop("text_col", "text")).alias("text"), col("doc_id").alias("doc_id")), labels, ["row"], **how)
-    return rows.where("predicted = 0").select(*unpacked(docs.columns))
+    model = fit(docs, labels, text_col, **how)
+    if dict(docs.dtypes)[text_col] == "string" and docs.columns.count(text_col) == 1:  # the text goes to the workers once
+        rows, field = docs.select(row_of(docs.columns)), text_col
+    else:
+        rows, field = docs.select(row_of(docs.columns), col(text_col).cast("string").alias("text")), None
+    return _scored(rows, model, field, threshold).where("predicted = 0").select(*unpacked(docs.columns))

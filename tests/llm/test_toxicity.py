@@ -42,7 +42,7 @@ def test_held_out_accuracy_and_exact_neighbours(spark):
     v = [model.vocabulary.count(t) for _, t in docs]
     dense = np.zeros((len(docs), len(model.idf)))
     for i, (ids, counts) in enumerate(v):
-        dense[i, ids] = toxicity.weights(ids, counts, model.idf)
+        dense[i, ids] = toxicity.weights(ids, counts, model.weight)
     place = {i: j for j, (i, _) in enumerate(docs)}
     index = dense[[place[int(i)] for i in model.index.ids]]
     for r in out:
@@ -152,3 +152,16 @@ def test_index_in_blocks_with_repeats_and_one_left_out(monkeypatch):
             by = by[cos[by] > 0]
             assert np.allclose(s, cos[by], atol=2e-6) and len(who) == len(by)
             assert len(set(who.tolist())) == len(who) and np.allclose(cos[who], s, atol=2e-6)
+
+
+def test_terms_weigh_more_the_more_they_depend_on_the_label(spark):
+    docs, labels = corpus(300)
+    model = toxicity.fit(*frames(spark, docs, labels))
+    more = model.weight / model.idf
+    own = [(t, dict(labels)[i]) for i, t in docs if i in set(model.index.ids.tolist())]
+    for j in (model.vocabulary.ids["idiot"], 0, len(more) - 1):
+        a, b = (sum(model.vocabulary.names[j] in toxicity.terms(t) for t, y in own if y == k) + 0.5 for k in (1, 0))
+        n = [sum(y == k for _, y in own) + 1 for k in (1, 0)]
+        z = abs(np.log(a / n[0]) - np.log(b / n[1])) / np.sqrt(1 / a + 1 / b)
+        assert abs(more[j] - 1 - z) < 1e-9
+    assert more.min() >= 1

@@ -2,7 +2,10 @@
 
 At most ``per_class`` examples of each label are indexed (a documented bound of
 the fit). Terms are all words and word beginnings of the examples; their
-document frequencies are counted over all documents. Examples lie in blocks of
+document frequencies are counted over all documents. A term weighs its inverse
+document frequency, times one more than its dependence on the label among the
+examples: no term is left out, and those that tell the labels apart count for
+more. Examples lie in blocks of
 like ones. A query first sums the postings of its rarer terms; for the frequent
 ones each block keeps the largest weight, so what a block can still add has a
 bound. Only blocks that can reach the neighbours found so far are completed,
@@ -107,9 +110,15 @@ def _vocabulary(names: str, table: np.ndarray) -> Vocabulary:
     return Vocabulary(names.split("\n") if names else [], table)
 
 
-def weights(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF vector."""
-    w = (1 + np.log(counts)) * idf[ids]
+def dependence(term: np.ndarray, label: np.ndarray, n_terms: int, pos: int, neg: int) -> np.ndarray:
+    """How many standard errors the log odds of each term between the labels are from 0; ``term`` and ``label`` go over the terms of all examples."""
+    a, b = (np.bincount(term, label == y, n_terms) + 0.5 for y in (1, 0))
+    return np.abs(np.log(a / (pos + 1)) - np.log(b / (neg + 1))) / np.sqrt(1 / a + 1 / b)
+
+
+def weights(ids: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF vector, by the weight of each term."""
+    w = (1 + np.log(counts)) * weight[ids]
     return w / np.sqrt(w @ w) if len(w) else w
 
 
@@ -236,6 +245,7 @@ class BlockMaxIndex:
 class Model:
     vocabulary: Vocabulary
     idf: np.ndarray
+    weight: np.ndarray  # of each term: its idf, more if it depends on the label
     index: BlockMaxIndex
     stands_for: tuple[float, float]  # documents of each label that one example stands for
     prior: float
@@ -256,7 +266,7 @@ class Model:
     def neighbours(self, texts: list[str | None], without: list[int] | None = None) -> list[Vector]:
         out = []
         for i in range(0, len(texts), TOGETHER):
-            vectors = [(ids, weights(ids, n, self.idf)) for ids, n in map(self.vocabulary.count, texts[i : i + TOGETHER])]
+            vectors = [(ids, weights(ids, n, self.weight)) for ids, n in map(self.vocabulary.count, texts[i : i + TOGETHER])]
             out += self.index.search(vectors, self.k, without[i : i + TOGETHER] if without else None)
         return out
 
@@ -361,15 +371,16 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label: str =
     ids, ys = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
     edge = np.r_[0, np.cumsum(pa.compute.list_value_length(found.column("ids")).to_numpy())].astype(np.int64)
     term, counts = (pa.compute.list_flatten(found.column(c)).to_numpy() for c in ("ids", "counts"))
-    weight = (1 + np.log(counts)) * idf[term]
+    pos, neg, all_labels = int(ys.sum()), int((1 - ys).sum()), sum(n.values())
+    per_term = idf * (1 + dependence(term, np.repeat(ys, np.diff(edge)), len(idf), pos, neg))
+    weight = (1 + np.log(counts)) * per_term[term]
     length = np.sqrt(np.bincount(np.repeat(np.arange(len(ids)), np.diff(edge)), weight * weight, len(ids)))
     weight /= np.repeat(length, np.diff(edge))
     del found, counts
     index = BlockMaxIndex(ids, ys, edge, term, weight, len(vocabulary.names))
     del term, weight
-    pos, neg, all_labels = int(ys.sum()), int((1 - ys).sum()), sum(n.values())
     stands = [n.get(y, 0) / max(h, 1) / max(all_labels, 1) * max(pos + neg, 1) for y, h in ((0, neg), (1, pos))]
-    model = Model(vocabulary, idf, index, (stands[0], stands[1]), n.get(1, 0) / all_labels if all_labels else 0.0, k)
+    model = Model(vocabulary, idf, per_term, index, (stands[0], stands[1]), n.get(1, 0) / all_labels if all_labels else 0.0, k)
     model.calibrate(own)
     return model
 

@@ -67,11 +67,11 @@ def seeds(spark, d) -> DataFrame:
 
 
 def lock(spark, d) -> DataFrame:
-    """Brands need the brands of the parts that are bought together with theirs, among large orders."""
-    i = imports(spark, d).join(part_dist(spark, d), "part").where("key % 50 = 0 and line <= 2")
-    a, b = i.where("line = 1").select("key", F.col("distribution").alias("src")), i.where("line = 2").select("key", F.col("distribution").alias("dst"))
+    """Brands need the brands of the parts on the next line of an order."""
+    i = imports(spark, d).join(part_dist(spark, d), "part")
+    a, b = i.select("key", "line", F.col("distribution").alias("src")), i.select("key", (F.col("line") - 1).alias("line"), F.col("distribution").alias("dst"))
     n = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("int")
-    return a.join(b, "key").where((n("dst") - n("src")).between(1, 2)).select("src", "dst").distinct()
+    return a.join(b, ["key", "line"]).where((n("dst") - n("src")).between(1, 2)).select("src", "dst").distinct()
 
 
 def candidates(spark, d) -> DataFrame:

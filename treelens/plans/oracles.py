@@ -18,8 +18,8 @@ DECLARED = f"""SELECT DISTINCT {BRAND} AS distribution,
 FROM part WHERE p_size = 50 AND {N.format('p_brand')} % 3 = 0"""
 EDGES = "SELECT DISTINCT l_orderkey AS src, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM orders) AS dst FROM lineitem WHERE l_quantity >= 42"
 LOCK = f"""SELECT DISTINCT a.d AS src, b.d AS dst FROM
-  (SELECT l_orderkey AS k, {BRAND} AS d FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND l_orderkey % 50 = 0) a JOIN
-  (SELECT l_orderkey AS k, {BRAND} AS d FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 2 AND l_orderkey % 50 = 0) b USING (k)
+  (SELECT l_orderkey AS k, l_linenumber AS n, {BRAND} AS d FROM lineitem JOIN part ON l_partkey = p_partkey) a JOIN
+  (SELECT l_orderkey AS k, l_linenumber - 1 AS n, {BRAND} AS d FROM lineitem JOIN part ON l_partkey = p_partkey) b USING (k, n)
   WHERE {N.format('b.d')} - {N.format('a.d')} BETWEEN 1 AND 2"""
 CODE = "'TL' || lpad(CAST(l_partkey % 10 + 1 AS VARCHAR), 3, '0')"
 KIND = f"""CASE WHEN {CODE} = 'TL001' THEN 'file' WHEN {CODE} IN ('TL002', 'TL005', 'TL009') THEN 'distribution' WHEN {CODE} = 'TL008' THEN 'binary'
@@ -63,6 +63,7 @@ FROM (SELECT *, CASE WHEN is_std THEN 1 WHEN is_own THEN 2 WHEN member THEN 3 WH
     CASE WHEN any_value(k) % 7 IN (1, 2) THEN CASE WHEN any_value(k) % 3 = 0 THEN ['bundled-x', 'bundled-y'] ELSE ['bundled-y'] END END AS b
     FROM (SELECT l_partkey % 500 AS k, CASE WHEN l_partkey % 500 % 2 = 0 THEN 'root' || CAST(l_partkey % 500 AS VARCHAR) ELSE 'root_' || CAST(l_partkey % 500 AS VARCHAR) END AS import_root FROM lineitem) GROUP BY import_root))"""
 MEMBER_AT = "CASE n_nationkey % 3 WHEN 0 THEN 'src/pkg' || CAST(n_nationkey AS VARCHAR) WHEN 1 THEN 'src' ELSE 'src/pkg' || CAST(n_nationkey AS VARCHAR) || '/sub' END"
+TOKENS = r"""SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')), ' '), lambda x: regexp_replace(x, '^[^A-Za-z0-9\-_.]+|[^A-Za-z0-9\-_.]+$', '', 'g')), lambda x: x <> '')) AS token FROM documents"""
 LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents"
 
 ORACLES: dict[str, str] = {
@@ -70,7 +71,7 @@ ORACLES: dict[str, str] = {
     "reach_closure": f"{REACH} SELECT node FROM r",
     "reach_depth": f"{DEPTH} SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node",
     "trace_path": f"{DEPTH} SELECT node, CAST(min(depth) AS INTEGER) AS depth, CAST(min(depth) + 1 AS INTEGER) AS steps, TRUE AS follows_edges FROM r GROUP BY node",
-    "incoming_imports": f"{REACH} SELECT dst, count(*) AS importers, count(*) FILTER (WHERE src IN (SELECT node FROM r)) AS reachable FROM e WHERE dst % 5 = 0 GROUP BY dst",
+    "incoming_imports": f"{REACH} SELECT dst, count(*) AS importers, count(*) FILTER (WHERE src IN (SELECT node FROM r)) AS reachable FROM e GROUP BY dst",
     "used_modules": f"{REACH} SELECT l_partkey AS part, count(*) AS imports FROM lineitem WHERE l_orderkey IN (SELECT node FROM r) GROUP BY l_partkey",
     "lock_closure": f"{CLOSURE} SELECT distribution, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY distribution",
     "resolve_ladder": LADDER,
@@ -82,17 +83,17 @@ ORACLES: dict[str, str] = {
     "missing_dep": f"{CLOSURE} SELECT distribution, CASE WHEN optional OR platform_guarded THEN 'info' ELSE 'error' END AS severity, count(*) AS n FROM ({UNDECLARED}) WHERE distribution NOT IN (SELECT distribution FROM r) GROUP BY ALL",
     "transitive_dep": f"{CLOSURE} SELECT distribution, CASE WHEN optional OR platform_guarded THEN 'info' ELSE 'error' END AS severity, count(*) AS n FROM ({UNDECLARED}) WHERE distribution IN (SELECT distribution FROM r) GROUP BY ALL",
     "misplaced_dep": f"SELECT distribution, 'warning' AS severity FROM (SELECT distribution FROM ({DECLARED}) WHERE label <> 'small' AND kind <> 'runtime' GROUP BY distribution HAVING bool_and(kind = 'group')) WHERE distribution IN (SELECT distribution FROM ({USED}) WHERE context = 'runtime')",
-    "unlisted_binary": f"""SELECT "binary", coalesce(d, "binary") AS distribution, min(doc_id) AS first_doc FROM (SELECT doc_id, 'tool-' || CAST(doc_id % 60 AS VARCHAR) AS "binary" FROM documents)
+    "unlisted_binary": f"""SELECT "binary", coalesce(d, "binary") AS distribution, min(doc_id) AS first_doc FROM (SELECT doc_id, 'tool-' || CAST(length(token) % 60 AS VARCHAR) AS "binary" FROM ({TOKENS}))
   LEFT JOIN (SELECT 'tool-' || CAST(n_nationkey AS VARCHAR) AS "binary", 'brand-' || CAST(n_nationkey + 1 AS VARCHAR) AS d FROM nation) USING ("binary")
   WHERE coalesce(d, "binary") NOT IN (SELECT distribution FROM ({DECLARED})) GROUP BY ALL""",
     "duplicate_dep": f"SELECT distribution, string_agg(DISTINCT CASE WHEN kind = 'runtime' THEN 'runtime' ELSE kind || ':' || label END, ',' ORDER BY CASE WHEN kind = 'runtime' THEN 'runtime' ELSE kind || ':' || label END) AS contexts FROM ({DECLARED}) GROUP BY distribution HAVING count(DISTINCT CASE WHEN kind = 'runtime' THEN 'runtime' ELSE kind || ':' || label END) > 1",
-    "unused_export": """WITH s AS (SELECT p_partkey AS seq, 'm' || CAST(p_partkey % 200 AS VARCHAR) AS module, 'f' || CAST(p_size AS VARCHAR) AS name, p_size % 4 = 0 AS exported, p_size % 7 = 0 AS decorated FROM part WHERE p_partkey % 200 % 3 <> 0),
+    "unused_export": """WITH s AS (SELECT p_partkey AS seq, 'm' || CAST(p_partkey // 2 AS VARCHAR) AS module, 'f' || CAST(p_size AS VARCHAR) AS name, p_size % 4 = 0 AS exported, p_size % 7 = 0 AS decorated FROM part WHERE p_partkey // 2 % 3 <> 0),
   f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY module, name ORDER BY seq) AS k FROM s WHERE NOT decorated) WHERE k = 1),
-  refs AS (SELECT DISTINCT 'm' || CAST(l_partkey % 200 AS VARCHAR) AS module, 'f' || CAST(l_suppkey % 50 + 1 AS VARCHAR) AS name, 'm' || CAST(l_orderkey % 200 AS VARCHAR) AS importer FROM lineitem WHERE l_quantity > 48 AND l_linenumber = 1)
+  refs AS (SELECT DISTINCT 'm' || CAST(l_partkey // 2 AS VARCHAR) AS module, 'f' || CAST(l_suppkey % 50 + 1 AS VARCHAR) AS name, 'm' || CAST(l_orderkey // 2 AS VARCHAR) AS importer FROM lineitem)
   SELECT module, name, CASE WHEN exported THEN 'certain' ELSE 'likely' END AS confidence, 'warning' AS severity FROM f
-  WHERE NOT EXISTS (SELECT 1 FROM refs WHERE refs.module = f.module AND refs.name = f.name AND refs.importer <> f.module) AND NOT (module = 'm7' AND name IN ('f1', 'f2', 'f3'))""",
-    "unused_reexport": """WITH x AS (SELECT DISTINCT 'm' || CAST(p_partkey % 200 AS VARCHAR) AS package, CASE WHEN p_size % 5 = 0 THEN '_' ELSE '' END || 'f' || CAST(p_size AS VARCHAR) AS name, p_size % 4 = 0 AS exported FROM part),
-  refs AS (SELECT DISTINCT 'm' || CAST(l_partkey % 200 AS VARCHAR) AS package, 'f' || CAST(l_suppkey % 50 + 1 AS VARCHAR) AS name FROM lineitem WHERE l_quantity > 48 AND l_linenumber = 1)
+  WHERE NOT EXISTS (SELECT 1 FROM refs WHERE refs.module = f.module AND refs.name = f.name AND refs.importer <> f.module) AND module <> 'm7'""",
+    "unused_reexport": """WITH x AS (SELECT DISTINCT 'm' || CAST(p_partkey // 2 AS VARCHAR) AS package, CASE WHEN p_size % 5 = 0 THEN '_' ELSE '' END || 'f' || CAST(p_size AS VARCHAR) AS name, p_size % 4 = 0 AS exported FROM part),
+  refs AS (SELECT DISTINCT 'm' || CAST(l_partkey // 2 AS VARCHAR) AS package, 'f' || CAST(l_suppkey % 50 + 1 AS VARCHAR) AS name FROM lineitem)
   SELECT package, name, 'likely' AS confidence FROM x WHERE (exported OR name NOT LIKE '\\_%' ESCAPE '\\') AND NOT EXISTS (SELECT 1 FROM refs WHERE refs.package = x.package AND refs.name = x.name)""",
     "unresolved_import": f"""{REACH}, l AS ({LADDER}), i AS (SELECT l_orderkey AS k, l_linenumber AS line, CASE WHEN l_partkey % 500 % 2 = 0 THEN 'root' ELSE 'root_' END || CAST(l_partkey % 500 AS VARCHAR) AS import_root FROM lineitem)
   SELECT DISTINCT {path('k')} AS path, line, import_root FROM i JOIN l USING (import_root) WHERE origin = 'unknown' AND k IN (SELECT node FROM r)""",
@@ -112,14 +113,14 @@ ORACLES: dict[str, str] = {
   a AS (SELECT *, CASE WHEN confidence <> 'certain' THEN NULL WHEN code = 'TL002' AND n > 0 THEN 'remove_dependency' WHEN code = 'TL009' AND n >= 2 THEN 'remove_duplicate' WHEN code = 'TL005' AND lasting = 0 AND groups = 1 THEN 'move_to_runtime' END AS action FROM j)
   SELECT code, name, action, CASE WHEN action IS NOT NULL THEN label END AS label, CASE WHEN action IS NOT NULL THEN NULL WHEN confidence <> 'certain' THEN 'not_fixable' WHEN code = 'TL001' THEN 'file_removal_denied' WHEN n = 0 THEN 'missing_origin' WHEN code = 'TL005' THEN 'ambiguous' ELSE 'not_fixable' END AS reason FROM a""",
     "entry_merge": f"""SELECT path, max_by(symbol, seq) FILTER (WHERE symbol IS NOT NULL) AS symbol, CASE WHEN bool_or(context = 'runtime') THEN 'runtime' ELSE min_by(context, seq) END AS context, count(DISTINCT origin) AS origins FROM (
-  SELECT {path('l_orderkey % 997')} AS path, CASE WHEN l_partkey % 3 = 0 THEN 's' || CAST(l_partkey AS VARCHAR) END AS symbol, CASE l_linestatus WHEN 'O' THEN 'dev' ELSE CASE WHEN l_returnflag = 'R' THEN 'runtime' ELSE 'test' END END AS context,
-  l_returnflag || l_linestatus AS origin, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq FROM lineitem WHERE l_orderkey % 4 = 0) GROUP BY path""",
+  SELECT {path('l_orderkey')} AS path, CASE WHEN l_partkey % 3 = 0 THEN 's' || CAST(l_partkey AS VARCHAR) END AS symbol, CASE l_linestatus WHEN 'O' THEN 'dev' ELSE CASE WHEN l_returnflag = 'R' THEN 'runtime' ELSE 'test' END END AS context,
+  l_returnflag || l_linestatus AS origin, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq FROM lineitem) GROUP BY path""",
     "module_index": "SELECT module, min(path) AS path FROM (SELECT 'src/pkg' || CAST(o_custkey % 50 AS VARCHAR) || '/m_' || CAST(o_custkey AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN '.py' ELSE '/__init__.py' END AS path, 'pkg' || CAST(o_custkey % 50 AS VARCHAR) || '.m_' || CAST(o_custkey AS VARCHAR) AS module FROM orders) GROUP BY module",
     "module_paths": """WITH p AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 'src/' WHEN o_orderkey % 3 = 1 THEN '' ELSE 'libs/x/src/' END || 'm_' || CAST(o_custkey AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN '.py' ELSE '/__init__.py' END AS path FROM orders),
   t AS (SELECT 'm_' || CAST(c_custkey AS VARCHAR) AS module FROM customer)
   SELECT module, coalesce((SELECT min_by(path, CASE path WHEN 'src/' || module || '.py' THEN 0 WHEN 'src/' || module || '/__init__.py' THEN 1 WHEN module || '.py' THEN 2 ELSE 3 END) FROM p WHERE path IN ('src/' || module || '.py', 'src/' || module || '/__init__.py', module || '.py', module || '/__init__.py')),
     (SELECT min(path) FROM p WHERE path IN ('libs/x/src/' || module || '.py', 'libs/x/src/' || module || '/__init__.py'))) AS path FROM t""",
-    "origin_merge": "SELECT module, ['unknown', 'third_party', 'stdlib'][max(k) + 1] AS origin FROM (SELECT l_partkey % 300 AS module, CASE WHEN l_suppkey % 10 = 0 THEN 2 WHEN l_suppkey % 10 < 6 THEN 1 ELSE 0 END AS k FROM lineitem WHERE l_orderkey % 50 = 0) GROUP BY module",
+    "origin_merge": "SELECT module, ['unknown', 'third_party', 'stdlib'][max(k) + 1] AS origin FROM (SELECT l_orderkey AS module, CASE WHEN l_suppkey % 10 = 0 THEN 2 WHEN l_suppkey % 10 < 6 THEN 1 ELSE 0 END AS k FROM lineitem) GROUP BY module",
     "binary_overlay": "SELECT 'bin' || CAST(p_partkey % 100 AS VARCHAR) AS \"binary\", max_by(p_brand, p_size % 3 * 1000000 + p_partkey) AS distribution FROM part GROUP BY ALL",
     "normalize_names": "SELECT lower(regexp_replace(replace(replace(p_brand, '#', '_.'), ' ', '-'), '[-_.]+', '-', 'g')) AS name, count(*) AS n FROM part GROUP BY ALL",
     "import_roots": "SELECT split_part(split_part(url, '://', 2), '.', 1) AS root, count(*) AS n FROM pages GROUP BY ALL",
@@ -127,12 +128,12 @@ ORACLES: dict[str, str] = {
   FROM (SELECT ['tests/', 'src/', 'docs/', 'scripts/', 'pkg/tests/', ''][o_orderkey % 6 + 1] || ['a.py', 'test_b.py', 'c_test.py', 'conftest.py', 'noxfile.py', 'testx.py', 'main.py'][o_custkey % 7 + 1] AS path FROM orders) GROUP BY ALL""",
     "relative_imports": """SELECT module, count(*) AS n FROM (SELECT CASE WHEN base < 1 THEN NULL ELSE array_to_string(list_concat(parts[1:base], CASE WHEN l_suppkey % 3 = 0 THEN ['x'] WHEN l_suppkey % 3 = 1 THEN ['y'] ELSE [] END), '.') END AS module FROM (
   SELECT l_suppkey, ['a', 'b' || CAST(l_partkey % 9 AS VARCHAR), 'c', 'd'][1:l_orderkey % 4 + 1] AS parts, l_orderkey % 4 + 1 - CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 1 END - (l_partkey % 3) AS base FROM lineitem)) GROUP BY ALL""",
-    "config_tokens": """SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')), ' '), lambda x: regexp_replace(x, '^[^A-Za-z0-9\\-_.]+|[^A-Za-z0-9\\-_.]+$', '', 'g')), lambda x: x <> '')) AS token FROM documents) WHERE regexp_matches(token, '^[A-Za-z]+$') GROUP BY ALL HAVING count(*) > 20""",
+    "config_tokens": f"SELECT token, count(*) AS n FROM ({TOKENS}) GROUP BY ALL",
     "workflow_binaries": "SELECT 'mod' || CAST(event_id % 40 AS VARCHAR) AS module, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY ALL",
     "ini_sections": f"SELECT doc_id, section, count(*) AS n FROM (SELECT doc_id, coalesce(last_value(CASE WHEN regexp_matches(line, '^[A-ZÀ-Ü][a-z]+ ') THEN split_part(line, ' ', 1) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section FROM ({LINES})) GROUP BY ALL",
-    "ignore_directives": "SELECT file_level, code, count(*) AS n FROM (SELECT doc_id % 2 = 0 AS file_level, unnest(CASE WHEN doc_id % 3 = 0 THEN ['TL00' || CAST(doc_id % 9 + 1 AS VARCHAR), 'TL010'] ELSE ['TL00' || CAST(doc_id % 9 + 1 AS VARCHAR)] END) AS code FROM documents WHERE doc_id % 5 <> 0) GROUP BY ALL",
+    "ignore_directives": f"SELECT file_level, code, count(*) AS n FROM (SELECT k % 2 = 0 AS file_level, unnest(CASE WHEN k % 3 = 0 THEN ['TL00' || CAST(k % 9 + 1 AS VARCHAR), 'TL010'] ELSE ['TL00' || CAST(k % 9 + 1 AS VARCHAR)] END) AS code FROM (SELECT doc_id + n - 1 AS k FROM ({LINES})) WHERE k % 5 <> 0) GROUP BY ALL",
     "glob_filter": f"SELECT count(*) FILTER (WHERE regexp_matches(path, '^src/.*1\\.py$')) AS crossing, count(*) FILTER (WHERE regexp_matches(path, '^src/pkg(7|8)/')) AS braces, count(*) FILTER (WHERE regexp_matches(path, 'm_[0-4][^/]\\.py$')) AS classes FROM ({FILES})",
     "probe_counts": f"SELECT context, opaque, count(*) AS n FROM ({FILES}) GROUP BY GROUPING SETS ((context), (opaque))",
-    "false_positive_rate": f"SELECT code, count(*) AS labelled, count(*) FILTER (WHERE severity = 'info') AS false_positives, CAST(count(*) FILTER (WHERE severity = 'info') * 1000 // count(*) AS BIGINT) AS permille FROM ({CANDIDATES}) WHERE l_orderkey % 5 = 0 GROUP BY code",
+    "false_positive_rate": f"SELECT code, count(*) AS labelled, count(*) FILTER (WHERE severity = 'info') AS false_positives, CAST(count(*) FILTER (WHERE severity = 'info') * 1000 // count(*) AS BIGINT) AS permille FROM ({CANDIDATES}) GROUP BY code",
     "parse_cache": "SELECT state, count(*) AS n, count(DISTINCT h) AS contents FROM (SELECT md5(text) AS h, CASE WHEN md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0) THEN 'hit' ELSE 'miss' END AS state FROM documents) GROUP BY ALL",
 }

@@ -63,7 +63,7 @@ def trace_path(spark, d):
 
 @query
 def incoming_imports(spark, d):
-    rows = closure.importers(a.edges(spark, d), _reached(spark, d), F.col("dst") % 5 == 0)
+    rows = closure.importers(a.edges(spark, d), _reached(spark, d), F.lit(True))
     return rows.groupBy("dst").agg(F.count("*").alias("importers"), F.count_if("reachable").alias("reachable"))
 
 
@@ -134,7 +134,7 @@ def module_paths(spark, d):
 @query
 def origin_merge(spark, d):
     k = F.col("l_suppkey") % 10
-    rows = a.table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select((F.col("l_partkey") % 300).alias("module"), F.when(k == 0, "stdlib").when(k < 6, "third_party").otherwise("unknown").alias("origin"), F.col("l_linenumber").alias("seq"))
+    rows = a.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("module"),F.when(k == 0, "stdlib").when(k < 6, "third_party").otherwise("unknown").alias("origin"), F.col("l_linenumber").alias("seq"))
     return resolve.merge_origins(rows)
 
 
@@ -184,8 +184,9 @@ def misplaced_dep(spark, d):
 
 @query
 def unlisted_binary(spark, d):
-    docs = a.table(spark, d, "documents")
-    binaries = docs.select(F.concat(F.lit("tool-"), _text(F.col("doc_id") % 60)).alias("binary"), F.col("doc_id").alias("file"), F.lit(1).alias("line"))
+    # every token of a text calls a tool, by its length
+    tokens = a.table(spark, d, "documents").select("doc_id", F.explode(s.command_tokens(F.col("text"))).alias("token"))
+    binaries = tokens.select(F.concat(F.lit("tool-"), _text(F.length("token") % 60)).alias("binary"), F.col("doc_id").alias("file"), F.lit(1).alias("line"))
     n = F.col("n_nationkey")
     known = a.table(spark, d, "nation").select(F.concat(F.lit("tool-"), _text(n)).alias("binary"), F.concat(F.lit("brand-"), _text(n + 1)).alias("distribution"))
     return dependencies.unlisted(binaries, known, a.declared(spark, d)).select("binary", "distribution", F.col("file").alias("first_doc"))
@@ -200,11 +201,12 @@ def duplicate_dep(spark, d):
 
 
 def _m(x):
-    return F.concat(F.lit("m"), _text(x % 200))
+    """Two parts are a module, so that modules grow with the data."""
+    return F.concat(F.lit("m"), _text(F.shiftright(x, 1)))
 
 
 def _refs(spark, d) -> DataFrame:
-    rows = a.table(spark, d, "lineitem").where("l_quantity > 48 and l_linenumber = 1")
+    rows = a.table(spark, d, "lineitem")
     imports = rows.select(_text(F.col("l_orderkey")).alias("path"), _m(F.col("l_orderkey")).alias("importer"), _m(F.col("l_partkey")).alias("module"), F.concat(F.lit("f"), _text(F.col("l_suppkey") % 50 + 1)).alias("name"), F.lit(None).cast("string").alias("alias"), F.lit(True).alias("reachable"))
     # half of the names are reached through an attribute of the imported module
     odd = F.col("l_orderkey") % 2 == 1
@@ -216,8 +218,8 @@ def _refs(spark, d) -> DataFrame:
 @query
 def unused_export(spark, d):
     p = a.table(spark, d, "part")
-    rows = p.select(F.col("p_partkey").alias("seq"), _m(F.col("p_partkey")).alias("module"), F.concat(F.lit("f"), _text(F.col("p_size"))).alias("name"), (F.col("p_size") % 4 == 0).alias("exported"), (F.col("p_size") % 7 == 0).alias("decorated"), F.lit(True).alias("is_public"), F.lit(False).alias("in_type_checking"), (F.col("p_partkey") % 200 % 3 != 0).alias("reachable"))
-    external = spark.createDataFrame([("m7", "f1"), ("m7", "f2"), ("m7", "f3")], "module string, name string")
+    rows = p.select(F.col("p_partkey").alias("seq"), _m(F.col("p_partkey")).alias("module"), F.concat(F.lit("f"), _text(F.col("p_size"))).alias("name"), (F.col("p_size") % 4 == 0).alias("exported"), (F.col("p_size") % 7 == 0).alias("decorated"), F.lit(True).alias("is_public"), F.lit(False).alias("in_type_checking"), (F.shiftright("p_partkey", 1) % 3 != 0).alias("reachable"))
+    external = spark.createDataFrame([("m7", f"f{i}") for i in range(1, 51)], "module string, name string")
     return symbols.unused_exports(rows, _refs(spark, d), external).select("module", "name", "confidence", "severity")
 
 
@@ -310,7 +312,7 @@ def fix_plan(spark, d):
 @query
 def entry_merge(spark, d):
     context = F.when(F.col("l_linestatus") == "O", "dev").when(F.col("l_returnflag") == "R", "runtime").otherwise("test")
-    rows = a.table(spark, d, "lineitem").where("l_orderkey % 4 = 0").select(a.path_of(F.col("l_orderkey") % 997).alias("path"), F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("s"), _text(F.col("l_partkey")))).alias("symbol"), context.alias("context"), F.concat("l_returnflag", "l_linestatus").alias("origin"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"))
+    rows = a.table(spark, d, "lineitem").select(a.path_of(F.col("l_orderkey")).alias("path"),F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("s"), _text(F.col("l_partkey")))).alias("symbol"), context.alias("context"), F.concat("l_returnflag", "l_linestatus").alias("origin"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"))
     return emit.merge_entries(rows).select("path", "symbol", "context", F.size("origins").cast("long").alias("origins"))
 
 
@@ -346,7 +348,7 @@ def relative_imports(spark, d):
 @query
 def config_tokens(spark, d):
     rows = a.table(spark, d, "documents").select(F.explode(s.command_tokens(F.col("text"))).alias("token"))
-    return _count(rows.where(F.col("token").rlike("^[A-Za-z]+$")), "token").where("n > 20")
+    return _count(rows, "token")
 
 
 @query
@@ -369,10 +371,12 @@ def ini_sections(spark, d):
 
 @query
 def ignore_directives(spark, d):
-    n = F.col("doc_id")
+    # the data hold no directives, so each line of a text has one put behind it
+    n = F.col("doc_id") + F.col("pos")
     code = F.concat(F.lit("TL00"), _text(n % 9 + 1))
-    line = F.when(n % 5 == 0, F.concat(F.lit("x = 1  # ignore["), code, F.lit("]"))).otherwise(F.concat(F.lit("x  #  treelens: "), F.when(n % 2 == 0, "file-").otherwise(""), F.lit("ignore["), code, F.when(n % 3 == 0, ",TL010").otherwise(""), F.lit("] why")))
-    rows = a.table(spark, d, "documents").select(s.directives(line).alias("x")).where("x is not null").select("x.file_level", F.explode("x.codes").alias("code"))
+    said = F.when(n % 5 == 0, F.concat(F.lit("  # ignore["), code, F.lit("]"))).otherwise(F.concat(F.lit("  #  treelens: "), F.when(n % 2 == 0, "file-").otherwise(""), F.lit("ignore["), code, F.when(n % 3 == 0, ",TL010").otherwise(""), F.lit("] why")))
+    lines = a.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = lines.select(s.directives(F.concat("line", said)).alias("x")).where("x is not null").select("x.file_level", F.explode("x.codes").alias("code"))
     return _count(rows, "file_level", "code")
 
 
@@ -393,8 +397,7 @@ def probe_counts(spark, d):
 
 @query
 def false_positive_rate(spark, d):
-    i = a.table(spark, d, "lineitem").where("l_orderkey % 5 = 0")
-    rows = i.select(F.concat(F.lit("TL"), F.lpad(_text(F.col("l_partkey") % 10 + 1), 3, "0")).alias("code"), (F.col("l_partkey") % 3 == 2).alias("fp"))
+    rows = a.table(spark, d, "lineitem").select(F.concat(F.lit("TL"), F.lpad(_text(F.col("l_partkey") % 10 + 1), 3, "0")).alias("code"), (F.col("l_partkey") % 3 == 2).alias("fp"))
     n, fp = F.count("*"), F.count_if("fp")
     return rows.groupBy("code").agg(n.alias("labelled"), fp.alias("false_positives"), F.floor(fp * 1000 / n).cast("long").alias("permille"))
 

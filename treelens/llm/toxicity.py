@@ -42,6 +42,8 @@ PREFIXES = (4, 5)
 BLOCK = 32
 #: Blocks of a query with the largest bounds, which are completed before the others.
 FIRST = 4
+#: Neighbouring blocks that are completed for the queries that need any of them.
+SIDE_BY_SIDE = 8
 #: Terms whose weights stand in full rows beside the postings, and queries that are searched together.
 FREQUENT, TOGETHER = 1536, 256
 #: Above the error of sums in single precision, which only choose what is summed in double.
@@ -92,13 +94,15 @@ class Vocabulary:
         found = []
         for part in words(text):
             own = Counter(part)
-            ids = self.table[np.fromiter(map(self.ids.__getitem__, own), np.int64, len(own))].ravel()
-            n = np.repeat(np.fromiter(own.values(), np.int64, len(own)), self.table.shape[1])
-            found.append((ids[ids >= 0], n[ids >= 0]))
-        ids, n = found[0] if len(found) == 1 else (np.concatenate([f[i] for f in found]) for i in (0, 1))
-        by = np.argsort(ids)
-        first = np.flatnonzero(np.r_[True, np.diff(ids[by]) > 0]) if len(ids) else by
-        return ids[by[first]], np.add.reduceat(n[by], first) if len(ids) else n
+            # id and count in one number, below 0 for no term
+            ids = self.table.take(np.fromiter(map(self.ids.__getitem__, own), np.int64, len(own)), 0).astype(np.int64)
+            both = ((ids << 32) | np.fromiter(own.values(), np.int64, len(own))[:, None]).ravel()
+            found.append(both[both >= 0])
+        both = found[0] if len(found) == 1 else np.concatenate(found)
+        both.sort()
+        ids, n = both >> 32, both & 0xFFFFFFFF
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else ids
+        return ids[first], np.add.reduceat(n, first) if len(ids) else n
 
     def count_all(self, texts: list[str | None]) -> list[Vector]:
         """``count`` of each; texts that are equal are read once."""
@@ -122,9 +126,16 @@ def weights(ids: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarr
     return w / np.sqrt(w @ w) if len(w) else w
 
 
+def _unpacked(posting: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries and weights of postings (the bits of the weight come first in memory)."""
+    return posting >> 32, posting.view(np.float32)[::2]
+
+
 def _ranges(begin: np.ndarray, size: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All positions of the ranges, and each range's value at them."""
-    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum()), np.repeat(value, size)
+    at = np.repeat(begin - np.cumsum(size) + size, size)
+    at += np.arange(len(at))
+    return at, np.repeat(value, size)
 
 
 def _kth(x: np.ndarray, k: int) -> np.ndarray:
@@ -170,7 +181,8 @@ class BlockMaxIndex:
         self.blocks = max(1, -(-len(one) // BLOCK))
         row = place[row]
         sort = np.argsort(term, kind="stable")
-        self.row, self.weight = row[sort], weight[sort]
+        # a posting is one number: its entry, and the bits of its weight
+        self.posting = (row[sort].astype(np.int64) << 32) | weight[sort].view(np.uint32)
         self.of = np.r_[0, np.cumsum(posted)]
         self.dense = None
 
@@ -179,8 +191,8 @@ class BlockMaxIndex:
         often = np.flatnonzero(self.column >= 0)
         self.dense = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
         for t in often:
-            at = slice(self.of[t], self.of[t + 1])
-            self.dense[self.row[at], self.column[t]] = self.weight[at]
+            row, weight = _unpacked(self.posting[self.of[t] : self.of[t + 1]])
+            self.dense[row, self.column[t]] = weight
         self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(1)
 
     def __getstate__(self) -> dict:
@@ -208,7 +220,9 @@ class BlockMaxIndex:
             often[i, columns[i]] = w[frequent]
             t = t[~frequent]
             at, times = _ranges(self.of[t], self.of[t + 1] - self.of[t], w[~frequent])
-            part[i] = np.bincount(self.row[at], times * self.weight[at], width)
+            row, weight = _unpacked(self.posting[at])
+            times *= weight
+            part[i] = np.bincount(row, times, width)
             if without:
                 own, n = np.unique(np.searchsorted(self.first, np.flatnonzero(self.ids == without[i]), side="right") - 1, return_counts=True)
                 part[i, own[n == self.first[own + 1] - self.first[own]]] = -np.inf
@@ -218,11 +232,12 @@ class BlockMaxIndex:
         first = np.argpartition(bound, max(0, self.blocks - FIRST), axis=1)[:, -FIRST:]
         best = np.zeros(bound.shape, bool)
         np.put_along_axis(best, first, True, 1)
-        for now in (best, ~best):
+        for now, step in ((best, 1), (~best, SIDE_BY_SIDE)):
             now &= (bound > 0) & (bound >= low[:, None] - MARGIN)
-            for b in np.flatnonzero(now.any(0)):
-                rows, at = np.flatnonzero(now[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-                full[rows, at] = part[rows, at] + single[rows] @ self.dense[at].T
+            for b in range(0, self.blocks, step):
+                rows, at = np.flatnonzero(now[:, b : b + step].any(1)), slice(b * BLOCK, (b + step) * BLOCK)
+                if len(rows):
+                    full[rows, at] = part[rows, at] + single[rows] @ self.dense[at].T
             if now is best:
                 low = np.maximum(low, _kth(np.take_along_axis(full.reshape(q, self.blocks, BLOCK), first[:, :, None], 1).reshape(q, -1), k))
         out = []
@@ -329,15 +344,16 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> tupl
 
 
 def all_terms(own: DataFrame) -> Vocabulary:
-    """Every term of the examples (text)."""
+    """Every term of the examples (text), those of most examples first: what is looked up most lies together."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for x in by_bytes(whole, 0, 1 << 20):
-                yield pa.record_batch([pa.array(list(set().union(*map(terms, x.column(0).to_pylist()))), pa.string())], ["term"])
+                n = Counter(t for text in x.column(0).to_pylist() for t in terms(text))
+                yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
 
-    found = own.select("text").mapInArrow(seen, "term string").distinct().toArrow()
-    return Vocabulary(sorted(found.column("term").to_pylist()))
+    found = own.select("text").mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    return Vocabulary(found.sort_by([("n", "descending"), ("term", "ascending")]).column("term").to_pylist())
 
 
 def _counted(own: DataFrame, vocabulary: Vocabulary) -> pa.Table:

@@ -30,21 +30,31 @@ TITLES = {
     "u": ["Dr", "Prof"],
 }
 TITLES = {g: [*ts, *(t[0].upper() + t[1:] for t in ts if t[0].islower())] for g, ts in TITLES.items()}
+# in capitals too, but for those that are also abbreviations of other things
+TITLES = {g: [*ts, *(t.upper() for t in ts if len(t) > 3 or t in ("Mr", "Mrs"))] for g, ts in TITLES.items()}
 TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+HEX = "[0-9A-Fa-f]{1,4}"
+KEYWORD = "(?i:password|passwd|token|secret|api_?key)"
+#: What a secret after a keyword consists of; one below eight characters has a digit.
+SECRET = r"[A-Za-z0-9_\-@!#$%^*+/~]"
 #: In the order in which they are tried at a place of the text.
 PATTERNS = {
     "email": rf"(?<![{ALNUM}._%+\-])[{ALNUM}._%+\-]++@[{ALNUM}\-]++(?:\.[{ALNUM}\-]++)*(?<=\.[{LETTER}]{{2,24}})",
-    "ip": r"(?<![\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    # four numbers after a v or the word version are no address
+    "ip": r"(?<![\p{L}\p{N}._])(?=[0-9]{1,3}\.)(?<!(?i:version|release)[ :=]{1,3})(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "ip6": rf"(?<![{ALNUM}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{1,6}}(?::{HEX}){{1,6}})(?![{ALNUM}:])",
     "iban": rf"(?<![{ALNUM}])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{ALNUM}])",
-    "card": rf"(?<![{ALNUM}])[0-9](?:[ \-]?[0-9]){{12,18}}(?![{ALNUM}])",
+    # sixteen, fifteen and fourteen digits as they are printed on cards, then any; not with a short number before them
+    "card": rf"(?<![{ALNUM}])(?:[0-9]{{4}}(?:[ \-]?[0-9]{{4}}){{3}}|[0-9]{{4}}[ \-]?[0-9]{{6}}[ \-]?[0-9]{{4,5}}|(?![0-9]{{1,3}}[ \-](?:[0-9]{{4}}[ \-]?){{3}}[0-9])[0-9](?:[ \-]?[0-9]){{12,18}})(?![{ALNUM}])",
     "ssn": rf"(?<![{ALNUM}])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![{ALNUM}])",
     "phone": rf"(?<![{ALNUM}+])\+?[0-9]{{1,3}}[ .\-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})[ .\-]?[0-9]{{3,4}}[ .\-][0-9]{{3,4}}(?![{ALNUM}])",
-    "secret": rf"(?<=(?:password|passwd|token|secret|api_key|apikey)[ ]{{0,3}}[=:][ ]{{0,3}}[\"']?)[A-Za-z0-9_\-]{{8,}}+|(?<![{ALNUM}])AKIA[0-9A-Z]{{16}}(?![{ALNUM}])",
+    # one character is looked back at first, as few places follow a keyword
+    "secret": rf"(?<=[=: \"'])(?<={KEYWORD}[ ]{{0,3}}[=:][ ]{{0,3}}[\"']?)(?:{SECRET}{{8,}}+|(?={SECRET}{{0,6}}[0-9]){SECRET}{{6,7}}+)|(?<![{ALNUM}])AKIA[0-9A-Z]{{16}}(?![{ALNUM}])",
     "person": rf"(?<![{ALNUM}])(?:{TITLE})\.? \p{{Lu}}[{LETTER}'’\-]+(?: \p{{Lu}}[{LETTER}'’\-]+){{0,2}}",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: What a text without any of these cannot hold.
-HINT = rf"[0-9]|@|password|passwd|token|secret|api_?key|(?:{TITLE})\.? "
+HINT = rf"[0-9]|@|{KEYWORD}|AKIA|(?:{TITLE})\.? "
 #: Names by gender and script (fixed values); others are made of syllables or letters.
 GIVEN = {
     "m": {"latin": "Adam Brian Carl David Edgar Felix Gerald Henry Isaac Jonas Kevin Lukas Martin Noel Oscar Peter Quentin Robert Simon Thomas Ulrich Victor Walter Xavier", "cyrillic": "Андрей Борис Виктор Григорий Дмитрий Егор Игорь Кирилл Леонид Максим Никита Олег Павел Роман Сергей Тимур", "greek": "Ανδρέας Βασίλης Γιώργος Δημήτρης Κώστας Λεωνίδας Νίκος Πέτρος Σταύρος Χρήστος"},
@@ -93,19 +103,28 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(twice, F.lit(0), lambda a, x: a + x)
 
 
+def iban_check(country: Column, body: Column) -> Column:
+    """The two check digits of an account number."""
+    value = lambda c: F.when(c.rlike("^[0-9]$"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(chars(F.concat(body, country, F.lit("00"))), F.lit(0), lambda a, c: (F.when(c.rlike("^[0-9]$"), a * 10).otherwise(a * 100) + value(c)) % 97)
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
 def kind(mention: Column) -> Column:
     """The kind of a mention; null if it is none after all."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
     octets = F.forall(F.split(mention, r"\."), lambda o: F.coalesce(o.try_cast("int"), F.lit(999)) <= 255)
-    out = F.when(mention.rlike(r"^[A-Za-z0-9_\-]{8,}$") & ~mention.rlike(r"^[0-9]+$"), "secret")
+    # long runs of digits are cards that fail the checksum
+    out = F.when(mention.rlike(rf"^{SECRET}{{6,}}$") & ~(mention.rlike(r"^[0-9][0-9\-]*$") & (F.length(digits) >= 13)), "secret")
     found = {
+        "ip6": mention.rlike("^" + PATTERNS["ip6"] + "$"),
         "person": mention.rlike(rf"^(?:{TITLE})\.? \p{{Lu}}"),
         "phone": mention.rlike("^" + PATTERNS["phone"] + "$"),
         "ssn": mention.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
         "card": mention.rlike(r"^[0-9][0-9 \-]+$") & F.length(digits).between(13, 19) & (luhn(digits) % 10 == 0),
-        "iban": mention.rlike(r"^[A-Z]{2}[0-9]{2} ?[A-Z0-9 ]+$") & ~mention.rlike("^AKIA"),
+        "iban": mention.rlike("^" + PATTERNS["iban"] + "$"),
         "ip": mention.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$") & octets,
-        "email": mention.contains("@"),
+        "email": mention.rlike(r"@[^@]*\."),
     }
     for k, test in found.items():
         out = F.when(test, k).otherwise(out)
@@ -201,14 +220,16 @@ def _drawn(st: Column, kind: Column, norm: Column, draw: Column) -> Column:
     phone = _digits(st, norm, F.greatest(F.lit(0), F.length(norm) - 10))
     hexed = F.array_join(F.transform(chars(norm), lambda c, i: _pick(st, i, "0123456789abcdef")), "")
     upper = F.array_join(F.transform(chars(norm), lambda c, i: F.when((i < 4) & norm.startswith("AKIA"), c).when(c.rlike("^[A-Z0-9]$"), _pick(st, i, string.ascii_uppercase + "234567")).when(c.rlike("^[a-z]$"), _pick(st, i, ALPHABET["latin"])).otherwise(c)), "")
-    secret = F.when(norm.rlike("^[0-9a-f]+$"), hexed).otherwise(upper)
-    iban = F.concat(F.substring(norm, 1, 2), _digits(st, F.substring(norm, 3, 40), F.lit(0)))
-    out = F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", _digits(st, norm, F.lit(0))).when(kind == "secret", secret).when(kind == "iban", iban)
+    # a short secret or name of an address has few of its like: each draw after the fourth makes it a letter longer
+    longer = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), draw - 5)), lambda k: F.when(draw > 4, _pick(st, k % 12, ALPHABET["latin"])).otherwise("")), "")
+    secret = F.concat(F.when(norm.rlike("^[0-9]+$"), _digits(st, norm, F.lit(0))).when(norm.rlike("^[0-9a-f]+$"), hexed).otherwise(upper), longer)
+    # groups keep their lengths, or have four digits after the eighth draw
+    ip6 = F.array_join(F.transform(F.split(norm, ":"), lambda g, i: F.substring(st, 4 * i + 1, F.when((draw > 8) & (g != ""), 4).otherwise(F.length(g)))), ":")
+    iban = bind(F.array_join(F.transform(chars(F.substring(norm, 5, 40)), lambda c, i: F.when(c.rlike("^[0-9]$"), (_number(st, i) % 10).cast("string")).otherwise(_pick(st, i, string.ascii_uppercase))), ""), lambda body: F.concat(F.substring(norm, 1, 2), iban_check(F.substring(norm, 1, 2), body), body))
+    out = F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "phone", phone).when(kind == "ssn", _digits(st, norm, F.lit(0))).when(kind == "secret", secret).when(kind == "iban", iban)
     for g in ("m", "f", "u"):
         out = out.when(kind == f"given_{g}", _name(st, norm, draw, GIVEN[g]))
     out = out.when(kind == "family", _name(st, norm, draw, FAMILY))
-    # a short name of an address has few of its like: each draw after the fourth makes it a letter longer
-    longer = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), draw - 5)), lambda k: F.when(draw > 4, _pick(st, k % 12, ALPHABET["latin"])).otherwise("")), "")
     return out.otherwise(F.concat(_letters(st, norm), longer))
 
 

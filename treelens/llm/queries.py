@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, imi, mixing, quality, sharding, simhash, surrogates, toxicity, warc
+from . import chat, decontam, imi, langid, mixing, quality, sharding, simhash, surrogates, toxicity, trie, warc, whitening
 from .sql import ORACLES  # noqa: F401
 
 
@@ -76,7 +76,21 @@ def op10_imi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imi.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = langid.identify(docs, langid.fit(docs), carry=["doc_id"])
+    return rows.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), carry=["vec_id"])
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefixes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_toxicity, op3_decontamination, op4_surrogates, op5_chat, op6_quality, op7_mixing, op8_simhash, op9_sharding, op10_imi)
+    for f in (op1_warc, op2_toxicity, op3_decontamination, op4_surrogates, op5_chat, op6_quality, op7_mixing, op8_simhash, op9_sharding, op10_imi, op11_langid, op12_whitening, op13_trie)
 }

@@ -118,4 +118,21 @@ SELECT own.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_
 FROM own LEFT JOIN again ON own.conv_id IS NOT DISTINCT FROM again.conv_id LEFT JOIN told ON own.conv_id IS NOT DISTINCT FROM told.conv_id"""
 
 
-ORACLES: dict[str, str] = {"op3_decontamination": decontamination(), "op5_chat": chat(), "op7_mixing": mixing()}
+#: CRC-32 of the decimal digits of conv_id c, bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ascii(s)::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: i::UBIGINT)),
+    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)"""
+#: Result of op13: each prefix is the list of its turns.
+TRIE = f"""
+WITH t AS (SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (SELECT a.c, coalesce(b.own, [])[1:h] || a.own[h + 1:] AS turns FROM (SELECT *, CAST({CRC} % 4 AS BIGINT) AS h FROM t) a LEFT JOIN t b ON b.c = a.c - a.c % 20),
+p AS (SELECT c, len(turns) AS n, d, turns[1:d] AS node FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM r)),
+n AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256,
+        CASE WHEN d > 0 THEN (count(*) - 1) * len(regexp_extract_all(node[d].t, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS saved FROM p GROUP BY node, d),
+k AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+s AS (SELECT node, d, saved, node NOT IN (SELECT node FROM k) AS leaf, unnest(range(d + 1)) AS up FROM n),
+b AS (SELECT node[1:up] AS node, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves FROM s GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, f.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n LEFT JOIN k ON k.node = n.node LEFT JOIN b ON b.node = n.node LEFT JOIN n f ON n.d > 0 AND f.node = n.node[1:n.d - 1]"""
+
+ORACLES: dict[str, str] = {"op3_decontamination": decontamination(), "op5_chat": chat(), "op7_mixing": mixing(), "op13_trie": TRIE}

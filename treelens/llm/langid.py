@@ -215,6 +215,8 @@ def viterbi(score: np.ndarray, ids: np.ndarray, start: np.ndarray, penalty: floa
 def label(m: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[list[dict]]]:
     """Language, score and spans of each text."""
     size = len(m.languages)
+    if not size:
+        return ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
     ids, start, length, owner, scores, total = [], [], [], [], [], 0
 
     def add(text: str, docs: np.ndarray, offsets: np.ndarray, shift: int) -> None:
@@ -238,7 +240,7 @@ def label(m: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, lis
             add(p, np.array([i]), np.zeros(1, np.int64), shift)
             shift += len(p)
     out = ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
-    if not total or not size:
+    if not total:
         return out
     ids, start, length, owner, scores = map(np.concatenate, (ids, start, length, owner, scores))
     fresh = np.diff(owner, prepend=-1) != 0

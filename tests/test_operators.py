@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from treelens.operators import closure, dependencies, emit, resolve
+from treelens.operators import closure, dependencies, emit, ordinal, resolve
 from treelens.sources.cache import key, split_cached
 from treelens.streaming import incremental
 
@@ -22,21 +22,58 @@ def test_closure_equals_a_plain_search(spark):
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(5, 5), (None, 1), (1, None)]
     e = spark.createDataFrame(edges, "src long, dst long")
     seeds = spark.createDataFrame([(0,), (1,), (0,), (None,)], "node long")
-    rows = closure.reach(e, seeds, with_path=True).collect()
+    reached = closure.reach(e, seeds)
+    rows = reached.collect()
     truth = breadth_first([x for x in edges if None not in x], [0, 1])
     assert {r.node: r.depth for r in rows} == truth and len(rows) == len(truth)
-    for r in rows:
-        assert len(r.path) == r.depth + 1 and r.path[-1] == r.node and all(p in edges for p in zip(r.path, r.path[1:]))
+    assert all(r.pred is None if r.depth == 0 else (r.pred, r.node) in edges and truth[r.pred] == r.depth - 1 for r in rows)
+    ways: dict = {}
+    for r in closure.paths(reached, reached.select("node")).collect():
+        ways.setdefault(r.target, {})[r.step] = r.at
+    for node, way in ways.items():
+        assert sorted(way) == list(range(truth[node] + 1)) and way[0] == node and all((way[i + 1], way[i]) in edges for i in range(truth[node]))
+    assert set(ways) == set(truth)
     again = closure.reach(e, spark.createDataFrame([(k,) for k in truth], "node long"))
     assert {r.node for r in again.collect()} == set(truth)
     assert closure.reach(e.limit(0), seeds).count() == 2 and closure.reach(e, seeds.limit(0)).count() == 0
 
 
-def test_long_chains_keep_few_levels(spark):
-    e = spark.range(25).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    rows = closure.reach(e, spark.createDataFrame([(0,)], "node long")).collect()
-    assert sorted((r.node, r.depth) for r in rows) == [(i, i) for i in range(26)]
-    assert closure.reach(e, spark.createDataFrame([(0,)], "node long"), most=3).count() == 4
+def test_long_chains_take_few_rounds(spark):
+    # a chain of 100, one leaf at each node of it, and cycles of chains off it and on it
+    chain = [(i, i + 1) for i in range(100)] + [(i, 1000 + i) for i in range(100)] + [(100, 40)] + [(500, 501), (501, 502), (502, 500), (502, 503)]
+    e = spark.createDataFrame(chain, "src long, dst long")
+    reached = closure.reach(e, spark.createDataFrame([(0,)], "node long"))
+    assert {r.node: r.depth for r in reached.collect()} == breadth_first(chain, [0]) and reached.rounds < 20
+    plain = closure.reach(e.where("dst < 101 and src < 100"), spark.createDataFrame([(0,)], "node long"))
+    assert plain.rounds < 15 and plain.count() == 101
+    assert closure.reach(e, spark.createDataFrame([(0,)], "node long"), most=3).count() == 7
+
+
+def test_ordinals_do_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b", "c"]), i) for i in range(300)]
+    want = {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])))}
+    for parts in (1, 6):
+        out = ordinal.ordinals(spark.createDataFrame(rows, "k string, i long").repartition(parts), ["k", "i"])
+        assert {r.i: r.ordinal for r in out.collect()} == want
+    assert ordinal.ordinals(spark.createDataFrame([], "k string"), ["k"]).count() == 0
+
+
+def test_values_carry_forward_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [("big", i, f"s{i}" if rng.random() < 0.01 else None) for i in range(2000)] + [(k, i, "x" if i == 3 else None) for k in "abz" for i in range(6)] + [("none", 1, None)]
+    want, now = {}, {}
+    for k, i, v in sorted(rows, key=lambda r: r[:2]):
+        now[k] = v or now.get(k)
+        want[k, i] = now[k]
+    for parts in ("1", "7"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            out = ordinal.carry_forward(spark.createDataFrame(rows, "k string, i int, v string"), ["i"], "v", "section", "k")
+            assert {(r.k, r.i): r.section for r in out.collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
 def test_ladder_tiers_exclude_each_other(spark):

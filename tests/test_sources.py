@@ -1,3 +1,5 @@
+import io
+import tarfile
 import zipfile
 
 import pytest
@@ -116,9 +118,28 @@ def test_layouts_and_walk(tmp_path):
 
 
 def test_scan_of_many_trees(spark, tmp_path):
-    make(tmp_path, {"one/src/a.py": "import x", "two/tests/b.py": "", "two/build/c.py": "", "two/readme.md": ""})
+    files = {"one/src/__init__.py": "", "one/src/a.py": "import x", "two/tests/b.py": "", "two/.gitignore": "gen/", "two/readme.md": ""}
+    make(tmp_path, files)
     rows = tree.scan(spark, str(tmp_path)).collect()
-    assert sorted((x.project, x.path, x.kind, x.context) for x in rows) == [("one", "src/a.py", "python", "runtime"), ("two", "tests/b.py", "python", "test")]
+    # empty files, and those whose names begin with _ or a dot, are there too
+    assert {f"{x.project}/{x.path}": bytes(x.content).decode() for x in rows} == files and all(x.length == len(x.content) and x.modified > 10**15 for x in rows)
+
+
+def test_trees_in_archives(spark, tmp_path):
+    inside = {"acme-1.0/src/__init__.py": b"", "acme-1.0/setup.py": b"x = 1"}
+    with tarfile.open(tmp_path / "acme-1.0.tar.gz", "w:gz") as t:
+        for name, data in inside.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    with zipfile.ZipFile(tmp_path / "flat.whl", "w") as z:
+        z.writestr("a.py", "1")
+        z.writestr("b/_c.py", "2")
+    whole = (tmp_path / "acme-1.0.tar.gz").read_bytes()
+    (tmp_path / "cut.tar.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "no.zip").write_bytes(b"PK no archive")
+    rows = {(x.project, x.path): bytes(x.content) for x in tree.unpacked(spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in rows.items() if k[0] in ("acme-1.0", "flat")} == {("acme-1.0", "src/__init__.py"): b"", ("acme-1.0", "setup.py"): b"x = 1", ("flat", "a.py"): b"1", ("flat", "b/_c.py"): b"2"}
 
 
 SOURCE = '''"""Doc."""

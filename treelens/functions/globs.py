@@ -62,6 +62,13 @@ def any_glob(globs: Iterable[str], crosses: bool = True) -> str:
     return "^(?:" + "|".join(glob_regex(g, crosses) for g in globs) + ")$"
 
 
+def literal_folder(glob: str) -> str:
+    """The folders that every path a glob matches begins with, as far as they are written out; empty if there are none."""
+    parts = glob.split("/")[:-1]
+    plain = next((i for i, p in enumerate(parts) if re.search(r"[*?\[{},\\]", p)), len(parts))
+    return "/".join(parts[:plain])
+
+
 def match(path: str, globs: Iterable[str]) -> bool:
     globs = list(globs)
     return bool(globs) and re.match(any_glob(globs), path, re.S) is not None

@@ -1,56 +1,172 @@
-"""Reachability over edges: a breadth-first fixpoint of DataFrame joins.
+"""Reachability over edges in few rounds: breadth-first search, with chains contracted.
 
-Each level joins the frontier with the edges, keeps one way in for each new
-node and drops what was reached before. A level's rows are written to the
-shared folder, so that lineage stays short and a lost executor costs one level.
+A node with one way in is as far as that way says, so it needs no search: such
+nodes are forests, and pointer jumping finds their heads in a number of rounds
+that grows with the logarithm of their length. Between heads the search goes
+on over weighted edges. A few plain levels come first, as most graphs are
+shallow, and contraction begins where they are not enough. Every round's rows
+are written to the shared folder, so a lost executor costs one round.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelens.session import cut
+from treelens.session import Steps
+
+#: Plain levels before chains are contracted.
+PLAIN = 4
+#: Chains are contracted while that leaves at most this share of the nodes.
+SHRINKS = 0.5
+
+
+#: Between the parts of a node's name.
+PART = "\x1f"
+
+
+def nodes(parts: list[str]) -> Column:
+    """Columns as the name of one node, so that equal names in two projects are two nodes."""
+    return F.concat_ws(PART, *parts)
+
 
-#: Levels that are put together again, so that what is reached stays in few partitions.
-JOINED = 8
+def of_node(node: str, names: list[str]) -> list[Column]:
+    """The parts of a node's name again; the last may be anything."""
+    parts = F.split(F.col(node), PART, len(names))
+    return [parts[i].alias(n) for i, n in enumerate(names)]
 
 
-def reach(edges: DataFrame, seeds: DataFrame, order: list[Column] | None = None, with_path: bool = False, most: int | None = None) -> DataFrame:
+def _chains(edges: DataFrame, fixed: DataFrame) -> DataFrame:
+    """node, up and off (distance from it) of the nodes with one way in, but for ``fixed`` ones, of weighted edges (src, dst, w)."""
+    ways = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("up"), F.min("w").alias("off"))
+    chains = ways.where((F.col("n") == 1) & (F.col("up") != F.col("dst"))).join(fixed.select(F.col("node").alias("dst")), "dst", "left_anti")
+    return chains.select(F.col("dst").alias("node"), "up", "off")
+
+
+def _contracted(edges: DataFrame, jump: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame, int]:
+    """(edges between heads, node -> head and distance, rounds) of edges and their chains.
+
+    A head is a node that is in no chain. Nodes that only a cycle of chains
+    leads into have no head and are left out: nothing reaches them.
+    """
+    # a chain has no more nodes than there are; what is still open then goes round a cycle
+    rounds, open_, most = 0, True, jump.count().bit_length()
+    while open_ and rounds < most:
+        rounds += 1
+        above = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("off").alias("off2"))
+        joined = jump.join(above, "up", "left")
+        step = joined.select("node", F.coalesce("up2", "up").alias("up"), (F.col("off") + F.coalesce("off2", F.lit(0))).alias("off"), F.col("up2").isNotNull().alias("moved"))
+        jump = steps.keep(step)
+        open_ = not jump.where("moved").isEmpty()
+        jump = jump.drop("moved")
+    inner = jump.join(jump.select(F.col("node").alias("up")), "up", "left_anti")
+    heads = inner.select("node", F.col("up").alias("head"), "off")
+    chain = jump.select(F.col("node").alias("src"), F.lit(True).alias("inside"))
+    e = edges.join(jump.select(F.col("node").alias("dst")), "dst", "left_anti")
+    e = e.join(heads.select(F.col("node").alias("src"), "head", "off"), "src", "left").join(chain, "src", "left")
+    e = e.where("head is not null or inside is null")
+    e = e.select(F.coalesce("head", "src").alias("src"), "dst", (F.col("w") + F.coalesce("off", F.lit(0))).alias("w")).where(F.col("src") != F.col("dst"))
+    return steps.keep(e.groupBy("src", "dst").agg(F.min("w").alias("w"))), steps.keep(heads), rounds
+
+
+def distances(edges: DataFrame, seeds: DataFrame, most: int | None = None, plain: int = PLAIN) -> tuple[DataFrame, int]:
+    """(node and least number of edges from any seed, rounds) of what is reachable from ``seeds`` (node) over ``edges`` (src, dst)."""
+    steps = Steps(edges.sparkSession)
+    front = steps.keep(seeds.select("node").where(F.col("node").isNotNull()).distinct().withColumn("dist", F.lit(0).cast("long")))
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct().repartition("src").persist()
+    seen, rounds = front, 0
+    while rounds < plain and not front.isEmpty() and (most is None or rounds < most):
+        rounds += 1
+        met = edges.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
+        front = steps.keep(met.join(seen.select("node"), "node", "left_anti").withColumn("dist", F.lit(rounds).cast("long")))
+        seen = seen.union(front)
+    done = steps.keep(seen)
+    if front.isEmpty() or (most is not None and rounds >= most):
+        edges.unpersist()
+        return steps.last(done), rounds
+    # what is left: edges into nodes that are not reached, from them or from the frontier
+    rest = edges.join(done.select(F.col("node").alias("dst")), "dst", "left_anti")
+    old = done.join(front.select("node"), "node", "left_anti")
+    rest = rest.join(old.select(F.col("node").alias("src")), "src", "left_anti").withColumn("w", F.lit(1).cast("long"))
+    core, ways = steps.keep(rest), []
+    edges.unpersist()
+    while True:
+        chains = steps.keep(_chains(core, front))
+        rounds += 1
+        if chains.isEmpty() or chains.count() < (1 - SHRINKS) * core.select("dst").distinct().count():
+            break
+        core, heads, more = _contracted(core, chains, steps)
+        ways.append(heads)
+        rounds += more
+    # the search between heads: nodes that got nearer tell their successors
+    best = changed = front
+    while not changed.isEmpty():
+        rounds += 1
+        told = core.join(changed.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
+        changed = steps.keep(told.join(best, "node", "left").where("dist is null or new < dist").select("node", F.col("new").alias("dist")))
+        best = steps.keep(best.join(changed.select("node"), "node", "left_anti").union(changed))
+    for heads in reversed(ways):
+        inner = heads.join(best.withColumnRenamed("node", "head"), "head").select("node", (F.col("dist") + F.col("off")).alias("dist"))
+        best = steps.keep(best.union(inner))
+    found = done.join(front.select("node"), "node", "left_anti").union(best)
+    if most is not None:
+        found = found.where(F.col("dist") <= most)
+    return steps.last(found), rounds
+
+
+def reach(edges: DataFrame, seeds: DataFrame, order: list[Column] | None = None, most: int | None = None, plain: int = PLAIN) -> DataFrame:
     """node, depth and pred of everything reachable from ``seeds`` (node) over ``edges`` (src, dst).
 
     Cycles are fine. pred is the smallest source of the least depth (by
-    ``order`` over the edge's columns first, if given); seeds have none. With
-    ``with_path`` the nodes on that way come too. ``most`` bounds the depth.
-    Null nodes, and edges with a null end, take no part.
+    ``order`` over the edge's columns first, if given); seeds have none.
+    ``most`` bounds the depth. Null nodes, and edges with a null end, take no
+    part. ``rounds`` of the result is how many rounds it took.
     """
-    edges = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    front = seeds.select("node").where(F.col("node").isNotNull()).distinct()
-    kind = dict(front.dtypes)["node"]
-    front = front.select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("pred"), F.array("node").alias("path"))
-    front = cut(front if with_path else front.drop("path"))
-    levels, seen = [front], front.select("node")
-    # the edges are read once for each level, dealt by the column they are joined on
-    edges = edges.repartition("src").persist()
-    depth = 0
-    while not front.isEmpty() and (most is None or depth < most):
-        depth += 1
-        way = F.struct(*(order or []), F.col("src"))
-        keep = ["node", "path"] if with_path else ["node"]
-        met = edges.join(front.select(*keep), edges["src"] == front["node"])
-        best = F.min_by(F.struct("src", "path"), way) if with_path else F.min_by(F.struct("src"), way)
-        new = met.groupBy("dst").agg(best.alias("w")).join(seen, F.col("dst") == seen["node"], "left_anti")
-        path = [F.concat("w.path", F.array("dst")).alias("path")] if with_path else []
-        front = cut(new.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.col("w.src").alias("pred"), *path))
-        levels.append(front)
-        seen = seen.union(front.select("node"))
-        if depth % JOINED == 0:
-            levels = [cut(reduce(DataFrame.union, levels).coalesce(max(1, edges.rdd.getNumPartitions())))]
-            seen = levels[0].select("node")
-    edges.unpersist()
-    return reduce(DataFrame.union, levels)
+    found, rounds = distances(edges, seeds, most, plain)
+    before = found.select(F.col("node").alias("src"), (F.col("dist") + 1).alias("dist"))
+    into = edges.where("src is not null and dst is not null").join(before, "src").join(found.select(F.col("node").alias("dst"), "dist"), ["dst", "dist"])
+    way = F.struct(*(order or []), F.col("src"))
+    pred = into.groupBy(F.col("dst").alias("node")).agg(F.min_by("src", way).alias("pred"))
+    out = found.join(pred, "node", "left").select("node", F.col("dist").cast("int").alias("depth"), "pred")
+    out.rounds = rounds
+    return out
+
+
+def lifted(reached: DataFrame, steps: Steps) -> list[DataFrame]:
+    """node and its 2**k-th predecessor, for k = 0, 1, ... as long as there is one."""
+    tables = [steps.keep(reached.where("pred is not null").select("node", F.col("pred").alias("up")))]
+    while not tables[-1].isEmpty():
+        t = tables[-1]
+        tables.append(steps.keep(t.join(t.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up"))))
+    return tables[:-1]
+
+
+def paths(reached: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, step and at: the way from each target (node) back to its seed, one row for each step, the target's own first.
+
+    Ancestor tables double the way at a time, so there are as many rounds as
+    the depth has binary digits, and no row holds a way.
+    """
+    steps = Steps(reached.sparkSession)
+    out = targets.join(reached.select("node"), "node", "left_semi").select(F.col("node").alias("target"), F.lit(0).alias("step"), F.col("node").alias("at"))
+    for k, table in reversed(list(enumerate(lifted(reached, steps)))):
+        on = out.join(table.withColumnRenamed("node", "at"), "at").select("target", (F.col("step") + 2**k).alias("step"), F.col("up").alias("at"))
+        out = steps.keep(out.union(on))
+    return steps.last(out)
+
+
+def along(reached: DataFrame, value: Column) -> DataFrame:
+    """node, steps (nodes on its way, itself included) and every: whether ``value`` holds for all of them.
+
+    Each round a row takes over what is known of the one it points to, which
+    doubles what it knows: no row holds a way.
+    """
+    steps = Steps(reached.sparkSession)
+    now = steps.keep(reached.select("node", F.col("pred").alias("up"), F.lit(1).alias("steps"), value.alias("every")))
+    while not now.where("up is not null").isEmpty():
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"), F.col("every").alias("too"))
+        now = steps.keep(now.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("every") & F.coalesce("too", F.lit(True))).alias("every")))
+    return steps.last(now.select("node", "steps", "every"))
 
 
 def unreachable(nodes: DataFrame, reached: DataFrame) -> DataFrame:

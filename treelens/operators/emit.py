@@ -61,19 +61,52 @@ def config_ignored(patterns: dict[str, list[str]]) -> Column:
     return out
 
 
-def suppress(rows: DataFrame, patterns: dict[str, list[str]], directives: DataFrame) -> DataFrame:
-    """``disposition``: config, file or inline if a candidate is ignored, else null.
+def directed(rows: DataFrame, directives: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by_directive``: file or inline where a directive covers a candidate (told apart by ``seq``), else null.
 
     directives: path, line, file_level, codes, seq. The first one of a
     file, in source order, that names the code and covers the line counts.
     """
-    each = directives.select("path", F.explode("codes").alias("code"), F.col("line").alias("_line"), "file_level", F.col("seq").alias("_seq"))
+    each = directives.select(*by, "path", F.explode("codes").alias("code"), F.col("line").alias("_line"), "file_level", F.col("seq").alias("_seq"))
     told = F.min_by(F.when(F.col("file_level"), "file").otherwise("inline"), "_seq").alias("by_directive")
-    keyed = rows.where("path is not null").join(each, ["path", "code"]).where("file_level or line = _line")
-    found = keyed.groupBy("code", "path", F.col("line").alias("_l"), "seq").agg(told).withColumnsRenamed({"code": "_c", "path": "_p", "seq": "_s"})
-    same = (rows["code"] == found["_c"]) & (rows["path"] == found["_p"]) & rows["line"].eqNullSafe(found["_l"]) & rows["seq"].eqNullSafe(found["_s"])
-    rows = rows.join(found, same, "left")
-    return rows.withColumn("disposition", F.when(config_ignored(patterns), "config").otherwise(F.col("by_directive"))).drop("_c", "_p", "_l", "_s", "by_directive")
+    keyed = rows.where("path is not null").join(each, [*by, "path", "code"]).where("file_level or line = _line")
+    keys = [*by, "code", "path"]
+    found = keyed.groupBy(*keys, F.col("line").alias("_l"), "seq").agg(told).withColumnsRenamed({"seq": "_s", **{k: f"_{k}" for k in keys}})
+    same = rows["line"].eqNullSafe(found["_l"]) & rows["seq"].eqNullSafe(found["_s"])
+    for k in keys:
+        same = same & (rows[k] == found[f"_{k}"])
+    return rows.join(found, same, "left").drop("_l", "_s", *[f"_{k}" for k in keys])
+
+
+def ignored_by_pattern(rows: DataFrame, patterns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by_pattern``: whether one of ``patterns`` (code, folder, regex, name_regex) covers a candidate, as ``config_ignored`` says.
+
+    The folders that a pattern spells out are part of the join, against every
+    folder above a subject, so patterns that cannot match are never tried.
+    """
+    kind, module = F.col("kind"), F.replace(F.col("module"), F.lit("."), F.lit("/"))
+    tested = (
+        F.when(kind == "file", F.array("path")).when(kind.isin("distribution", "binary"), F.array("name"))
+        .when(kind == "symbol", F.array("path", module)).when(kind == "import", F.array("path", "module"))
+    )
+    keys = [*by, "code", "kind", "path", "module", "name"]
+    named = lambda c: F.coalesce(F.col(c), F.lit("\x00"))
+    subjects = rows.select(*keys).distinct().withColumn("subject", F.explode(tested)).where("subject is not null")
+    parts = F.split("subject", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    hits = subjects.withColumn("folder", F.explode(above)).join(patterns, [*by, "code", "folder"])
+    hits = hits.where(F.expr("rlike(subject, regex)") & ((kind == "symbol") == F.col("name_regex").isNotNull()) & F.coalesce(F.expr("rlike(name, name_regex)"), F.lit(True)))
+    found = hits.select(*[named(c).alias(f"_{c}") for c in keys]).distinct()
+    same = F.lit(True)
+    for c in keys:
+        same = same & (named(c) == found[f"_{c}"])
+    return rows.join(found.withColumn("by_pattern", F.lit(True)), same, "left").drop(*[f"_{c}" for c in keys]).withColumn("by_pattern", F.coalesce("by_pattern", F.lit(False)))
+
+
+def suppress(rows: DataFrame, patterns: dict[str, list[str]], directives: DataFrame) -> DataFrame:
+    """``disposition``: config, file or inline if a candidate is ignored, else null."""
+    rows = directed(rows, directives)
+    return rows.withColumn("disposition", F.when(config_ignored(patterns), "config").otherwise(F.col("by_directive"))).drop("by_directive")
 
 
 def confident(rows: DataFrame, floor: str = "maybe", strict: bool = False) -> DataFrame:
@@ -113,31 +146,31 @@ def against_baseline(rows: DataFrame, baseline: DataFrame) -> DataFrame:
     return held.withColumn("disposition", F.when(F.col("disposition").isNull() & F.col("_known"), "baseline").otherwise(F.col("disposition"))).drop("_known")
 
 
-def merge_entries(rows: DataFrame) -> DataFrame:
+def merge_entries(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One root for each path from (path, symbol, context, origin, seq).
 
     Origins in order, each once; run time if any is, else the first context;
     the last symbol there is.
     """
     some = F.array_sort(F.collect_list(F.struct("seq", "context", "origin")))
-    m = rows.groupBy("path").agg(some.alias("all"), F.max_by("symbol", F.when(F.col("symbol").isNotNull(), F.col("seq"))).alias("symbol"))
+    m = rows.groupBy(*by, "path").agg(some.alias("all"), F.max_by("symbol", F.when(F.col("symbol").isNotNull(), F.col("seq"))).alias("symbol"))
     context = F.when(F.exists("all", lambda e: e["context"] == "runtime"), "runtime").otherwise(F.col("all")[0]["context"])
-    return m.select("path", "symbol", context.alias("context"), F.array_distinct(F.transform("all", lambda e: e["origin"])).alias("origins"))
+    return m.select(*by, "path", "symbol", context.alias("context"), F.array_distinct(F.transform("all", lambda e: e["origin"])).alias("origins"))
 
 
-def fix_plan(findings: DataFrame, declarations: DataFrame, remove_files: bool = False) -> DataFrame:
+def fix_plan(findings: DataFrame, declarations: DataFrame, remove_files: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """What could be changed for each sure finding: action, the declaration it is about, and a reason if nothing.
 
     declarations: distribution, kind, file, label, seq.
     """
     d = declarations.withColumn("priority", s.rank(F.col("kind"), s.REMOVAL))
-    by = d.groupBy(F.col("distribution").alias("name")).agg(
+    said = d.groupBy(*by, F.col("distribution").alias("name")).agg(
         F.count("*").alias("declared"),
         F.max_by(F.struct("file", "label"), F.struct("priority", "seq")).alias("drop"),
         F.sum(F.when(F.col("kind").isin("runtime", "optional"), 1).otherwise(0)).alias("lasting"),
         F.sum(F.when(F.col("kind") == "group", 1).otherwise(0)).alias("groups"),
     )
-    f = findings.join(by, "name", "left")
+    f = findings.join(said, [*by, "name"], "left")
     sure, n = F.col("confidence") == "certain", F.coalesce("declared", F.lit(0))
     action = (
         F.when(~sure, None)
@@ -150,4 +183,4 @@ def fix_plan(findings: DataFrame, declarations: DataFrame, remove_files: bool =
         F.when(action.isNotNull(), None).when(~sure, "not_fixable").when(F.col("code") == "TL001", "file_removal_denied")
         .when(F.col("code").isin("TL002", "TL009", "TL005") & (n == 0), "missing_origin").when(F.col("code") == "TL005", "ambiguous").otherwise("not_fixable")
     )
-    return f.select("code", action.alias("action"), "name", "path", F.when(action.isNotNull(), F.col("drop.file")).alias("file"), F.when(action.isNotNull(), F.col("drop.label")).alias("label"), reason.alias("reason"))
+    return f.select(*by, "code", action.alias("action"), "name", "path", F.when(action.isNotNull(), F.col("drop.file")).alias("file"), F.when(action.isNotNull(), F.col("drop.label")).alias("label"), reason.alias("reason"))

@@ -6,7 +6,7 @@ distribution, a customer a config line. The same views in SQL are in oracles.py.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treelens.functions import scalars as s
@@ -101,3 +101,32 @@ def directives(spark, d) -> DataFrame:
     o = F.col("o_orderkey")
     codes = F.array(F.concat(F.lit("TL"), F.lpad((o % 10 + 1).cast("string"), 3, "0")), F.lit("TL003"))
     return table(spark, d, "orders").where("o_orderkey % 7 = 0").select(path_of(o).alias("path"), (o % 4 + 1).cast("int").alias("line"), (o % 2 == 0).alias("file_level"), codes.alias("codes"), F.lit(1).alias("seq"))
+
+
+def trees(spark, d) -> DataFrame:
+    """A source tree for each customer: project, path, content.
+
+    An order is a module that imports the customer's next one (but for every
+    fourth order) and a distribution for each line item; the first is the
+    entry. Two distributions are declared. Every customer has a stub, every
+    fifth a file with an error.
+    """
+    c, k = F.col("c_custkey"), F.col("o_orderkey")
+    own = F.concat(F.lit("c"), c.cast("string"))
+    here = table(spark, d, "customer").select(c, own.alias("project"), F.concat(F.lit("src/"), own, F.lit("/")).alias("at"))
+    by = Window.partitionBy("c_custkey").orderBy(k)
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), k).withColumns({"next": F.lead(k).over(by), "rank": F.row_number().over(by)})
+    used = F.struct("l_linenumber", "l_partkey", F.concat(F.lit("import dep_"), (F.col("l_partkey") % 26).cast("string")).alias("line"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(used)).alias("lines"))
+    follows = F.when((k % 4 != 0) & F.col("next").isNotNull(), F.concat(F.lit("import "), "project", F.lit(".m_"), F.col("next").cast("string")))
+    text = F.concat_ws("\n", follows, F.transform(F.coalesce("lines", F.array()), lambda x: x["line"]), F.lit("def main(): pass\n"))
+    modules = here.join(orders.join(lines, "o_orderkey", "left"), "c_custkey")
+    modules = modules.select("project", F.concat("at", F.lit("m_"), k.cast("string"), F.lit(".py")).alias("path"), text.alias("text"), F.when(F.col("rank") == 1, k).alias("first"))
+    dep = lambda n: F.concat(F.lit('"dep-'), n.cast("string"), F.lit('"'))
+    first = modules.where("first is not null").select("project", "first")
+    run = F.when(F.col("first").isNotNull(), F.concat(F.lit('[project.scripts]\nrun = "'), own, F.lit(".m_"), F.col("first").cast("string"), F.lit(':main"\n'))).otherwise("")
+    manifest = F.concat(F.lit('[project]\nname = "'), own, F.lit('"\ndependencies = ['), dep(c % 7), F.lit(", "), dep(c % 11 + 13), F.lit("]\n"), run)
+    out = here.join(first, "project", "left").select("project", F.lit("pyproject.toml").alias("path"), manifest.alias("text"))
+    for name, content, where in (("__init__.py", "", F.lit(True)), ("types.pyi", "x: int\n", F.lit(True)), ("broken.py", "def (\n", c % 5 == 0)):
+        out = out.union(here.where(where).select("project", F.concat("at", F.lit(name)), F.lit(content)))
+    return out.union(modules.select("project", "path", "text")).select("project", "path", F.encode("text", "UTF-8").alias("content"))

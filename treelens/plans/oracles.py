@@ -66,6 +66,17 @@ MEMBER_AT = "CASE n_nationkey % 3 WHEN 0 THEN 'src/pkg' || CAST(n_nationkey AS V
 TOKENS = r"""SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')), ' '), lambda x: regexp_replace(x, '^[^A-Za-z0-9\-_.]+|[^A-Za-z0-9\-_.]+$', '', 'g')), lambda x: x <> '')) AS token FROM documents"""
 LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents"
 
+#: The modules of the customers' trees (adapters.trees): c, k, r (place), live (reached), follows.
+TREE = """o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER w AS r, lead(o_orderkey) OVER w AS nxt, lag(o_orderkey) OVER w AS prev,
+    coalesce(sum(CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS live
+  FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+dep AS (SELECT c_custkey AS c, unnest([c_custkey % 7, c_custkey % 11 + 13]) AS n FROM customer),
+use AS (SELECT o.*, l_partkey % 26 AS n, row_number() OVER (PARTITION BY k ORDER BY l_linenumber, l_partkey) + CASE WHEN k % 4 <> 0 AND nxt IS NOT NULL THEN 1 ELSE 0 END AS line FROM o JOIN lineitem ON l_orderkey = k),
+lost AS (SELECT c, 'src/c' || CAST(c AS VARCHAR) || '/m_' || CAST(k AS VARCHAR) || '.py' AS path FROM o WHERE NOT live
+  UNION ALL SELECT c_custkey, 'src/c' || CAST(c_custkey AS VARCHAR) || '/broken.py' FROM customer WHERE c_custkey % 5 = 0 AND c_custkey IN (SELECT c FROM o))"""
+MODULE = "'c' || CAST(c AS VARCHAR) || '.m_' || CAST({} AS VARCHAR)"
+AT = "'src/c' || CAST(c AS VARCHAR) || '/m_' || CAST({} AS VARCHAR) || '.py'"
+
 ORACLES: dict[str, str] = {
     "unreachable_files": f"{REACH} SELECT path, CASE WHEN opaque THEN 'likely' ELSE 'certain' END AS confidence, 'error' AS severity FROM ({FILES}) WHERE key NOT IN (SELECT node FROM r)",
     "reach_closure": f"{REACH} SELECT node FROM r",
@@ -136,4 +147,27 @@ ORACLES: dict[str, str] = {
     "probe_counts": f"SELECT context, opaque, count(*) AS n FROM ({FILES}) GROUP BY GROUPING SETS ((context), (opaque))",
     "false_positive_rate": f"SELECT code, count(*) AS labelled, count(*) FILTER (WHERE severity = 'info') AS false_positives, CAST(count(*) FILTER (WHERE severity = 'info') * 1000 // count(*) AS BIGINT) AS permille FROM ({CANDIDATES}) GROUP BY code",
     "parse_cache": "SELECT state, count(*) AS n, count(DISTINCT h) AS contents FROM (SELECT md5(text) AS h, CASE WHEN md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0) THEN 'hit' ELSE 'miss' END AS state FROM documents) GROUP BY ALL",
+    "corpus_findings": f"""WITH {TREE} SELECT 'TL001' AS code, 'error' AS severity, 'certain' AS confidence, count(*) AS n FROM lost HAVING count(*) > 0
+  UNION ALL SELECT 'TL002', 'error', 'certain', count(*) FROM dep WHERE NOT EXISTS (SELECT 1 FROM use WHERE use.c = dep.c AND use.n = dep.n)
+  UNION ALL SELECT 'TL003', 'error', 'certain', count(*) FROM use WHERE live AND NOT EXISTS (SELECT 1 FROM dep WHERE use.c = dep.c AND use.n = dep.n)
+  UNION ALL SELECT 'TL006', 'warning', 'likely', count(*) FROM o WHERE live AND r > 1""",
+    "corpus_unused_files": f"WITH {TREE} SELECT 'c' || CAST(c AS VARCHAR) AS project, path, 'error' AS severity FROM lost UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), 'src/c' || CAST(c_custkey AS VARCHAR) || '/broken.py', 'warning' FROM customer WHERE FALSE",
+    "corpus_strict_missing": f"""WITH {TREE} SELECT 'c' || CAST(c AS VARCHAR) AS project, {AT.format('k')} AS path, 'dep_' || CAST(n AS VARCHAR) AS module, CAST(line AS INTEGER) AS line,
+  'imported but not declared: dep-' || CAST(n AS VARCHAR) || ' (no lockfile)' AS message FROM use WHERE live AND NOT EXISTS (SELECT 1 FROM dep WHERE use.c = dep.c AND use.n = dep.n)""",
+    "corpus_reach": f"WITH {TREE} SELECT 'c' || CAST(c AS VARCHAR) AS project, {AT.format('k')} AS node, CAST(r - 1 AS INTEGER) AS depth, CASE WHEN r > 1 THEN {AT.format('prev')} END AS pred FROM o WHERE live",
+    "corpus_facts": f"""WITH {TREE}, c AS (SELECT c_custkey AS c, (SELECT count(*) FROM o WHERE o.c = c_custkey) AS n FROM customer),
+  f AS (SELECT c, 'project' AS fact, 1 AS n FROM c UNION ALL SELECT c, 'file', n + 2 + CASE WHEN c % 5 = 0 THEN 1 ELSE 0 END FROM c UNION ALL SELECT c, 'declared', 2 FROM c UNION ALL SELECT c, 'hinted', 1 FROM c
+    UNION ALL SELECT c, 'own', 2 FROM c UNION ALL SELECT c, 'point', 1 FROM c WHERE n > 0)
+  SELECT 'c' || CAST(c AS VARCHAR) AS project, fact, CAST(n AS BIGINT) AS n FROM f""",
+    "corpus_declared": f"WITH {TREE} SELECT 'c' || CAST(c AS VARCHAR) AS project, 'dep-' || CAST(n AS VARCHAR) AS distribution, 'runtime' AS kind, 'pyproject.toml' AS file, 'project.dependencies' AS place FROM dep",
+    "corpus_imports": f"""WITH {TREE} SELECT module, CAST(line AS INTEGER) AS line, 'runtime' AS context, count(*) AS n FROM (SELECT 'dep_' || CAST(n AS VARCHAR) AS module, line FROM use
+  UNION ALL SELECT {MODULE.format('nxt')}, 1 FROM o WHERE k % 4 <> 0 AND nxt IS NOT NULL) GROUP BY ALL""",
+    "corpus_symbols": f"""WITH {TREE} SELECT 'c' || CAST(c AS VARCHAR) AS project, {MODULE.format('k')} AS module, 'main' AS name,
+  CAST((SELECT count(*) FROM lineitem WHERE l_orderkey = k) + 1 + CASE WHEN k % 4 <> 0 AND nxt IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS line FROM o""",
+    "parse_counters": f"WITH {TREE}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 5 = 0) AS bad FROM customer) SELECT (SELECT count(*) FROM o) + n + bad AS parsed, bad AS errors, n AS skipped FROM c",
+    "parse_cache_runs": f"""WITH {TREE}, c AS (SELECT (SELECT count(*) FROM o) + count(*) + count(*) FILTER (WHERE c_custkey % 5 = 0) AS n FROM customer)
+  SELECT CAST(0 AS INTEGER) AS run, n AS parsed, n AS fresh, CAST(0 AS BIGINT) AS cached FROM c UNION ALL SELECT 1, n, 0, n FROM c""",
+    "issue_ordinals": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS ordinal FROM lineitem",
+    "pattern_ignores": f"""WITH p AS (SELECT 'TL' || lpad(CAST(n_nationkey % 10 + 1 AS VARCHAR), 3, '0') AS code, '^src/pkg' || CAST(n_nationkey * 2 AS VARCHAR) || '/.*' || CAST(n_nationkey % 4 AS VARCHAR) || '\\.py$' AS x FROM nation)
+  SELECT code, EXISTS (SELECT 1 FROM p WHERE p.code = c.code AND (regexp_matches(c.path, x) OR coalesce(regexp_matches(c.module, x), FALSE))) AS by_pattern, count(*) AS n FROM ({CANDIDATES}) c WHERE kind IN ('file', 'import') GROUP BY ALL""",
 }

@@ -6,6 +6,7 @@ files); sources are parsed by tasks; everything after that is joins.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from treelens.functions import scalars as s
 from treelens.operators import closure, dependencies, emit, resolve, symbols
+from treelens.operators.ordinal import ordinals
 from treelens.sources import config as conf
 from treelens.sources import dims, plugins, pyast, requirements, tree
 
@@ -21,6 +23,8 @@ from treelens.sources import dims, plugins, pyast, requirements, tree
 ANYWHERE = ("__main__.py", "conftest.py")
 AT_TOP = ("main.py", "app.py", "manage.py", "asgi.py", "wsgi.py", "noxfile.py")
 APP_NAMES = ("manage.py", "asgi.py", "wsgi.py", "app.py")
+#: Order among findings, the same however rows are dealt out.
+ORDER = ["code", "kind", "path", "line", "module", "name", "member", "message"]
 ISSUE = ["code", "severity", "confidence", "kind", "path", "module", "name", "line", "message", "member", "target", "fingerprint", "sort_key", "summary", "manifest_file", "manifest_label", "disposition"]
 
 
@@ -46,7 +50,11 @@ class Inputs:
 
 def gather(start: Path, production: bool | None = None, confidence: str | None = None) -> Inputs:
     """What a project is, before any of its sources is parsed."""
-    root, marker = conf.find_root(start)
+    return gather_at(*conf.find_root(start), production, confidence)
+
+
+def gather_at(root, marker: str, production: bool | None = None, confidence: str | None = None) -> Inputs:
+    """The same for a known root: a path, or a Folder of rows."""
     manifest = requirements.extract(root)
     config, used = conf.load(root, manifest.pyproject)
     config = conf.overridden(config, production, confidence)
@@ -85,9 +93,18 @@ def candidates(x: Inputs, auto_only: bool = False) -> list[tuple[str, str | None
     return out
 
 
-def _target(text: str) -> tuple[str, str | None]:
-    import re
+def workspace_names(x: Inputs) -> list[tuple[str, str]]:
+    """(name, member) of all names by which members are imported: ids, last parts of their paths, of the lock tool's globs and of configured paths."""
+    def last(path: str) -> str:
+        return re.split(r"[/\\]", path.removesuffix("/*").rstrip("*"))[-1]
+
+    globs = ((((x.manifest.pyproject or {}).get("tool") or {}).get("uv") or {}).get("workspace") or {}).get("members", [])
+    out = [(n, m.id) for m in x.members for n in (m.id, last(m.path))]
+    out += [(last(g), last(g)) for g in globs if isinstance(g, str)] + [(last(t["path"]), name) for name, t in x.config.workspaces.items()]
+    return list({n: (n, m) for n, m in reversed(out) if n}.values())
 
+
+def _target(text: str) -> tuple[str, str | None]:
     if m := re.search(r"\buvicorn\s+([\w.]+):(\w+)", text):
         return m[1], m[2]
     left, _, right = text.partition(":")
@@ -147,7 +164,7 @@ def analyze(spark: SparkSession, start: str | Path, production: bool | None = No
     minor = requirements.target_minor(x.config.target_version, x.manifest.metadata.get("requires-python"))
     installed, commands = dims.installed(x.root)
     own_names = [*x.layout.packages, *([x.manifest.metadata["name"]] if "name" in x.manifest.metadata else [])]
-    member_names = [(n, m.id) for m in x.members for n in dict.fromkeys((m.id, m.path.rsplit("/", 1)[-1]))]
+    member_names = workspace_names(x)
     pairs = "import_root string, distribution string"
     resolved = resolve.resolve(
         sites,
@@ -167,8 +184,7 @@ def analyze(spark: SparkSession, start: str | Path, production: bool | None = No
     everything = rows[0]
     for r in rows[1:]:
         everything = everything.unionByName(r)
-    everything = everything.drop("seq").withColumn("seq", F.monotonically_increasing_id())
-    everything = keep(everything)
+    everything = keep(ordinals(everything.drop("seq"), ORDER, "seq"))
     directives = pyast.relation(parsed, "ignores")
     issues = emit.emit(everything, directives, x.config.severity, x.config.ignore, x.config.confidence, strict, include, exclude)
     issues = keep(issues.select(*ISSUE))
@@ -196,14 +212,19 @@ DECLARED = "distribution string, kind string, label string, marker string, opaqu
 
 
 def declared_table(spark: SparkSession, x: Inputs) -> DataFrame:
-    """Everything declared; groups that are configured as run-time ones count as such."""
+    """Everything declared."""
+    return spark.createDataFrame([(*d[:8], i, d[8]) for i, d in enumerate(declared_rows(x))], DECLARED)
+
+
+def declared_rows(x: Inputs) -> list[tuple]:
+    """distribution, kind, label, marker, opaque, from_setup_py, file, where and member; groups that are configured as run-time ones count as such."""
     runtime = set(x.config.dependencies["runtime_groups"])
     rows = []
     for member, m in [(None, x.manifest), *x.member_manifests.items()]:
         for d in m.dependencies:
             kind = "runtime" if d.kind == "group" and d.label in runtime else d.kind
-            rows.append((d.name, kind, d.label, d.marker, d.opaque, d.file == "setup.py", d.file, d.where, len(rows), member))
-    return spark.createDataFrame(rows, DECLARED)
+            rows.append((d.name, kind, d.label, d.marker, d.opaque, d.file == "setup.py", d.file, d.where, member))
+    return rows
 
 
 def _dependency_rules(spark, x, resolved, live, commands, strict) -> list[DataFrame]:
@@ -289,10 +310,10 @@ def probe(spark: SparkSession, start: str | Path, production: bool | None = None
 def trace(report: Report, path: str) -> list[str]:
     """The way to a reached file, or why it is not: its importers and whether they are reached."""
     path = path.replace("\\", "/").removeprefix("./")
-    # a shortest way is as long as the depth of the file
-    rows = closure.reach(report.edges, report.entries.select(F.col("path").alias("node")), [F.col("line")], with_path=True).where(F.col("node") == path).collect()
+    # in order of steps, which are as many as the depth of the file
+    rows = closure.paths(report.reached, report.reached.select("node").where(F.col("node") == path)).orderBy("step").collect()
     if rows:
-        return [f"{path} is reached", *[f"  {'<- ' if i else ''}{p}" for i, p in enumerate(reversed(rows[0].path))]]
+        return [f"{path} is reached", *[f"  {'<- ' if i else ''}{r.at}" for i, r in enumerate(rows)]]
     into = closure.importers(report.edges, report.reached, F.col("dst") == path).orderBy("src", "line").collect()
     out = [f"{path} is not reached" if report.files.where(F.col("path") == path).count() else f"{path} is no file of the project"]
     return out + [f"  imported by {r.src}:{r.line} ({'reached' if r.reachable else 'not reached'})" for r in into]

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelens.functions import scalars as s
 from treelens.operators import closure, dependencies, emit, resolve, symbols
+from treelens.operators.ordinal import carry_forward, ordinals
 from treelens.plans import adapters as a
+from treelens.plans import corpus
 from treelens.plans.oracles import ORACLES  # noqa: F401
-from treelens.session import cut
+from treelens.session import cut, shared_dir
+from treelens.sources import facts, pyast
 from treelens.sources.cache import split_cached
 
 QUERIES: dict = {}
@@ -55,10 +60,10 @@ def reach_depth(spark, d):
 @query
 def trace_path(spark, d):
     e = a.edges(spark, d)
-    r = cut(closure.reach(e, a.seeds(spark, d), with_path=True))
-    steps = r.where("depth > 0").select("node", F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.col("depth")).alias("src"), F.slice("path", F.lit(2), F.col("depth")).alias("dst"))).alias("s")).select("node", "s.src", "s.dst")
-    real = steps.join(e.withColumn("ok", F.lit(True)), ["src", "dst"], "left").groupBy("node").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"))
-    return r.join(real, "node", "left").select("node", "depth", F.size("path").alias("steps"), F.coalesce("ok", F.lit(True)).alias("follows_edges"))
+    r = cut(closure.reach(e, a.seeds(spark, d)))
+    real = r.join(e.select(F.col("src").alias("pred"), F.col("dst").alias("node"), F.lit(True).alias("real")), ["pred", "node"], "left")
+    ways = closure.along(real, F.col("pred").isNull() | F.coalesce("real", F.lit(False)))
+    return r.join(ways, "node").select("node", "depth", "steps", F.col("every").alias("follows_edges"))
 
 
 @query
@@ -360,13 +365,11 @@ def workflow_binaries(spark, d):
 
 @query
 def ini_sections(spark, d):
-    # lines of a document below their last heading, without gathering documents by a window
-    lines = F.split("text", "\n")
-    head = lambda x: F.when(x.rlike("^[A-ZÀ-Ü][a-z]+ "), F.substring_index(x, " ", 1))
-    step = lambda acc, x: F.struct(F.coalesce(head(x), acc["now"]).alias("now"), F.concat(acc["all"], F.array(F.coalesce(head(x), acc["now"]))).alias("all"))
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("all"))
-    rows = a.table(spark, d, "documents").select("doc_id", F.explode(F.aggregate(lines, start, step)["all"]).alias("section"))
-    return _count(rows, "doc_id", "section")
+    # lines of a document below their last heading; a text is cut anywhere, so no document is gathered
+    lines = a.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    head = F.when(F.col("line").rlike("^[A-ZÀ-Ü][a-z]+ "), F.substring_index("line", " ", 1))
+    rows = carry_forward(lines.select("doc_id", "pos", head.alias("head")), ["pos"], "head", "section", "doc_id")
+    return _count(rows, "doc_id", F.coalesce("section", F.lit("")).alias("section"))
 
 
 @query
@@ -409,3 +412,94 @@ def parse_cache(spark, d):
     hits, misses = split_cached(docs, cache)
     rows = hits.select(F.lit("hit").alias("state"), "content_hash").union(misses.select(F.lit("miss").alias("state"), "content_hash"))
     return rows.groupBy("state").agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("contents"))
+
+
+# many projects
+
+
+@query
+def corpus_findings(spark, d):
+    out = corpus.analyze(spark, a.trees(spark, d))
+    return _count(out.issues.where("disposition is null"), "code", "severity", "confidence")
+
+
+@query
+def corpus_unused_files(spark, d):
+    out = corpus.analyze(spark, a.trees(spark, d), include=["TL001"])
+    return out.issues.select("project", "path", "severity")
+
+
+@query
+def corpus_strict_missing(spark, d):
+    out = corpus.analyze(spark, a.trees(spark, d), strict=True, include=["TL003"])
+    return out.issues.select("project", "path", "module", "line", "message")
+
+
+@query
+def corpus_reach(spark, d):
+    return corpus.graph(spark, a.trees(spark, d)).reached.select("project", "node", "depth", "pred")
+
+
+@query
+def corpus_facts(spark, d):
+    return _count(facts.of_projects(a.trees(spark, d)), "project", "fact")
+
+
+@query
+def corpus_declared(spark, d):
+    found = facts.of_projects(a.trees(spark, d))
+    return facts.relation(found, "declared", facts.DECLARED).select("project", "distribution", "kind", "file", F.col("where").alias("place"))
+
+
+def _parsed(spark, d, cache=None):
+    trees = a.trees(spark, d).where("path <> 'pyproject.toml'")
+    kind = F.when(F.col("path").endswith(".pyi"), "stub").otherwise("python")
+    files = trees.withColumns({"kind": kind, "context": s.file_context(F.col("path")), "layout": F.lit("src"), "length": F.octet_length("content").cast("long"), "modified": F.lit(0).cast("long")})
+    return corpus.parse(spark, files, cache)
+
+
+@query
+def corpus_imports(spark, d):
+    parsed, _ = _parsed(spark, d)
+    return _count(pyast.relation(parsed, "imports"), "module", "line", "context")
+
+
+@query
+def corpus_symbols(spark, d):
+    parsed, _ = _parsed(spark, d)
+    return pyast.relation(parsed, "symbols").select("project", F.col("importer").alias("module"), "name", "line")
+
+
+@query
+def parse_counters(spark, d):
+    _, n = _parsed(spark, d)
+    return spark.createDataFrame([(n["parsed"], n["errors"], n["skipped"])], "parsed long, errors long, skipped long")
+
+
+@query
+def parse_cache_runs(spark, d):
+    at = f"{shared_dir(spark).rstrip('/')}/treelens-cache-{uuid.uuid4().hex}"
+    runs = [(i, n["parsed"], n["fresh"], n["cached"]) for i, (_, n) in enumerate(_parsed(spark, d, at) for _ in range(2))]
+    return spark.createDataFrame(runs, "run int, parsed long, fresh long, cached long")
+
+
+@query
+def issue_ordinals(spark, d):
+    # what tells line items apart, in the order of reports
+    rows = a.table(spark, d, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    out = ordinals(rows, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ordinal")
+
+
+@query
+def pattern_ignores(spark, d):
+    # a pattern for each nation, most of them for folders that hold nothing
+    n = F.col("n_nationkey")
+    where = a.table(spark, d, "nation").select(
+        F.concat(F.lit("TL"), F.lpad(_text(n % 10 + 1), 3, "0")).alias("code"),
+        F.concat(F.lit("src/pkg"), _text(n * 2)).alias("folder"),
+        F.concat(F.lit("^src/pkg"), _text(n * 2), F.lit("/.*"), _text(n % 4), F.lit("\\.py$")).alias("regex"),
+        F.lit(None).cast("string").alias("name_regex"),
+    )
+    rows = emit.ignored_by_pattern(a.candidates(spark, d).where("kind in ('file', 'import')"), where)
+    return _count(rows, "code", "by_pattern")

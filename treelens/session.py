@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import re
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,35 @@ class Shared:
 
     def unpersist(self) -> None:
         self._bytes.unpersist()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as a table of its own in the shared folder, computed in one pass."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/treelens-result-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """Tables of the rounds of an iteration, in the shared folder until the last one is there.
+
+    As files they have a size that the optimizer knows, so that small ones are
+    broadcast by it; what is kept survives the executors that wrote it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.n = spark, 0
+        self.at = f"{shared_dir(spark).rstrip('/')}/treelens-steps-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.at}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{self.n}")
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table of its own; those of the rounds are removed."""
+        out = saved(df)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return out

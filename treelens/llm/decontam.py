@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from treelens.session import Shared
 
-from .common import alnum_words, as_bytes, by_bytes, col, row_of, text_key, unpacked, with_fields, word_ids, written
+from .common import alnum_words, as_bytes, by_bytes, col, row_of, text_key, tidy, unpacked, with_fields, word_ids, written
 
 SPANS = "array<struct<start: long, end: long>>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -149,7 +149,7 @@ def _count(docs: DataFrame, block, size_of: dict[int, int]) -> dict[int, np.ndar
             yield pa.record_batch([pa.array(np.full(len(k), s)), pa.array(k), pa.array(n[k])], ["size", "k", "n"])
 
     out = {s: np.zeros(n, np.int64) for s, n in size_of.items()}
-    counted = docs.mapInArrow(run, "size long, k long, n long").groupBy("size", "k").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(tidy(run), "size long, k long, n long").groupBy("size", "k").agg(F.sum("n").alias("n"))
     for r in counted.toLocalIterator():
         out[r["size"]][r["k"]] = r["n"]
     return out
@@ -206,7 +206,7 @@ def _scan(rows: DataFrame, block, only_hits: bool) -> DataFrame:
                 y = pa.record_batch([*x.columns[1:], pa.array(n), pa.array(spans, out), pa.array(items, pa.list_(pa.string()))], [*x.schema.names[1:], "n_words", "spans", "items"])
                 yield y.filter(pa.array(touched)) if only_hits else y
 
-    return rows.mapInArrow(run, with_fields(rows.schema.fields[1:], f"n_words long, spans {SPANS}, items array<string>"))
+    return rows.mapInArrow(tidy(run), with_fields(rows.schema.fields[1:], f"n_words long, spans {SPANS}, items array<string>"))
 
 
 def _merged(spans: list) -> list:
@@ -227,7 +227,7 @@ def _merge(rows: DataFrame) -> DataFrame:
             i = x.schema.get_field_index("spans")
             yield x.set_column(i, x.schema.field(i), pa.array([_merged(s or []) for s in x.column(i).to_pylist()], x.column(i).type))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, carry: list[str] | None = None, text_col: str = "text", window: int = 13, shingle: int = 5, block_bytes: int = 64 << 20) -> DataFrame:

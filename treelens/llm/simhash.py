@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, col, components, map_arrow, popcount, row_of, text_key, unpacked, written
+from .common import as_bytes, col, components, map_arrow, popcount, row_of, text_key, tidy, unpacked, written
 
 #: Shingles hashed at once; bounds memory on very long texts.
 CHUNK = 1 << 16
@@ -185,7 +185,7 @@ def _met(rows: DataFrame, radius: int, segments: int, most: int | None) -> DataF
         if len(bucket):
             yield batch(*_verified(bucket, fp, keep if most else lambda x, y, at: np.ones(len(x), bool), radius))
 
-    return rows.mapInArrow(run, "u long, v long, bucket long")
+    return rows.mapInArrow(tidy(run), "u long, v long, bucket long")
 
 
 def links(distinct: DataFrame, radius: int = 4, segments: int = 2, bucket: int = BUCKET) -> DataFrame:
@@ -206,7 +206,7 @@ def links(distinct: DataFrame, radius: int = 4, segments: int = 2, bucket: int =
             for i in range(0, x.num_rows, 1024):
                 yield emit(x.slice(i, 1024))
 
-    rows = distinct.select("fp").mapInArrow(batches, "bucket long, fp long")
+    rows = distinct.select("fp").mapInArrow(tidy(batches), "bucket long, fp long")
     met = written(_met(rows.repartition("bucket").sortWithinPartitions("bucket", "fp"), radius, segments, bucket if segments > 1 else None), "simhash-met")
     edges, over = met.where("bucket is null").select("u", "v"), met.where("bucket is not null")
     if segments == 1 or over.isEmpty():
@@ -227,7 +227,7 @@ def links(distinct: DataFrame, radius: int = 4, segments: int = 2, bucket: int =
                 n = len(more)
                 yield pa.record_batch([pa.array(v.view(np.int64)) for v in (np.repeat(at, n), key, np.repeat(fp, n))], ["at", "key", "fp"])
 
-    fine = over.select(F.col("bucket").alias("at"), F.col("u").alias("fp")).mapInArrow(refine, "at long, key long, fp long")
+    fine = over.select(F.col("bucket").alias("at"), F.col("u").alias("fp")).mapInArrow(tidy(refine), "at long, key long, fp long")
     fine = fine.select(F.xxhash64("at", "key").alias("bucket"), "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
     return edges.union(_met(fine, radius, segments, None).select("u", "v"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from treelens.session import Shared
 
-from .common import by_bytes, col, examples, labelled, pieces, remainder, row_of, unpacked, with_fields, written
+from .common import by_bytes, col, examples, labelled, pieces, remainder, row_of, tidy, unpacked, with_fields, written
 
 WORD = re.compile(r"\w+")
 #: The same words of ASCII text: letters become small, what is in no word becomes a space.
@@ -298,7 +298,7 @@ class Model:
                     near = m.neighbours(x.column(2).to_pylist(), x.column(0).to_pylist())
                     yield pa.record_batch([*x.columns[:2], pa.array([m.raw(v) for v in near], pa.float64())], ["id", "label", "raw"])
 
-        found = own.select("doc_id", "label", "text").mapInArrow(left_out, "id long, label int, raw double").toArrow().sort_by([("id", "ascending"), ("raw", "ascending")])
+        found = own.select("doc_id", "label", "text").mapInArrow(tidy(left_out), "id long, label int, raw double").toArrow().sort_by([("id", "ascending"), ("raw", "ascending")])
         shared.unpersist()
         x, y = found.column("raw").to_numpy(), found.column("label").to_numpy().astype(int)
         x = np.log(x / (1 - x))
@@ -336,7 +336,7 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> tupl
         at = np.flatnonzero(own)
         yield pa.record_batch([pa.array(at), pa.array(own[at])], ["term", "n"])
 
-    found = docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select(col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     shared.unpersist()
     out = np.zeros(len(vocabulary.names) + 1, np.int64)
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
@@ -352,7 +352,7 @@ def all_terms(own: DataFrame) -> Vocabulary:
                 n = Counter(t for text in x.column(0).to_pylist() for t in terms(text))
                 yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
 
-    found = own.select("text").mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = own.select("text").mapInArrow(tidy(seen), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     return Vocabulary(found.sort_by([("n", "descending"), ("term", "ascending")]).column("term").to_pylist())
 
 
@@ -368,7 +368,7 @@ def _counted(own: DataFrame, vocabulary: Vocabulary) -> pa.Table:
                 lists = [pa.array([p[i] for p in both], pa.list_(pa.int32())) for i in (0, 1)]
                 yield pa.record_batch([*x.columns[:2], *lists], ["doc_id", "label", "ids", "counts"])
 
-    return own.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ids array<int>, counts array<int>").toArrow()
+    return own.select("doc_id", "label", "text").mapInArrow(tidy(run), "doc_id long, label int, ids array<int>, counts array<int>").toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label: str = "toxic", divisor: int = 5, held_out: int = 0, per_class: int = 4096, k: int = 15) -> Model:
@@ -423,7 +423,7 @@ def _scored(rows: DataFrame, model: Model, field: str | None, threshold: float)
                 shown = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(found[j][0]) for j in at])].astype(np.int32), shown)
                 yield pa.record_batch([x.column(0), pa.array(p[at]), pa.array((p[at] >= threshold).astype(np.int32)), shown], ["row", "score", "predicted", "evidence"])
 
-    return rows.mapInArrow(run, with_fields(rows.schema.fields[:1], f"score double, predicted int, evidence {EVIDENCE}"))
+    return rows.mapInArrow(tidy(run), with_fields(rows.schema.fields[:1], f"score double, predicted int, evidence {EVIDENCE}"))
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

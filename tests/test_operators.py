@@ -133,3 +133,38 @@ def test_stream_of_changed_files(spark, tmp_path):
     incremental.keep_parsed(incremental.changed(spark, str(tmp_path / "in")), *where).awaitTermination(120)
     rows = incremental.latest(spark, where[0]).collect()
     assert sorted((r.path.rsplit("/", 1)[-1], r.imports[0].module) for r in rows) == [("a.py", "one"), ("b.py", "two")]
+
+
+def test_stream_of_two_contents_and_a_repeated_batch(spark, tmp_path):
+    rows = [("a.py", "runtime", b"import one", 1), ("a.py", "runtime", b"import two", 2), ("a.py", "runtime", b"import two", 2), ("b.py", "runtime", b"import one", 1)]
+    (tmp_path / "in").mkdir()
+    schema = "path string, context string, content binary, modified long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table = str(tmp_path / "table")
+    for k in range(2):
+        # a checkpoint that was lost: the batch is run again
+        incremental.keep_parsed(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), table, str(tmp_path / f"cp{k}")).awaitTermination(120)
+        assert sorted((r.path, r.imports[0].module) for r in spark.read.parquet(table).collect()) == [("a.py", "one"), ("a.py", "two"), ("b.py", "one")]
+    assert sorted((r.path, r.imports[0].module) for r in incremental.latest(spark, table).collect()) == [("a.py", "two"), ("b.py", "one")]
+
+
+def test_fix_plan_reasons(spark):
+    found = [
+        ("TL001", "likely", None, "a.py", None, ""), ("TL002", "certain", "gone", None, None, ""), ("TL002", "likely", "x", None, None, ""), ("TL002", "certain", "x", None, None, ""),
+        ("TL005", "certain", "x", None, None, ""), ("TL005", "certain", "devonly", None, None, ""), ("TL009", "certain", "devonly", None, None, ""), ("TL009", "certain", "x", None, None, ""), ("TL006", "certain", "f", "a.py", None, ""),
+        ("TL003", "certain", None, "a.py", None, "numpy is imported"), ("TL003", "likely", None, "b.py", None, "numpy is imported"), ("TL003", "likely", None, "b.py", None, "maybe-it is imported"),
+        ("TL003", "certain", None, "m/a.py", "m", "numpy is imported"), ("TL003", "certain", None, "n/a.py", "n", "numpy is imported"), ("TL003", "certain", None, "c.py", None, ""),
+    ]
+    f = spark.createDataFrame(found, "code string, confidence string, name string, path string, member string, summary string")
+    d = spark.createDataFrame([("x", "runtime", "p", "project.dependencies", 0), ("x", "group", "p", "dev", 1), ("devonly", "group", "p", "dev", 2)], "distribution string, kind string, file string, label string, seq long")
+    targets = spark.createDataFrame([(None, "pyproject.toml", True), ("m", "m/pyproject.toml", False)], "member string, file string, supported boolean")
+    rows = [(r.code, r.name, r.action, r.file, r.label, r.reason) for r in emit.fix_plan(f, d, targets=targets).collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, [
+        ("TL001", None, None, None, None, "file_removal_denied"), ("TL002", "gone", None, None, None, "missing_origin"), ("TL002", "x", None, None, None, "not_fixable"), ("TL002", "x", "remove_dependency", "p", "dev", None),
+        ("TL005", "x", None, None, None, "ambiguous"), ("TL005", "devonly", "move_to_runtime", "p", "dev", None), ("TL009", "devonly", None, None, None, "ambiguous"), ("TL009", "x", "remove_duplicate", "p", "dev", None),
+        ("TL003", "numpy", "add_missing", "pyproject.toml", "project.dependencies", None), ("TL003", "maybe-it", None, None, None, "not_fixable"), ("TL003", "numpy", None, None, None, "unsupported_target"),
+        ("TL003", "numpy", None, None, None, "unsupported_target"), ("TL003", None, None, None, None, "missing_origin"),
+    ]))
+    sure = emit.fix_plan(f.where("code = 'TL001'"), d, remove_files=True).collect()
+    assert [(r.action, r.reason) for r in sure] == [(None, "not_fixable")]
+    assert emit.fix_plan(f.where("code = 'TL003'"), d).count() == 0 and emit.fix_plan(f.limit(0), d, targets=targets).count() == 0

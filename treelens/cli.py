@@ -100,13 +100,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 def plan(r: project.Report, a: argparse.Namespace) -> list[dict]:
     """The fix plan on the driver: the findings of one project, with the places of their declarations."""
     d = r.declared.withColumnsRenamed({"label": "group", "where": "label"})
-    rows = [x.asDict() | {"where": x.label} for x in emit.fix_plan(r.issues.where("disposition is null"), d, a.allow_remove_files).collect()]
-    manifest = r.inputs.manifest.pyproject or {}
-    project_table = manifest.get("project") or {}
-    can = "dependencies" in project_table and "dependencies" not in project_table.get("dynamic", []) and "poetry" not in (manifest.get("tool") or {})
-    if a.add_missing and can:
-        names = {(x.summary.split()[0]) for x in r.issues.where("code = 'TL003' and confidence = 'certain' and disposition is null").select("summary").collect()}
-        rows += [{"code": "TL003", "action": "add_missing", "name": n, "path": None, "file": "pyproject.toml", "where": "project.dependencies", "reason": None} for n in sorted(names)]
+    targets = r.issues.sparkSession.createDataFrame(project.fix_targets(r.inputs), "member string, file string, supported boolean") if a.add_missing else None
+    found = emit.fix_plan(r.issues.where("disposition is null"), d, a.allow_remove_files, targets=targets)
+    rows = [x.asDict() | {"where": x.label} for x in found.orderBy("code", "name", "path", "file").collect()]
     return rows
 
 

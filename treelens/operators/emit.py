@@ -158,10 +158,13 @@ def merge_entries(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return m.select(*by, "path", "symbol", context.alias("context"), F.array_distinct(F.transform("all", lambda e: e["origin"])).alias("origins"))
 
 
-def fix_plan(findings: DataFrame, declarations: DataFrame, remove_files: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-    """What could be changed for each sure finding: action, the declaration it is about, and a reason if nothing.
+def fix_plan(findings: DataFrame, declarations: DataFrame, remove_files: bool = False, by: tuple[str, ...] = (), targets: DataFrame | None = None) -> DataFrame:
+    """What could be changed for each finding that a fix exists for: action, the declaration it is about, and a reason if nothing.
 
-    declarations: distribution, kind, file, label, seq.
+    declarations: distribution, kind, file, label, seq. With ``targets``
+    (member, file, supported: manifests that a distribution may be added to)
+    missing ones are added too, each once for a manifest; findings then have
+    member and summary, whose first word is the distribution.
     """
     d = declarations.withColumn("priority", s.rank(F.col("kind"), s.REMOVAL))
     said = d.groupBy(*by, F.col("distribution").alias("name")).agg(
@@ -170,17 +173,22 @@ def fix_plan(findings: DataFrame, declarations: DataFrame, remove_files: bool =
         F.sum(F.when(F.col("kind").isin("runtime", "optional"), 1).otherwise(0)).alias("lasting"),
         F.sum(F.when(F.col("kind") == "group", 1).otherwise(0)).alias("groups"),
     )
-    f = findings.join(said, [*by, "name"], "left")
-    sure, n = F.col("confidence") == "certain", F.coalesce("declared", F.lit(0))
-    action = (
-        F.when(~sure, None)
-        .when((F.col("code") == "TL002") & (n > 0), "remove_dependency")
-        .when((F.col("code") == "TL009") & (n >= 2), "remove_duplicate")
-        .when((F.col("code") == "TL005") & (F.col("lasting") == 0) & (F.col("groups") == 1), "move_to_runtime")
-        .when((F.col("code") == "TL001") & F.lit(remove_files), "remove_file")
-    )
+    f = findings.where(F.col("code").isin("TL001", "TL002", "TL005", "TL009")).join(said, [*by, "name"], "left")
+    code, sure, n = F.col("code"), F.col("confidence") == "certain", F.coalesce("declared", F.lit(0))
+    movable = (F.coalesce("lasting", F.lit(0)) == 0) & (F.coalesce("groups", F.lit(0)) == 1)
     reason = (
-        F.when(action.isNotNull(), None).when(~sure, "not_fixable").when(F.col("code") == "TL001", "file_removal_denied")
-        .when(F.col("code").isin("TL002", "TL009", "TL005") & (n == 0), "missing_origin").when(F.col("code") == "TL005", "ambiguous").otherwise("not_fixable")
+        F.when((code == "TL001") & ~F.lit(remove_files), "file_removal_denied").when(~sure, "not_fixable")
+        .when((code == "TL002") & (n == 0), "missing_origin").when(((code == "TL009") & (n < 2)) | ((code == "TL005") & ~movable), "ambiguous")
     )
-    return f.select(*by, "code", action.alias("action"), "name", "path", F.when(action.isNotNull(), F.col("drop.file")).alias("file"), F.when(action.isNotNull(), F.col("drop.label")).alias("label"), reason.alias("reason"))
+    action = F.when(code == "TL001", "remove_file").when(code == "TL002", "remove_dependency").when(code == "TL009", "remove_duplicate").otherwise("move_to_runtime")
+    out = f.select(*by, "code", "name", "path", F.col("drop.file").alias("file"), F.col("drop.label").alias("label"), reason.alias("reason"), action.alias("action"))
+    if targets is not None:
+        name = F.nullif(F.regexp_extract("summary", r"^(\S+)", 1), F.lit(""))
+        wanted = findings.where("code = 'TL003'").groupBy(*by, F.coalesce("member", F.lit("")).alias("_m"), name.alias("name")).agg(F.bool_or(F.col("confidence") == "certain").alias("sure"))
+        at = targets.select(*by, F.coalesce("member", F.lit("")).alias("_m"), "file", "supported")
+        reason = F.when(~F.col("sure"), "not_fixable").when(~F.coalesce("supported", F.lit(False)), "unsupported_target").when(F.col("name").isNull(), "missing_origin")
+        none = F.lit(None).cast("string")
+        added = wanted.join(at, [*by, "_m"], "left").select(*by, F.lit("TL003").alias("code"), "name", none.alias("path"), "file", F.lit("project.dependencies").alias("label"), reason.alias("reason"), F.lit("add_missing").alias("action"))
+        out = out.union(added)
+    done = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
+    return out.select(*by, "code", done("action"), "name", "path", done("file"), done("label"), "reason")

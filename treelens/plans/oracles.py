@@ -122,7 +122,7 @@ ORACLES: dict[str, str] = {
   f AS (SELECT ['TL001', 'TL002', 'TL005', 'TL009'][n_nationkey % 4 + 1] AS code, 'brand-' || CAST(n_nationkey + 1 AS VARCHAR) AS name, CASE WHEN n_regionkey = 2 THEN 'likely' ELSE 'certain' END AS confidence FROM nation),
   j AS (SELECT f.*, coalesce(declared, 0) AS n, label, lasting, groups FROM f LEFT JOIN decl USING (name)),
   a AS (SELECT *, CASE WHEN confidence <> 'certain' THEN NULL WHEN code = 'TL002' AND n > 0 THEN 'remove_dependency' WHEN code = 'TL009' AND n >= 2 THEN 'remove_duplicate' WHEN code = 'TL005' AND lasting = 0 AND groups = 1 THEN 'move_to_runtime' END AS action FROM j)
-  SELECT code, name, action, CASE WHEN action IS NOT NULL THEN label END AS label, CASE WHEN action IS NOT NULL THEN NULL WHEN confidence <> 'certain' THEN 'not_fixable' WHEN code = 'TL001' THEN 'file_removal_denied' WHEN n = 0 THEN 'missing_origin' WHEN code = 'TL005' THEN 'ambiguous' ELSE 'not_fixable' END AS reason FROM a""",
+  SELECT code, name, action, CASE WHEN action IS NOT NULL THEN label END AS label, CASE WHEN action IS NOT NULL THEN NULL WHEN code = 'TL001' THEN 'file_removal_denied' WHEN confidence <> 'certain' THEN 'not_fixable' WHEN code = 'TL002' THEN 'missing_origin' ELSE 'ambiguous' END AS reason FROM a""",
     "entry_merge": f"""SELECT path, max_by(symbol, seq) FILTER (WHERE symbol IS NOT NULL) AS symbol, CASE WHEN bool_or(context = 'runtime') THEN 'runtime' ELSE min_by(context, seq) END AS context, count(DISTINCT origin) AS origins FROM (
   SELECT {path('l_orderkey')} AS path, CASE WHEN l_partkey % 3 = 0 THEN 's' || CAST(l_partkey AS VARCHAR) END AS symbol, CASE l_linestatus WHEN 'O' THEN 'dev' ELSE CASE WHEN l_returnflag = 'R' THEN 'runtime' ELSE 'test' END END AS context,
   l_returnflag || l_linestatus AS origin, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq FROM lineitem) GROUP BY path""",

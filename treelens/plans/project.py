@@ -211,6 +211,12 @@ def _unused_files(names, live, framework, library, x) -> DataFrame:
 DECLARED = "distribution string, kind string, label string, marker string, opaque boolean, from_setup_py boolean, file string, where string, seq int, member string"
 
 
+def fix_targets(x: Inputs) -> list[tuple]:
+    """member, file and supported of the manifests that missing distributions may be added to."""
+    own = [(m.id, f"{m.path}/pyproject.toml", requirements.can_add(x.member_manifests[m.id])) for m in x.members if m.id in x.member_manifests]
+    return [(None, "pyproject.toml", requirements.can_add(x.manifest)), *own]
+
+
 def declared_table(spark: SparkSession, x: Inputs) -> DataFrame:
     """Everything declared."""
     return spark.createDataFrame([(*d[:8], i, d[8]) for i, d in enumerate(declared_rows(x))], DECLARED)

@@ -27,7 +27,7 @@ DECORATED = r"(?m)^\s*@\w[\w.]*(\.(route|get|post|put|delete|patch)\(|shared_tas
 SCHEMA = "project string, fact string, seq int, value string"
 
 #: The fields of each fact.
-PROJECT = "library boolean, production boolean, layout string, minor int, floor string, name string, has_lock boolean, has_members boolean"
+PROJECT = "library boolean, production boolean, layout string, minor int, floor string, name string, has_lock boolean, has_members boolean, can_add boolean"
 FILE = "path string, kind string, context string, layout string, module string"
 ENTRY = "path string, symbol string, context string, origin string"
 POINT = "module string, symbol string, origin string, layout string"
@@ -52,7 +52,7 @@ def facts(root: Folder, production: bool | None = None, confidence: str | None =
     kind, c, m = x.layout.kind, x.config, x.manifest
     own = m.metadata.get("name")
     minor = requirements.target_minor(c.target_version, m.metadata.get("requires-python"))
-    yield "project", {"library": how == "library", "production": c.production, "layout": kind, "minor": minor, "floor": c.confidence, "name": requirements.normalize(own or ""), "has_lock": bool(m.lock), "has_members": bool(x.members)}
+    yield "project", {"library": how == "library", "production": c.production, "layout": kind, "minor": minor, "floor": c.confidence, "name": requirements.normalize(own or ""), "has_lock": bool(m.lock), "has_members": bool(x.members), "can_add": requirements.can_add(m)}
     for w in x.warnings:
         yield "warning", {"message": w}
     for p in x.paths:
@@ -94,8 +94,9 @@ def facts(root: Folder, production: bool | None = None, confidence: str | None =
         yield "command", {"binary": binary, "distribution": d, "layer": 2}
     for name in [*x.layout.packages, *([own] if own is not None else [])]:
         yield "own", {"name": name}
+    can_add = {member: can for member, _, can in plan.fix_targets(x)}
     for member in x.members:
-        yield "member", {"path": member.path, "id": member.id}
+        yield "member", {"path": member.path, "id": member.id, "can_add": can_add.get(member.id, False)}
     for name, member in plan.workspace_names(x):
         yield "member_name", {"name": name, "member": member}
     for code, level in c.severity.items():

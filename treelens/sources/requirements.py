@@ -258,6 +258,12 @@ def extract(root: Path) -> Manifest:
     return m
 
 
+def can_add(m: Manifest) -> bool:
+    """Whether a dependency can be added to a manifest: one whose dependencies stand in the project table."""
+    data = _table(m.pyproject)
+    return m.pyproject is not None and "poetry" not in _table(data.get("tool")) and "dependencies" not in _table(data.get("project")).get("dynamic", [])
+
+
 def target_minor(explicit: str | None, requires: str | None) -> int:
     """Minor version to analyse for: the explicit one, else the highest lower bound, else 11."""
     if explicit:

@@ -89,3 +89,32 @@ def test_query_rows_and_empty_table(spark):
     assert sorted((r.page_id, r.warc_type) for r in got) == [(1, "conversion"), (1, "metadata"), (2, "conversion"), (2, "metadata")]
     assert len({r.to for r in got}) == 2
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_broken_and_long_files(tmp_path, spark):
+    records = [warc.to_bytes([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>"), ("Content-Length", str(n))], bytes([65 + i % 26]) * n) for i, n in enumerate((3, 0, 70_000, 12, 9_000_000, 5))]
+    truth = [(f"<{i}>", n) for i, n in enumerate((3, 0, 70_000, 12, 9_000_000, 5))]
+    shown = lambda data: [(h["WARC-Record-ID"], len(b)) for h, b in warc.parse(data)]
+    plain, members, whole = b"".join(records), b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records))
+    assert shown(plain) == shown(members) == shown(whole) == truth
+    for piece in (1, 7, 1000):
+        assert b"".join(warc.inflated(b"".join(map(gzip.compress, records[:3])), piece)) == b"".join(records[:3])
+    # cut anywhere: all records before the cut, none that is not whole, no error
+    few = b"".join(map(gzip.compress, records[:4]))
+    for cut in range(0, len(few), 13):
+        assert shown(few[:cut]) == truth[: len(shown(few[:cut]))]
+    assert shown(members[:-6])[:5] == truth[:5] and shown(plain[:-20])[:5] == truth[:5] and len(shown(plain[:-12])) == 5
+    assert shown(members + b"rubbish") == truth and shown(few[:20] + b"\x00" * 9 + few[29:])[1:] == []
+    assert shown(b"") == [] == shown(b"\x1f\x8b") == shown(b"WARC/1.1\r\nContent-Length: x\r\n\r\n")
+    for name, data in (("a.warc", plain), ("b.warc.gz", members), ("c.warc.gz", members[:-30]), ("d.warc.gz", b"")):
+        (tmp_path / name).write_bytes(data)
+    rows = warc.read(spark, str(tmp_path)).select(F.length("block").alias("n")).collect()
+    assert sorted(r.n for r in rows) == sorted([n for _, n in truth] * 2 + [n for _, n in truth[:5]])
+
+
+def test_every_record_has_a_date(spark):
+    rows = [(1, {"WARC-Date": d} if d is not None else None, b"x", None) for d in (None, "", "yesterday", "2020-01-02T03:04:05Z", "2020-01-02T03:04:05.123Z", "2020")]
+    said = [dict((h.name, h.value) for h in r.headers)["WARC-Date"] for r in derived(spark, rows).where("warc_type = 'metadata'").collect()]
+    assert said == [warc.UNKNOWN] * 3 + ["2020-01-02T03:04:05Z", "2020-01-02T03:04:05.123Z", "2020"]
+    pages = spark.createDataFrame([(1, "http://a", "<p>x")], "page_id long, url string, html string")
+    assert warc.responses(pages, date="2021-05-06T07:08:09Z").first().headers["WARC-Date"] == "2021-05-06T07:08:09Z"

@@ -157,6 +157,7 @@ def derive_one(source: dict[str, str], block: bytes | None) -> list[tuple[str, l
     block = block or b""
     status, headers, payload = http_parts(block)
     rid, uri, date = source.get("WARC-Record-ID") or record_id("response", source.get("WARC-Target-URI", ""), digest(block)), source.get("WARC-Target-URI", ""), source.get("WARC-Date", "")
+    date = date if DATE.fullmatch(date) else UNKNOWN
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
     own = {"WARC-Block-Digest": digest(block), "WARC-Payload-Digest": digest(payload)}
     plain = body(headers, payload)
@@ -175,7 +176,7 @@ def derive_one(source: dict[str, str], block: bytes | None) -> list[tuple[str, l
             fields.append((f"computed-{name.lower()}", value))
     fields += [("title", title)] * bool(title) + [("outlink", x) for x in absolute(uri, links)]
     data = "".join(f"{k}: {_line(v)}\r\n" for k, v in fields).encode()
-    linked = [("WARC-Date", date)] * bool(date) + [("WARC-Target-URI", uri)] * bool(uri) + [("WARC-Refers-To", rid)]
+    linked = [("WARC-Date", date)] + [("WARC-Target-URI", uri)] * bool(uri) + [("WARC-Refers-To", rid)]
     kept = [(f"WARC-Source-{k[5:]}", source.get(k) or v) for k, v in own.items()]
 
     def record(what: str, content: str, block: bytes):
@@ -212,44 +213,112 @@ def to_bytes(headers: list[tuple[str, str]], block: bytes, version: str = "WARC/
     return f"{version}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a WARC file, plain or gzipped; stops where it is broken."""
-    data, at = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+def inflated(data: bytes, piece: int = 4 << 20) -> Iterator[bytes]:
+    """What a file holds, piece by piece: gzip members one after the other, or as it is; ends where a member is broken or cut off."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at = 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        unpack, fed = zlib.decompressobj(31), memoryview(data)[at:]
+        try:
+            while not unpack.eof:
+                # a little at a time, as what follows the member is copied
+                fresh = b"" if unpack.unconsumed_tail else fed[: min(piece, 1 << 16)].tobytes()
+                fed = fed[len(fresh) :]
+                part = unpack.decompress(unpack.unconsumed_tail or fresh, piece)
+                if part:
+                    yield part
+                elif not fresh and not unpack.unconsumed_tail and not unpack.eof:
+                    return  # cut off
+        except zlib.error:
             return
+        at = len(data) - len(unpack.unused_data) - len(fed)
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of a WARC file, plain or gzipped; stops where it is broken.
+
+    A gzipped file is unpacked record by record, so no more than a record
+    and a piece of it are unpacked at once. A record that is cut off is left out.
+    """
+    parts, held, at = inflated(data), b"", 0
+
+    def more() -> bool:
+        nonlocal held, at
+        part = next(parts, None)
+        if part is not None:
+            held, at = held[at:] + part if at < len(held) else part, 0
+        return part is not None
+
+    while True:
+        while (start := held.find(b"WARC/", at)) < 0 or (end := held.find(b"\r\n\r\n", start)) < 0:
+            at = start if start >= 0 else max(at, len(held) - 4)
+            if not more():
+                return
         headers = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in held[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             headers[name.strip()] = value.strip()
-        try:
-            size = int(headers.get("Content-Length", ""))
-        except ValueError:
+        said = headers.get("Content-Length", "")
+        if not (said.isascii() and said.isdigit()):
             return
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        size, at = int(said), end + 4
+        if len(held) - at < size:
+            # a long block is put together once
+            block = [held[at:]]
+            missing = size - len(block[0])
+            while missing > 0:
+                if (part := next(parts, None)) is None:
+                    return
+                block.append(part)
+                missing -= len(part)
+            held, at = block[-1], len(block[-1]) + missing
+            whole = b"".join(block)
+            yield headers, whole[:size] if missing else whole
+        else:
+            yield headers, held[at : at + size]
+            at += size
 
 
 HEADERS = "map<string, string>"
+#: Date of a record whose response has none that is valid; the format demands one, and reruns must agree.
+UNKNOWN = "1970-01-01T00:00:00Z"
+DATE = re.compile(r"\d{4}(-\d\d(-\d\d(T\d\d:\d\d(:\d\d(\.\d{1,9})?)?Z)?)?)?")
+#: Bytes of blocks in one Arrow batch; a longer block stands alone.
+BATCH = 8 << 20
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files below ``path``: headers and block. A file is read by one task."""
+    """Response records of WARC files below ``path``: headers and block.
+
+    A file is read by one task, which holds its bytes as they are stored and
+    unpacks a record at a time. What follows a break in a file is left out.
+    """
+
+    def batch(found: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([list(h.items()) for h, _ in found], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in found], pa.binary())], ["headers", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for content in x.column(0):
+                found, size = [], 0
                 for headers, block in parse(content.as_py()):
                     if headers.get("WARC-Type") == "response":
-                        yield pa.record_batch([pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block])], ["headers", "block"])
+                        found.append((headers, block))
+                        size += len(block)
+                        if size >= BATCH:
+                            yield batch(found)
+                            found, size = [], 0
+                if found:
+                    yield batch(found)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, f"headers {HEADERS}, block binary")
 
 
-def responses(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", date: str = "") -> DataFrame:
-    """``pages`` as responses, with the id column kept: headers and block as a server would have sent them."""
+def responses(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", date: str = UNKNOWN) -> DataFrame:
+    """``pages`` as responses, with the id column kept: headers and block as a server would have sent them; ``date`` is when they were fetched."""
     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     said, url = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))
     block = F.encode(F.concat(F.lit(head), said), "UTF-8")

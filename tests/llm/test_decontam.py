@@ -87,3 +87,26 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert decontam.overlaps(docs, one.withColumnRenamed("doc_id", "item_id")).count() == 0
     assert got(decontam.overlaps(one, items)) == [(1, 2, [], [])]
+
+
+def test_blocks_keep_their_bound_and_cut_long_items(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(900)}" for _ in range(3000))
+    items = [("long", long), ("short", "only four words here"), (None, "a b c d e f g h i j k l m n"), ("none", "  "), ("twice", long[:400]), ("twice", long[:400])]
+    own = spark.createDataFrame([(i, t.encode()) for i, t in items], "item_id string, text binary")
+    each = 4 * 13 + decontam.OWNER
+    parts = list(decontam.blocks(own, 13, 20_000))
+    sizes = [sum(max(1, len(t.split()) - 12) * each for _, t in p) for p in parts]
+    assert len(parts) > 5 and max(sizes) <= 20_000
+    cut = lambda texts: {(i, tuple(w[k : k + 13])) for i, t in texts for w in [t.split()] for k in range(max(1, len(w) - 12)) if w}
+    assert cut((i, t) for p in parts for i, t in p) == cut((i, t.encode()) for i, t in items)
+    # what is held takes about what was reckoned
+    block = decontam.Block.build(parts[0], 13)
+    held = sum(w.nbytes for w in block.windows.values()) + sum(e.nbytes + o.nbytes for e, o in block.owners.values())
+    assert held <= sizes[0]
+    words = long.split()
+    docs = [(1, " ".join(words[500:900])), (2, "x " + " ".join(words[1000:1013])), (3, " ".join(words[1000:1012])), (4, "Only, four words HERE."), (5, None), (6, "a b c d e f g h i j k l m n")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    whole = got(decontam.overlaps(d, b, carry=["doc_id"]))
+    assert whole == got(decontam.overlaps(d, b, carry=["doc_id"], block_bytes=20_000))
+    assert [(r[0], r[1], r[3]) for r in whole] == [(1, 400, ["long"]), (2, 14, ["long"]), (3, 12, []), (4, 4, ["short"]), (5, 0, []), (6, 14, [])]

@@ -8,14 +8,17 @@ shingle: only that is joined. A meeting fixes where the window must begin; it
 must lie within the document (length and positional bound), and then all
 its words are compared.
 
-The windows are broadcast in blocks of items of at most ``block_bytes`` of
-text; each block is one pass over the documents, without any shuffle.
+The windows are broadcast in blocks of at most ``block_bytes`` of windows and
+owners, as they are held; items are cut in pieces first, so a long one may lie
+in several blocks. A block is one pass over the documents for the counts and
+one for the search, without any shuffle of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,71 +27,94 @@ from pyspark.sql import functions as F
 
 from treelens.session import Shared
 
-from .common import alnum_words, as_bytes, by_bytes, col, row_of, text_key, tidy, unpacked, with_fields, word_ids, written
+from .common import alnum_words, as_bytes, by_bytes, col, discard, row_of, text_key, tidy, unpacked, with_fields, word_ids, written
 
 SPANS = "array<struct<start: long, end: long>>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 22
+#: Bytes that a window takes beside its words.
+OWNER = 12
 #: Word count of a text as a pattern; the same words as alnum_words.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _hash(ids: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` word numbers; meaningless where one is -1."""
-    n = len(ids) - size + 1
-    out = np.full(max(n, 0), size, np.uint64)
-    x = ids.astype(np.uint64)
+    """A hash of each run of ``size`` word numbers (in each row, if there are rows); meaningless where one is -1."""
+    n = ids.shape[-1] - size + 1
+    out = np.full((*ids.shape[:-1], max(n, 0)), size, np.uint64)
     for j in range(size if n > 0 else 0):
-        out = (out ^ x[j : j + n]) * MIX
+        out = (out ^ ids[..., j : j + n].astype(np.uint64)) * MIX
         out ^= out >> np.uint64(29)
     return out
 
 
+def _sought(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, where each begins in the sorted ones, how often it is there, and a bit filter before the search."""
+    hashes, first, count = np.unique(hashes, return_index=True, return_counts=True)
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[hashes >> np.uint64(64 - FILTER_BITS)] = True
+    return hashes, first, count, bits
+
+
 @dataclass
 class Block:
     """Windows of some items: word numbers by length, owners, and the shingles to look for."""
 
     vocab: dict[bytes, int]
+    items: list[str]
     windows: dict[int, np.ndarray]  # by length: a row of word numbers each
-    owners: dict[int, list[list[str]]]  # items of each window
-    shingle: int
-    found: dict[int, tuple] | None = None  # by shingle size: what to look for
+    owners: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: where the items of each window begin, and their numbers
+    found: dict[int, tuple]  # by shingle size: what to look for
 
     @classmethod
-    def build(cls, items: list[tuple[str | None, bytes | None]], window: int, shingle: int) -> Block:
+    def build(cls, items: list[tuple[str | None, bytes | None]], window: int) -> Block:
         vocab: dict[bytes, int] = {}
-        seen: dict[tuple, set] = {}
+        names: dict[str, int] = {}
+        rows: dict[int, list] = {}
         for item, text in items:
-            ids = [vocab.setdefault(w, len(vocab)) for w in alnum_words(text)]
+            ids = np.array([vocab.setdefault(w, len(vocab)) for w in alnum_words(text)], np.int32)
             size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                seen.setdefault(tuple(ids[i : i + size]), set()).update([item] if item is not None else [])
+            if size:
+                own = -1 if item is None else names.setdefault(item, len(names))
+                rows.setdefault(size, []).append((np.lib.stride_tricks.sliding_window_view(ids, size), own))
         windows, owners = {}, {}
-        for size in sorted({len(w) for w in seen}):
-            own = [w for w in seen if len(w) == size]
-            windows[size], owners[size] = np.array(own, np.int32), [sorted(seen[w]) for w in own]
-        return cls(vocab, windows, owners, shingle)
-
-    def shingles(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By shingle size: hash, window length, window and offset of every shingle of every window."""
-        out: dict[int, list] = {}
-        for length, rows in self.windows.items():
-            size = min(self.shingle, length)
-            per = length - size + 1
-            hashes = np.stack([_hash(rows[:, o : o + size].ravel(), size)[::size] for o in range(per)], axis=1)
-            at = np.indices(hashes.shape)
-            out.setdefault(size, []).append((hashes.ravel(), np.full(hashes.size, length), at[0].ravel(), at[1].ravel()))
-        return {s: tuple(np.concatenate(c) for c in zip(*parts)) for s, parts in out.items()}
-
-    def look_for(self, chosen: dict[int, tuple]) -> None:
-        """Sort what to look for by hash, with a bit filter before the search."""
-        self.found = {}
-        for size, cols in chosen.items():
-            order = np.argsort(cols[0], kind="stable")
-            hashes, first, count = np.unique(cols[0][order], return_index=True, return_counts=True)
-            bits = np.zeros(1 << FILTER_BITS, bool)
-            bits[hashes >> np.uint64(64 - FILTER_BITS)] = True
-            self.found[size] = (hashes, first, count, bits, *[c[order] for c in cols[1:]])
+        for size in sorted(rows):
+            every = np.concatenate([w for w, _ in rows[size]])
+            own = np.repeat(np.array([o for _, o in rows[size]], np.int64), [len(w) for w, _ in rows.pop(size)])
+            _, first, which = np.unique(every.view(f"V{4 * size}").ravel(), return_index=True, return_inverse=True)
+            windows[size] = every[first]
+            pairs = np.unique(which[own >= 0] * np.int64(max(1, len(names))) + own[own >= 0])
+            edge = np.searchsorted(pairs // max(1, len(names)), np.arange(len(first) + 1))
+            owners[size] = edge, (pairs % max(1, len(names))).astype(np.int32)
+        return cls(vocab, list(names), windows, owners, {})
+
+    def owned_by(self, length: int, window: int) -> list[str]:
+        edge, items = self.owners[length]
+        return [self.items[i] for i in items[edge[window] : edge[window + 1]].tolist()]
+
+    def shingles(self, shingle: int) -> dict[int, np.ndarray]:
+        """By length of windows: the hash of every shingle of every window."""
+        return {length: _hash(rows, min(shingle, length)) for length, rows in self.windows.items()}
+
+    def counter(self, shingle: int) -> Block:
+        """What is needed to count all shingles: no windows, no owners."""
+        by_size: dict[int, list] = {}
+        for length, h in self.shingles(shingle).items():
+            by_size.setdefault(min(shingle, length), []).append(h.ravel())
+        return Block(self.vocab, [], {}, {}, {s: _sought(np.concatenate(h)) for s, h in by_size.items()})
+
+    def look_for(self, shingle: int, hashes: dict[int, np.ndarray], counts: dict[int, np.ndarray]) -> None:
+        """Look for the rarest shingle of each window, by the counts of the distinct ``hashes`` of each size."""
+        parts: dict[int, list] = {}
+        for length, h in self.shingles(shingle).items():
+            size = min(shingle, length)
+            at = counts[size][np.searchsorted(hashes[size], h)].argmin(axis=1)
+            row = np.arange(len(h))
+            parts.setdefault(size, []).append((h[row, at], np.full(len(h), length, np.int32), row.astype(np.int32), at.astype(np.int32)))
+        for size, some in parts.items():
+            h, *rest = (np.concatenate(c) for c in zip(*some))
+            order = np.argsort(h, kind="stable")
+            self.found[size] = (*_sought(h[order]), *[c[order] for c in rest])
 
     def meetings(self, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``ids`` of shingles to look for, and their numbers."""
@@ -158,24 +184,51 @@ def _count(docs: DataFrame, block, size_of: dict[int, int]) -> dict[int, np.ndar
 def prepare(docs: DataFrame, items: list[tuple[str | None, bytes | None]], window: int, shingle: int):
     """A broadcast block of ``items`` with the rarest shingle of each window to look for; None without windows."""
     spark = docs.sparkSession
-    block = Block.build(items, window, shingle)
+    block = Block.build(items, window)
     if not block.windows:
         return None
-    every = block.shingles()
-    block.look_for(every)
-    shared = Shared(spark, block)
-    rare = _count(docs, shared, {s: len(f[0]) for s, f in block.found.items()})
-    chosen = {}
-    for size, (h, length, row, offset) in every.items():
-        n = rare[size][np.searchsorted(block.found[size][0], h)]
-        order = np.lexsort((offset, h, n, row, length))
-        first = order[np.r_[True, (np.diff(row[order]) != 0) | (np.diff(length[order]) != 0)]]
-        chosen[size] = (h[first], length[first], row[first], offset[first])
-    block.look_for(chosen)
+    counter = block.counter(shingle)
+    shared = Shared(spark, counter)
+    hashes = {s: f[0] for s, f in counter.found.items()}
+    block.look_for(shingle, hashes, _count(docs, shared, {s: len(h) for s, h in hashes.items()}))
     shared.unpersist()
     return Shared(spark, block)
 
 
+def pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """item_id, text and size (bytes of its windows and owners) of ``items`` in pieces of at most ``most`` windows, each window in one; distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for item, text in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
+                words = alnum_words(text)
+                out = [words[i : i + most + window - 1] for i in range(0, max(1, len(words) - window + 1), most)] if words else []
+                size = [max(1, len(w) - window + 1) * (4 * window + OWNER) for w in out]
+                yield pa.record_batch([pa.array([item] * len(out), pa.string()), pa.array([b" ".join(w) for w in out], pa.binary()), pa.array(size, pa.int64())], ["item_id", "text", "size"])
+
+    return items.mapInArrow(run, "item_id string, text binary, size long").distinct()
+
+
+def blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The pieces of ``items`` in lists whose windows take at most ``block_bytes``, or are one bucket of pieces."""
+    cut = pieces(items, window, max(window, block_bytes // (16 * (4 * window + OWNER))))
+    total = cut.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if total <= block_bytes:
+        yield [(r.item_id, bytes(r.text)) for r in cut.select("item_id", "text").collect()]
+        return
+    n = min(1 << 16, max(64, 64 * total // block_bytes))
+    cut = written(cut.withColumn("bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "windows")
+    sizes = cut.groupBy("bucket").agg(F.sum("size").alias("size")).orderBy("bucket").collect()  # at most 65,536 rows
+    start, held = 0, 0
+    for i, r in enumerate([*sizes, None]):
+        if r is None or (held and held + r["size"] > block_bytes):
+            part = cut.where(F.col("bucket").between(sizes[start]["bucket"], sizes[i - 1]["bucket"]))
+            yield [(x.item_id, bytes(x.text)) for x in part.select("item_id", "text").collect()]
+            start, held = i, 0
+        held += r["size"] if r else 0
+    discard(cut)
+
+
 def _spans(hit: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
     return [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
@@ -196,8 +249,7 @@ def _scan(rows: DataFrame, block, only_hits: bool) -> DataFrame:
                 for start, length, window in b.match(ids, edge[:-1][doc], edge[1:][doc]) if b else ():
                     np.add.at(turn, start, 1), np.add.at(turn, start + length, -1)
                     for d, w in set(zip(doc[start].tolist(), window.tolist())):
-                        owners.setdefault(d, set()).update(b.owners[length][w])
-                        owners[d].discard(None)
+                        owners.setdefault(d, set()).update(b.owned_by(length, w))
                 hit = np.cumsum(turn[:-1]) > 0
                 touched = np.zeros(len(n), bool)
                 touched[doc[hit]] = True
@@ -244,16 +296,14 @@ def overlaps(docs: DataFrame, items: DataFrame, carry: list[str] | None = None,
     rows = docs.select(col(text_col).cast("string").alias("text"), row_of(carry))
     texts = rows.select("text")
     own = items.select(F.col("item_id").cast("string").alias("item_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    total = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // block_bytes))
-    if parts == 1:
-        block = prepare(texts, [(r.item_id, bytes(r.text or b"")) for r in own.collect()], window, shingle)
-        return _scan(rows, block, False).select(*unpacked(carry), *new)
+    some = blocks(own, window, block_bytes)
+    first, second = next(some), next(some, None)
+    if second is None:
+        return _scan(rows, prepare(texts, first, window, shingle), False).select(*unpacked(carry), *new)
     passes = []
     keyed = rows.select("text", *text_key(F.col("text")))
-    for k in range(parts):
-        part = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        block = prepare(texts, [(r.item_id, bytes(r.text or b"")) for r in part], window, shingle)
+    for part in chain([first, second], some):
+        block = prepare(texts, part, window, shingle)
         if block is not None:
             passes.append(written(_scan(keyed, block, True).dropDuplicates(["_k1", "_k2"]), "decontam"))
             block.unpersist()

@@ -37,6 +37,8 @@ HEX = "[0-9A-Fa-f]{1,4}"
 KEYWORD = "(?i:password|passwd|token|secret|api_?key)"
 #: What a secret after a keyword consists of; one below eight characters has a digit.
 SECRET = r"[A-Za-z0-9_\-@!#$%^*+/~]"
+#: A signed token: two or three parts in base64, the first an object.
+SIGNED = r"eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]{4,}+){1,2}"
 #: In the order in which they are tried at a place of the text.
 PATTERNS = {
     "email": rf"(?<![{ALNUM}._%+\-])[{ALNUM}._%+\-]++@[{ALNUM}\-]++(?:\.[{ALNUM}\-]++)*(?<=\.[{LETTER}]{{2,24}})",
@@ -47,14 +49,14 @@ PATTERNS = {
     # sixteen, fifteen and fourteen digits as they are printed on cards, then any; not with a short number before them
     "card": rf"(?<![{ALNUM}])(?:[0-9]{{4}}(?:[ \-]?[0-9]{{4}}){{3}}|[0-9]{{4}}[ \-]?[0-9]{{6}}[ \-]?[0-9]{{4,5}}|(?![0-9]{{1,3}}[ \-](?:[0-9]{{4}}[ \-]?){{3}}[0-9])[0-9](?:[ \-]?[0-9]){{12,18}})(?![{ALNUM}])",
     "ssn": rf"(?<![{ALNUM}])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![{ALNUM}])",
-    "phone": rf"(?<![{ALNUM}+])\+?[0-9]{{1,3}}[ .\-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})[ .\-]?[0-9]{{3,4}}[ .\-][0-9]{{3,4}}(?![{ALNUM}])",
+    "phone": rf"(?<![{ALNUM}+])(?:\+?[0-9]{{1,3}}[ .\-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})[ .\-]?[0-9]{{3,4}}[ .\-][0-9]{{3,4}}|\([0-9]{{3}}\)[ .\-]?[0-9]{{3}}[ .\-][0-9]{{4}})(?![{ALNUM}])",
     # one character is looked back at first, as few places follow a keyword
-    "secret": rf"(?<=[=: \"'])(?<={KEYWORD}[ ]{{0,3}}[=:][ ]{{0,3}}[\"']?)(?:{SECRET}{{8,}}+|(?={SECRET}{{0,6}}[0-9]){SECRET}{{6,7}}+)|(?<![{ALNUM}])AKIA[0-9A-Z]{{16}}(?![{ALNUM}])",
+    "secret": rf"(?<![{ALNUM}]){SIGNED}(?![{ALNUM}])|(?<=[=:： \"'])(?<={KEYWORD}[ ]{{0,3}}[=:：][ ]{{0,3}}[\"']?)(?:{SECRET}{{8,}}+|(?={SECRET}{{0,6}}[0-9]){SECRET}{{6,7}}+)|(?<![{ALNUM}])AKIA[0-9A-Z]{{16}}(?![{ALNUM}])",
     "person": rf"(?<![{ALNUM}])(?:{TITLE})\.? \p{{Lu}}[{LETTER}'’\-]+(?: \p{{Lu}}[{LETTER}'’\-]+){{0,2}}",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: What a text without any of these cannot hold.
-HINT = rf"[0-9]|@|{KEYWORD}|AKIA|(?:{TITLE})\.? "
+HINT = rf"[0-9]|@|{KEYWORD}|AKIA|eyJ|(?:{TITLE})\.? "
 #: Names by gender and script (fixed values); others are made of syllables or letters.
 GIVEN = {
     "m": {"latin": "Adam Brian Carl David Edgar Felix Gerald Henry Isaac Jonas Kevin Lukas Martin Noel Oscar Peter Quentin Robert Simon Thomas Ulrich Victor Walter Xavier", "cyrillic": "Андрей Борис Виктор Григорий Дмитрий Егор Игорь Кирилл Леонид Максим Никита Олег Павел Роман Сергей Тимур", "greek": "Ανδρέας Βασίλης Γιώργος Δημήτρης Κώστας Λεωνίδας Νίκος Πέτρος Σταύρος Χρήστος"},
@@ -115,7 +117,7 @@ def kind(mention: Column) -> Column:
     digits = F.regexp_replace(mention, "[^0-9]", "")
     octets = F.forall(F.split(mention, r"\."), lambda o: F.coalesce(o.try_cast("int"), F.lit(999)) <= 255)
     # long runs of digits are cards that fail the checksum
-    out = F.when(mention.rlike(rf"^{SECRET}{{6,}}$") & ~(mention.rlike(r"^[0-9][0-9\-]*$") & (F.length(digits) >= 13)), "secret")
+    out = F.when(mention.rlike(rf"^(?:{SECRET}{{6,}}|{SIGNED})$") & ~(mention.rlike(r"^[0-9][0-9\-]*$") & (F.length(digits) >= 13)), "secret")
     found = {
         "ip6": mention.rlike("^" + PATTERNS["ip6"] + "$"),
         "person": mention.rlike(rf"^(?:{TITLE})\.? \p{{Lu}}"),
@@ -219,7 +221,10 @@ def _drawn(st: Column, kind: Column, norm: Column, draw: Column) -> Column:
     ip = F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
     phone = _digits(st, norm, F.greatest(F.lit(0), F.length(norm) - 10))
     hexed = F.array_join(F.transform(chars(norm), lambda c, i: _pick(st, i, "0123456789abcdef")), "")
-    upper = F.array_join(F.transform(chars(norm), lambda c, i: F.when((i < 4) & norm.startswith("AKIA"), c).when(c.rlike("^[A-Z0-9]$"), _pick(st, i, string.ascii_uppercase + "234567")).when(c.rlike("^[a-z]$"), _pick(st, i, ALPHABET["latin"])).otherwise(c)), "")
+    # a character stays in its class, but for access keys, whose alphabet has both
+    access = norm.startswith("AKIA") & (F.length(norm) == 20)
+    mixed = lambda c, i: F.when(access & (i < 4), c).when(access, _pick(st, i, string.ascii_uppercase + "234567")).when(c.rlike("^[0-9]$"), _pick(st, i, string.digits)).when(c.rlike("^[A-Z]$"), _pick(st, i, string.ascii_uppercase)).when(c.rlike("^[a-z]$"), _pick(st, i, ALPHABET["latin"])).otherwise(c)
+    upper = F.array_join(F.transform(chars(norm), mixed), "")
     # a short secret or name of an address has few of its like: each draw after the fourth makes it a letter longer
     longer = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), draw - 5)), lambda k: F.when(draw > 4, _pick(st, k % 12, ALPHABET["latin"])).otherwise("")), "")
     secret = F.concat(F.when(norm.rlike("^[0-9]+$"), _digits(st, norm, F.lit(0))).when(norm.rlike("^[0-9a-f]+$"), hexed).otherwise(upper), longer)

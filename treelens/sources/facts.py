@@ -7,6 +7,7 @@ Sources are not in it; they are parsed file by file. Every fact is a row
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ CONFIGURATION = (
 #: Sources whose text the plugins for decorated functions look into.
 DECORATED = r"(?m)^\s*@\w[\w.]*(\.(route|get|post|put|delete|patch)\(|shared_task|\.task\b)|^\s*@shared_task\b"
 SCHEMA = "project string, fact string, seq int, value string"
+#: Facts, about, that a task gives out at a time.
+BATCH = 10000
 
 #: The fields of each fact.
 PROJECT = "library boolean, production boolean, layout string, minor int, floor string, name string, has_lock boolean, has_members boolean, can_add boolean"
@@ -73,10 +76,9 @@ def facts(root: Folder, production: bool | None = None, confidence: str | None =
     for _, binary, file, line in x.hints.binaries:
         yield "binary", {"binary": binary, "file": file, "line": line}
     if x.hints.globs:
-        from treelens.functions.globs import match
-
+        loaded = re.compile(any_glob(x.hints.globs), re.S)
         for p in x.paths:
-            if match(p, x.hints.globs):
+            if loaded.match(p):
                 yield "framework", {"path": p}
     for d in plan.declared_rows(x):
         yield "declared", dict(zip([f.split()[0].strip("`") for f in DECLARED.split(", ")], d))
@@ -111,22 +113,44 @@ def facts(root: Folder, production: bool | None = None, confidence: str | None =
 
 
 def of_projects(files: DataFrame, production: bool | None = None, confidence: str | None = None) -> DataFrame:
-    """The facts of every project of ``files`` (project, path, content); a single ``error`` where a configuration cannot be used."""
-    import pandas as pd
+    """The facts of every project of ``files`` (project, path, content); a single ``error`` where a configuration cannot be used.
+
+    A task has its projects one after the other, as a group for each would cost more than what is done in it.
+    """
+    import pyarrow as pa
 
-    def group(x: pd.DataFrame) -> pd.DataFrame:
-        project = x.project.iloc[0]
-        held = {p: bytes(c) if c is not None else None for p, c in zip(x.path, x.content)}
+    def told(project: str, held: dict[str, bytes | None]) -> list[tuple]:
         try:
             found = list(facts(Folder(held), production, confidence))
         except ValueError as e:
             found = [("error", {"message": str(e)})]
-        rows = [(project, fact, i, json.dumps(value)) for i, (fact, value) in enumerate(found)]
-        return pd.DataFrame(rows, columns=["project", "fact", "seq", "value"])
-
-    told = F.col("path").rlike(CONFIGURATION) | (F.col("path").endswith(".py") & F.decode("content", "UTF-8").rlike(DECORATED))
-    names = files.select("project", "path", F.when(told, F.col("content")).alias("content"))
-    return names.where("project is not null and path is not null").groupBy("project").applyInPandas(group, SCHEMA)
+        return [(project, fact, i, json.dumps(value)) for i, (fact, value) in enumerate(found)]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.string(), pa.int32(), pa.string())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["project", "fact", "seq", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, held, out = None, {}, []
+        for x in batches:
+            for at, path, content in zip(*(c.to_pylist() for c in x.columns)):
+                if held and at != project:
+                    out += told(project, held)
+                    held = {}
+                    if len(out) >= BATCH:
+                        yield batch(out)
+                        out = []
+                project = at
+                held[path] = bytes(content) if content is not None else None
+        if held:
+            out += told(project, held)
+        if out:
+            yield batch(out)
+
+    wanted = F.col("path").rlike(CONFIGURATION) | (F.col("path").endswith(".py") & F.decode("content", "UTF-8").rlike(DECORATED))
+    names = files.select("project", "path", F.when(wanted, F.col("content")).alias("content"))
+    dealt = names.where("project is not null and path is not null").repartition("project").sortWithinPartitions("project", "path")
+    return dealt.mapInArrow(run, SCHEMA)
 
 
 def relation(found: DataFrame, fact: str, fields: str) -> DataFrame:

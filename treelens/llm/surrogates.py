@@ -11,6 +11,8 @@ given names keep their gender.
 All distinct units of the corpus are checked: a surrogate that two units
 share, or that is itself a unit of the corpus, is drawn again for all but one of them,
 until none is left. First draws need no lookup; only units drawn again do.
+A text is searched twice: once for its mentions, which are written with its key,
+and once when it is changed.
 """
 
 from __future__ import annotations
@@ -260,10 +262,17 @@ def mentions(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def drawn_again(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame | None:
-    """Units (kind, norm) whose first draw collides, and the draw that does not; None if there are none."""
-    text = F.col(f"`{text_col}`").cast("string")
-    found = docs.select(F.explode(mentions(text)).alias("m")).groupBy("m").agg(F.lit(1)).select(F.explode(units(F.col("m"))).alias("u"))
+def found_mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Key and mentions (m) of the text of each row, written: what asks for them before the texts are changed searches no text again."""
+    text = col(text_col).cast("string")
+    # no filter here, as one would be pushed below and search each text a second time
+    return written(docs.select(*text_key(text), mentions(text).alias("m")), "mentions").where(F.size("m") > 0)
+
+
+def drawn_again(docs: DataFrame, key: str, text_col: str = "text", found: DataFrame | None = None) -> DataFrame | None:
+    """Units (kind, norm) whose first draw collides, and the draw that does not; None if there are none. ``found``: what ``found_mentions`` gave."""
+    found = found_mentions(docs, text_col) if found is None else found
+    found = found.select(F.explode("m").alias("m")).groupBy("m").agg(F.lit(1)).select(F.explode(units(F.col("m"))).alias("u"))
     found = found.where("u.kind is not null").select("u.kind", normal(F.col("u.kind"), F.col("u.raw")).alias("norm"))
     # gender has no part in telling names apart
     space = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind")).alias("space")
@@ -296,12 +305,13 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     they are to the character. The same key gives the same surrogates
     for the same corpus. Columns of the new names give way; repeated rows stay.
     """
-    again = drawn_again(docs, key, text_col)
+    found = found_mentions(docs, text_col)
+    again = drawn_again(docs, key, text_col, found)
     names = [c for c in docs.columns if c not in ("n_replaced", "entities")]
     rows = docs.select(row_of([c for c in names if c != text_col]), col(text_col).cast("string").alias("text")).withColumn("m", mentions(F.col("text")))
     if again is not None:
         # by text: what of it was drawn again
-        met = rows.select(*text_key(F.col("text")), F.explode("m").alias("m")).distinct().select("_k1", "_k2", F.explode(units(F.col("m"))).alias("u")).where("u.kind is not null")
+        met = found.select("_k1", "_k2", F.explode("m").alias("m")).distinct().select("_k1", "_k2", F.explode(units(F.col("m"))).alias("u")).where("u.kind is not null")
         met = met.select("_k1", "_k2", "u.kind", normal(F.col("u.kind"), F.col("u.raw")).alias("norm")).distinct().join(again, ["kind", "norm"])
         met = met.groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "norm"), "draw"))).alias("again"))
         rows = rows.select("*", *text_key(F.col("text"))).join(written(met, "redrawn-texts"), ["_k1", "_k2"], "left")
@@ -319,7 +329,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     rows = rows.withColumn("all", F.transform("m", one))
     put = F.array_join(F.zip_with(F.split("text", ENTITY, -1), F.col("all"), lambda b, e: F.concat(b, F.coalesce(e["surrogate"], F.lit("")))), "")
     changed = F.when(F.size("m") > 0, put).otherwise(F.col("text"))
-    found = F.coalesce(F.filter("all", lambda e: e["kind"].isNotNull()), F.array().cast("array<struct<kind: string, surrogate: string>>"))
-    rows = rows.select("row", changed.alias("text"), found.alias("entities"))
+    told = F.coalesce(F.filter("all", lambda e: e["kind"].isNotNull()), F.array().cast("array<struct<kind: string, surrogate: string>>"))
+    rows = rows.select("row", changed.alias("text"), told.alias("entities"))
     own = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names]
     return rows.select(*own, F.size("entities").cast("long").alias("n_replaced"), "entities")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from treelens.session import Shared
 
-from .common import by_bytes, col, examples, labelled, pieces, remainder, row_of, tidy, unpacked, with_fields, written
+from .common import by_bytes, col, examples, give_back, labelled, pieces, remainder, row_of, tidy, unpacked, with_fields, written
 
 WORD = re.compile(r"\w+")
 #: The same words of ASCII text: letters become small, what is in no word becomes a space.
@@ -48,6 +48,8 @@ SIDE_BY_SIDE = 8
 FREQUENT, TOGETHER = 1536, 256
 #: Above the error of sums in single precision, which only choose what is summed in double.
 MARGIN = 1e-5
+#: Terms of examples, about, that the fit works on at once.
+PART = 1 << 18
 Vector = tuple[np.ndarray, np.ndarray]
 
 
@@ -77,14 +79,21 @@ class Vocabulary:
     """All terms by id; ``table`` has for each the ids that a word with it counts for: its own and those of its beginnings, or -1."""
 
     def __init__(self, names: list[str], table: np.ndarray | None = None):
-        self.names, self.table = names, table
-        self.ids = Terms((t, i) for i, t in enumerate(names))
+        self.names, self.table, self._ids = names, table, None
         if table is None:
             get, n = self.ids.get, len(names)
             self.table = np.full((n + 1, 1 + len(PREFIXES)), -1, np.int32)
             self.table[:-1, 0] = np.fromiter((-1 if t[0] == "^" else i for i, t in enumerate(names)), np.int32, n)
             for column, k in enumerate(PREFIXES, 1):
                 self.table[:-1, column] = np.fromiter((-1 if len(t) <= k else get(t[: k + 1] if t[0] == "^" else "^" + t[:k], -1) for t in names), np.int32, n)
+            self._ids = None
+
+    @property
+    def ids(self) -> Terms:
+        """Ids by term, made where they are looked up: the driver needs them for the table only."""
+        if self._ids is None:
+            self._ids = Terms((t, i) for i, t in enumerate(self.names))
+        return self._ids
 
     def __reduce__(self):
         return _vocabulary, ("\n".join(self.names), self.table)
@@ -116,7 +125,11 @@ def _vocabulary(names: str, table: np.ndarray) -> Vocabulary:
 
 def dependence(term: np.ndarray, label: np.ndarray, n_terms: int, pos: int, neg: int) -> np.ndarray:
     """How many standard errors the log odds of each term between the labels are from 0; ``term`` and ``label`` go over the terms of all examples."""
-    a, b = (np.bincount(term, label == y, n_terms) + 0.5 for y in (1, 0))
+    a, b = np.full(n_terms, 0.5), np.full(n_terms, 0.5)
+    for i in range(0, len(term), PART):
+        t, y = term[i : i + PART], label[i : i + PART] == 1
+        a += np.bincount(t[y], minlength=n_terms)
+        b += np.bincount(t[~y], minlength=n_terms)
     return np.abs(np.log(a / (pos + 1)) - np.log(b / (neg + 1))) / np.sqrt(1 / a + 1 / b)
 
 
@@ -126,6 +139,18 @@ def weights(ids: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarr
     return w / np.sqrt(w @ w) if len(w) else w
 
 
+def _by_example(edge: np.ndarray, term: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """``weights`` of the examples from edge[i] to edge[i + 1], in single precision; about PART terms are held in double at once."""
+    out, i = np.empty(len(term), np.float32), 0
+    while i < len(edge) - 1:
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + PART, side="right")) - 1)
+        at, row = slice(edge[i], edge[j]), np.repeat(np.arange(j - i), np.diff(edge[i : j + 1]))
+        w = (1 + np.log(counts[at])) * weight[term[at]]
+        out[at] = w / np.sqrt(np.bincount(row, w * w, j - i))[row]
+        i = j
+    return out
+
+
 def _unpacked(posting: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries and weights of postings (the bits of the weight come first in memory)."""
     return posting >> 32, posting.view(np.float32)[::2]
@@ -151,7 +176,7 @@ class BlockMaxIndex:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, edge: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, frequent: int = FREQUENT):
         """``term`` and ``weight`` of example i are those from edge[i] to edge[i + 1]."""
-        weight = weight.astype(np.float32)
+        weight = weight.astype(np.float32, copy=False)
         same: dict[bytes, list[int]] = {}
         for i in np.argsort(ids, kind="stable").tolist():
             at = slice(edge[i], edge[i + 1])
@@ -159,7 +184,8 @@ class BlockMaxIndex:
         one = np.array([of[0] for of in same.values()], np.int64)
         length = edge[one + 1] - edge[one]
         at, row = _ranges(edge[one], length, np.arange(len(one), dtype=np.int32))
-        term, weight = term[at].astype(np.int32), weight[at]
+        term, weight = term[at].astype(np.int32, copy=False), weight[at]
+        del at
         posted = np.bincount(term, minlength=n_terms)
         often = np.argsort(-posted, kind="stable")[:frequent]
         often = often[posted[often] > 1]
@@ -180,9 +206,13 @@ class BlockMaxIndex:
         self.ids, self.labels = ids[self.order], labels[self.order]
         self.blocks = max(1, -(-len(one) // BLOCK))
         row = place[row]
-        sort = np.argsort(term, kind="stable")
         # a posting is one number: its entry, and the bits of its weight
-        self.posting = (row[sort].astype(np.int64) << 32) | weight[sort].view(np.uint32)
+        self.posting = row.astype(np.int64)
+        del row
+        self.posting <<= 32
+        self.posting |= weight.view(np.uint32)
+        del weight
+        self.posting = self.posting[np.argsort(term, kind="stable")]
         self.of = np.r_[0, np.cumsum(posted)]
         self.dense = None
 
@@ -388,16 +418,16 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label: str =
     edge = np.r_[0, np.cumsum(pa.compute.list_value_length(found.column("ids")).to_numpy())].astype(np.int64)
     term, counts = (pa.compute.list_flatten(found.column(c)).to_numpy() for c in ("ids", "counts"))
     pos, neg, all_labels = int(ys.sum()), int((1 - ys).sum()), sum(n.values())
-    per_term = idf * (1 + dependence(term, np.repeat(ys, np.diff(edge)), len(idf), pos, neg))
-    weight = (1 + np.log(counts)) * per_term[term]
-    length = np.sqrt(np.bincount(np.repeat(np.arange(len(ids)), np.diff(edge)), weight * weight, len(ids)))
-    weight /= np.repeat(length, np.diff(edge))
+    per_term = idf * (1 + dependence(term, np.repeat(ys.astype(np.int8), np.diff(edge)), len(idf), pos, neg))
+    weight = _by_example(edge, term, counts, per_term)
     del found, counts
     index = BlockMaxIndex(ids, ys, edge, term, weight, len(vocabulary.names))
     del term, weight
+    give_back()
     stands = [n.get(y, 0) / max(h, 1) / max(all_labels, 1) * max(pos + neg, 1) for y, h in ((0, neg), (1, pos))]
     model = Model(vocabulary, idf, per_term, index, (stands[0], stands[1]), n.get(1, 0) / all_labels if all_labels else 0.0, k)
     model.calibrate(own)
+    give_back()
     return model
 
 
@@ -407,6 +437,7 @@ EVIDENCE = "array<struct<doc_id: long, label: int, similarity: double>>"
 def _scored(rows: DataFrame, model: Model, field: str | None, threshold: float) -> DataFrame:
     """``row`` of each row with score, predicted and evidence; the text is the column ``text``, or a field of ``row``."""
     shared = Shared(rows.sparkSession, model)
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -453,4 +484,7 @@ def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", thresho
         rows, field = docs.select(row_of(docs.columns)), text_col
     else:
         rows, field = docs.select(row_of(docs.columns), col(text_col).cast("string").alias("text")), None
-    return _scored(rows, model, field, threshold).where("predicted = 0").select(*unpacked(docs.columns))
+    out = _scored(rows, model, field, threshold)
+    del model
+    give_back()  # the executors have it by broadcast
+    return out.where("predicted = 0").select(*unpacked(docs.columns))

@@ -57,9 +57,18 @@ def glob_regex(glob: str, crosses: bool = True) -> str:
     return "".join(out)
 
 
+#: Expressions made before, by globs: most projects have the same ones.
+_MADE: dict[tuple, str] = {}
+
+
 def any_glob(globs: Iterable[str], crosses: bool = True) -> str:
     """One anchored expression for paths that any of the globs matches."""
-    return "^(?:" + "|".join(glob_regex(g, crosses) for g in globs) + ")$"
+    key = (*globs, crosses)
+    if key not in _MADE:
+        if len(_MADE) >= 1000:
+            _MADE.clear()
+        _MADE[key] = "^(?:" + "|".join(glob_regex(g, crosses) for g in key[:-1]) + ")$"
+    return _MADE[key]
 
 
 def literal_folder(glob: str) -> str:
@@ -101,6 +110,8 @@ class Gitignore:
 
     def ignored(self, path: str, is_dir: bool = False) -> bool:
         """Whether a path or a folder above it is ignored; the last rule that matches decides, and nothing below an ignored folder comes back."""
+        if not self.rules:
+            return False
         parts = path.split("/")
         for i in range(1, len(parts) + 1):
             at, folder = "/".join(parts[:i]), is_dir or i < len(parts)

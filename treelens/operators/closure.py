@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelens.session import Steps
+from treelens.session import Steps, saved, tasks, uncollected
 
 #: Plain levels before chains are contracted.
 PLAIN = 4
@@ -132,6 +132,78 @@ def reach(edges: DataFrame, seeds: DataFrame, order: list[Column] | None = None,
     return out
 
 
+#: Edges of one project that a task searches by itself; larger graphs go through ``reach``.
+WITHIN = 200_000
+
+
+def within(edges: DataFrame, seeds: DataFrame, most: int = WITHIN) -> DataFrame:
+    """project, node, depth and pred as ``reach`` finds them in the graph of each project, by least line.
+
+    edges: project, src, dst, line. seeds: project, node. No edge leads from
+    one project to another, so a task searches its small graphs one after the
+    other, with one shuffle for all levels. Projects with more than ``most``
+    edges are searched together, by rounds of joins.
+    """
+    import pyarrow as pa
+
+    names = ["project", "node", "depth", "pred"]
+    types = (pa.string(), pa.string(), pa.int32(), pa.string())
+
+    def search(project: str, ways: dict[str, list], found: dict[str, int]) -> list[tuple]:
+        preds: dict[str, tuple] = {}
+        front, depth = list(found), 0
+        while front:
+            depth += 1
+            met = []
+            for src in front:
+                for dst, known, line in ways.get(src, ()):
+                    if dst not in found:
+                        found[dst] = depth
+                        met.append(dst)
+                    if found[dst] == depth and (dst not in preds or (known, line, src) < preds[dst]):
+                        preds[dst] = (known, line, src)
+            front = met
+        return [(project, n, d, preds[n][2] if n in preds else None) for n, d in found.items()]
+
+    def run(batches):
+        def rows():
+            for b in batches:
+                yield from zip(*(c.to_pylist() for c in b.columns))
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+        out, project, ways, found = [], None, {}, {}
+        for at, src, dst, line in rows():
+            if at != project:
+                with uncollected():
+                    out += search(project, ways, found)
+                project, ways, found = at, {}, {}
+                if len(out) >= 10_000:
+                    yield batch(out)
+                    out = []
+            if src is None:
+                found[dst] = 0
+            else:
+                ways.setdefault(src, []).append((dst, line is not None, line or 0))
+        out += search(project, ways, found)
+        if out:
+            yield batch(out)
+
+    edges = edges.select("project", "src", "dst", F.col("line").cast("int").alias("line")).where("project is not null and src is not null and dst is not null")
+    seeds = seeds.select("project", "node").where("project is not null and node is not null")
+    large = saved(edges.groupBy("project").agg(F.count("*").alias("n")).where(F.col("n") > most).select("project"))
+    some = not large.isEmpty()
+    small_edges, small_seeds = (t.join(large, "project", "left_anti") if some else t for t in (edges, seeds))
+    told = small_edges.unionByName(small_seeds.select("project", F.lit(None).cast("string").alias("src"), F.col("node").alias("dst"), F.lit(None).cast("int").alias("line")))
+    out = told.repartition(tasks(edges.sparkSession), "project").sortWithinPartitions("project").mapInArrow(run, "project string, node string, depth int, pred string")
+    if not some:
+        return out
+    node = lambda c: nodes(["project", c])
+    rest = reach(edges.join(large, "project").select(node("src").alias("src"), node("dst").alias("dst"), "line"), seeds.join(large, "project").select(node("node").alias("node")), [F.col("line")])
+    return out.unionByName(rest.select(*of_node("node", ["project", "node"]), "depth", F.split("pred", PART, 2)[1].alias("pred")))
+
+
 def lifted(reached: DataFrame, steps: Steps) -> list[DataFrame]:
     """node and its 2**k-th predecessor, for k = 0, 1, ... as long as there is one."""
     tables = [steps.keep(reached.where("pred is not null").select("node", F.col("pred").alias("up")))]

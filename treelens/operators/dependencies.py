@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelens.operators.closure import nodes, of_node, reach
+from treelens.operators.closure import nodes, of_node, reach, within
 
 #: Kinds for development only.
 DEV = ("group",)
@@ -46,6 +46,8 @@ def unused(declared: DataFrame, used: DataFrame, strict: bool = False, productio
 
 def lock_closure(declared: DataFrame, lock: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """distribution and depth of all that declared ones need by the lock file (src, dst)."""
+    if by == ("project",):
+        return within(lock.select("project", "src", "dst", F.lit(0).alias("line")), names(declared, by).select("project", F.col("distribution").alias("node"))).select("project", F.col("node").alias("distribution"), "depth")
     node = lambda c: nodes([*by, c]) if by else F.col(c)
     found = reach(lock.select(node("src").alias("src"), node("dst").alias("dst")), names(declared, by).select(node("distribution").alias("node")))
     return found.select(*(of_node("node", [*by, "distribution"]) if by else [F.col("node").alias("distribution")]), "depth")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from treelens.functions import scalars as s
 from treelens.functions.globs import any_glob
+from treelens.session import saved
 
 CANDIDATE = "code string, kind string, path string, module string, name string, line int, severity string, confidence string, message string, member string, seq int"
 
@@ -69,9 +70,10 @@ def directed(rows: DataFrame, directives: DataFrame, by: tuple[str, ...] = ()) -
     """
     each = directives.select(*by, "path", F.explode("codes").alias("code"), F.col("line").alias("_line"), "file_level", F.col("seq").alias("_seq"))
     told = F.min_by(F.when(F.col("file_level"), "file").otherwise("inline"), "_seq").alias("by_directive")
+    each = saved(each)  # few of many files have any: the optimizer knows its size then
     keyed = rows.where("path is not null").join(each, [*by, "path", "code"]).where("file_level or line = _line")
     keys = [*by, "code", "path"]
-    found = keyed.groupBy(*keys, F.col("line").alias("_l"), "seq").agg(told).withColumnsRenamed({"seq": "_s", **{k: f"_{k}" for k in keys}})
+    found = saved(keyed.groupBy(*keys, F.col("line").alias("_l"), "seq").agg(told)).withColumnsRenamed({"seq": "_s", **{k: f"_{k}" for k in keys}})
     same = rows["line"].eqNullSafe(found["_l"]) & rows["seq"].eqNullSafe(found["_s"])
     for k in keys:
         same = same & (rows[k] == found[f"_{k}"])
@@ -91,12 +93,14 @@ def ignored_by_pattern(rows: DataFrame, patterns: DataFrame, by: tuple[str, ...]
     )
     keys = [*by, "code", "kind", "path", "module", "name"]
     named = lambda c: F.coalesce(F.col(c), F.lit("\x00"))
-    subjects = rows.select(*keys).distinct().withColumn("subject", F.explode(tested)).where("subject is not null")
+    # most projects, and most rules, have no pattern
+    asked = rows.select(*keys).join(saved(patterns.select(*by, "code").distinct()), [*by, "code"], "left_semi")
+    subjects = asked.distinct().withColumn("subject", F.explode(tested)).where("subject is not null")
     parts = F.split("subject", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     hits = subjects.withColumn("folder", F.explode(above)).join(patterns, [*by, "code", "folder"])
     hits = hits.where(F.expr("rlike(subject, regex)") & ((kind == "symbol") == F.col("name_regex").isNotNull()) & F.coalesce(F.expr("rlike(name, name_regex)"), F.lit(True)))
-    found = hits.select(*[named(c).alias(f"_{c}") for c in keys]).distinct()
+    found = saved(hits.select(*[named(c).alias(f"_{c}") for c in keys]).distinct())
     same = F.lit(True)
     for c in keys:
         same = same & (named(c) == found[f"_{c}"])

@@ -95,9 +95,9 @@ def spread(sites: DataFrame, roots: DataFrame, keys: list[str], hot: int = HOT)
     more than a ``hot``-th of the sites, of which there are at most ``hot``,
     get a number of salts in proportion and as many copies of their row.
     """
-    counts = cut(sites.groupBy(*keys).agg(F.count("*").alias("_n")))
-    share = max(1, -(-(counts.agg(F.sum("_n")).first()[0] or 0) // hot))
-    salts = F.broadcast(counts.where(F.col("_n") > share).select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_salts")))
+    share = max(1, -(-sites.count() // hot))
+    counts = sites.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > share)
+    salts = F.broadcast(cut(counts.select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_salts"))))
     spots = F.pmod(F.xxhash64(*[c for c, kind in sites.dtypes if not kind.startswith("map")]), F.col("_salts")).cast("int")
     dealt = sites.join(salts, keys, "left").withColumn("_salt", F.coalesce(spots, F.lit(0))).drop("_salts")
     copies = roots.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")

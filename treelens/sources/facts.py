@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.functions.globs import any_glob, literal_folder
+from treelens.session import tasks, uncollected
 from treelens.sources import dims, plugins, requirements, tree
 from treelens.sources.folder import Folder
 from treelens.sources.pyast import file_module
@@ -28,10 +29,12 @@ DECORATED = r"(?m)^\s*@\w[\w.]*(\.(route|get|post|put|delete|patch)\(|shared_tas
 SCHEMA = "project string, fact string, seq int, value string"
 #: Facts, about, that a task gives out at a time.
 BATCH = 10000
+#: First parts of a project's own modules are told with each file up to so many.
+ROOTS = 20
 
-#: The fields of each fact.
+#: The fields of each fact; those of a file that are its project's spare a join.
 PROJECT = "library boolean, production boolean, layout string, minor int, floor string, name string, has_lock boolean, has_members boolean, can_add boolean"
-FILE = "path string, kind string, context string, layout string, module string"
+FILE = "path string, kind string, context string, layout string, module string, library boolean, production boolean, minor int, roots array<string>"
 ENTRY = "path string, symbol string, context string, origin string"
 POINT = "module string, symbol string, origin string, layout string"
 DECLARED = "distribution string, kind string, label string, marker string, opaque boolean, from_setup_py boolean, file string, `where` string, member string"
@@ -58,8 +61,11 @@ def facts(root: Folder, production: bool | None = None, confidence: str | None =
     yield "project", {"library": how == "library", "production": c.production, "layout": kind, "minor": minor, "floor": c.confidence, "name": requirements.normalize(own or ""), "has_lock": bool(m.lock), "has_members": bool(x.members), "can_add": requirements.can_add(m)}
     for w in x.warnings:
         yield "warning", {"message": w}
-    for p in x.paths:
-        yield "file", {"path": p, "kind": tree.KINDS[p[p.rindex(".") :].lower()], "context": tree.context(p), "layout": kind, "module": importable(p, kind, x.layout.packages)}
+    modules = [importable(p, kind, x.layout.packages) for p in x.paths]
+    roots = sorted({m.split(".", 1)[0] for m in modules if m})
+    roots = roots if len(roots) <= ROOTS else None
+    for p, module in zip(x.paths, modules):
+        yield "file", {"path": p, "kind": tree.KINDS[p[p.rindex(".") :].lower()], "context": tree.context(p), "layout": kind, "module": module, "roots": roots, "library": how == "library", "production": c.production, "minor": minor}
     for path, symbol, context, origin in plan.candidates(x):
         if context == "runtime" or not c.production:
             yield "entry", {"path": path, "symbol": symbol, "context": context, "origin": origin}
@@ -120,11 +126,12 @@ def of_projects(files: DataFrame, production: bool | None = None, confidence: st
     import pyarrow as pa
 
     def told(project: str, held: dict[str, bytes | None]) -> list[tuple]:
-        try:
-            found = list(facts(Folder(held), production, confidence))
-        except ValueError as e:
-            found = [("error", {"message": str(e)})]
-        return [(project, fact, i, json.dumps(value)) for i, (fact, value) in enumerate(found)]
+        with uncollected():
+            try:
+                found = list(facts(Folder(held), production, confidence))
+            except ValueError as e:
+                found = [("error", {"message": str(e)})]
+            return [(project, fact, i, json.dumps(value)) for i, (fact, value) in enumerate(found)]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         types = (pa.string(), pa.string(), pa.int32(), pa.string())
@@ -149,7 +156,7 @@ def of_projects(files: DataFrame, production: bool | None = None, confidence: st
 
     wanted = F.col("path").rlike(CONFIGURATION) | (F.col("path").endswith(".py") & F.decode("content", "UTF-8").rlike(DECORATED))
     names = files.select("project", "path", F.when(wanted, F.col("content")).alias("content"))
-    dealt = names.where("project is not null and path is not null").repartition("project").sortWithinPartitions("project", "path")
+    dealt = names.where("project is not null and path is not null").repartition(tasks(files.sparkSession), "project").sortWithinPartitions("project", "path")
     return dealt.mapInArrow(run, SCHEMA)
 
 

@@ -50,10 +50,13 @@ def infer_layout(root: Path, name: str | None) -> Layout:
     return Layout("flat", flat[:1], True, [f"several packages, {flat[0]} is taken: {', '.join(flat)}"])
 
 
+#: Names of test files, in small letters.
+TEST = re.compile(r"^test_.*\.pyi?$|^.*_test\.pyi?$")
+
+
 def context(path: str) -> str:
     base = path.rsplit("/", 1)[-1]
-    low = base.lower()
-    if path.startswith("tests/") or base == "conftest.py" or re.match(r"^test_.*\.pyi?$", low) or re.match(r"^.*_test\.pyi?$", low):
+    if path.startswith("tests/") or base == "conftest.py" or TEST.match(base.lower()):
         return "test"
     return "docs" if path.startswith("docs/") else "dev" if path.startswith("scripts/") or path == "noxfile.py" else "runtime"
 
